@@ -1,0 +1,88 @@
+"""MLlib fits on the weekly panel: no SQL says what a solver returns, so these have no oracle."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from checks.market_checks import market_panel, weekly_text
+from checks.stand_ins import dated, posts, rounded
+from tidemark.operators.estimators import feature_importance
+from tidemark.operators.folds import distinct_weeks, holdout_start
+from tidemark.operators.numeric_prep import numeric_columns
+from tidemark.operators.panel import join_text
+from tidemark.operators.terms import post_terms
+from tidemark.operators.weekly_text import clean_posts
+from tidemark.plans.experiments import VARIANTS, robustness_study, train_per_asset
+from tidemark.plans.training import fit_models, train_and_evaluate
+from tidemark.settings import ModelSettings, StudySettings, TextSettings, ValidationSettings
+
+LINEAR = (ModelSettings("market_logreg", params={"C": 1.0, "max_iter": 100}),)
+ALL_MODELS = (
+    *LINEAR,
+    ModelSettings("text_logreg", params={"C": 1.0, "max_iter": 50}),
+    ModelSettings("hybrid_logreg", params={"C": 0.8, "max_iter": 50}),
+    ModelSettings("linear_svm", params={"C": 1.0, "max_iter": 10}),
+    ModelSettings("random_forest", params={"n_trees": 20, "max_depth": 5, "min_leaf": 8}),
+    ModelSettings("boosted_trees", params={"n_rounds": 5, "max_depth": 3}),
+)
+STUDY = StudySettings(
+    validation=ValidationSettings(train_min_weeks=150, val_weeks=40, step_weeks=80),
+    text=replace(TextSettings(), max_features=500),
+    models=LINEAR,
+)
+
+
+def _panel(spark, folder):
+    return join_text(market_panel(spark, folder), weekly_text(spark, folder))
+
+
+def model_predictions(spark, folder):
+    """Holdout predictions of every classifier."""
+    panel = _panel(spark, folder).persist()
+    terms = post_terms(clean_posts(posts(spark, folder))).persist()
+    start = F.lit(holdout_start(distinct_weeks(panel)))
+    trained = fit_models(
+        panel.where(F.col("week_start") < start), terms, ALL_MODELS, numeric_columns(panel), STUDY.text
+    )
+    test = panel.where(F.col("week_start") >= start)
+    parts = [t.predict(test, terms) for t in trained]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return rounded(dated(out))
+
+
+def temporal_cv(spark, folder):
+    return rounded(train_and_evaluate(_panel(spark, folder), STUDY).cv_folds)
+
+
+def holdout_metrics(spark, folder):
+    return rounded(train_and_evaluate(_panel(spark, folder), STUDY).test_metrics)
+
+
+def per_asset(spark, folder):
+    return rounded(train_per_asset(_panel(spark, folder), STUDY).summary)
+
+
+def robustness(spark, folder):
+    panel = join_text(market_panel(spark, folder, drop_neutral=False), weekly_text(spark, folder))
+    return rounded(robustness_study(panel.persist(), STUDY, terms=post_terms(clean_posts(posts(spark, folder))), variants=VARIANTS))
+
+
+def importance(spark, folder):
+    panel = _panel(spark, folder)
+    (trained,) = fit_models(panel, None, LINEAR, numeric_columns(panel))
+    return rounded(feature_importance(spark, trained.model, trained.features.names(trained.name)))
+
+
+QUERIES = {
+    "model_predictions": model_predictions,
+    "temporal_cv": temporal_cv,
+    "holdout_metrics": holdout_metrics,
+    "per_asset_summary": per_asset,
+    "robustness_summary": robustness,
+    "feature_importance": importance,
+}
+ORACLES: dict[str, str] = {}
