@@ -68,7 +68,7 @@ def per_asset(spark, folder):
 
 def robustness(spark, folder):
     panel = join_text(market_panel(spark, folder, drop_neutral=False), weekly_text(spark, folder))
-    return rounded(robustness_study(panel.persist(), STUDY, terms=post_terms(clean_posts(posts(spark, folder))), variants=VARIANTS))
+    return rounded(robustness_study(panel, STUDY, terms=post_terms(clean_posts(posts(spark, folder))), variants=VARIANTS))
 
 
 def importance(spark, folder):

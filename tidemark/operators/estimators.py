@@ -123,7 +123,7 @@ def fit_features(
             raise ValueError("text models need the weekly terms")
         text = fit_text_vectors(terms, train, n_train, settings.max_features, settings.min_df)
     if any(n for _, n in needs):
-        prep = fit_numeric(train, columns)
+        prep = fit_numeric(train, columns, n_train)
     return Features(prep, text)
 
 

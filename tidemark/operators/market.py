@@ -81,8 +81,9 @@ def weekly_returns(weekly: DataFrame) -> DataFrame:
     Windows run over weekly rows, so a group is as long as the calendar, not as the data.
     """
     by_asset = Window.partitionBy("asset").orderBy("week_start")
-    out = weekly.withColumn(
-        "mkt_ret_1w", finite(change(F.col("mkt_close"), F.lag("mkt_close").over(by_asset)))
+    before = weekly.withColumn("_before", F.lag("mkt_close").over(by_asset))
+    out = before.withColumn("mkt_ret_1w", finite(change(F.col("mkt_close"), F.col("_before")))).drop(
+        "_before"
     )
     ret = F.col("mkt_ret_1w")
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.slices import Bounds, sum_before
 
+SMALL_BLOCK = 100_000
 NOT_FEATURES = {"asset", "week_start", "weekly_text", "future_return_h", "target_up"}
 
 
@@ -76,13 +77,19 @@ class NumericPrep:
         )
 
 
-def fit_numeric(train: DataFrame, columns: Sequence[str]) -> NumericPrep:
+def fit_numeric(train: DataFrame, columns: Sequence[str], n_train: int | None = None) -> NumericPrep:
     """Medians, then mean and population deviation after filling; all-null columns drop out.
 
-    A constant column keeps deviation 1, so that it scales to zeros.
+    Where ``n_train`` says that all values fit into one task the medians are plain
+    aggregates, beyond that they are ranked in slices. A constant column keeps deviation 1,
+    so that it scales to zeros.
     """
-    medians_by_name = {r["column_name"]: r["median"] for r in exact_medians(train, columns).collect()}
-    medians = {c: medians_by_name[c] for c in columns if c in medians_by_name}
+    if n_train is not None and n_train <= SMALL_BLOCK:
+        row = train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns]).first()
+        found = {c: row[c] for c in columns if row[c] is not None}
+    else:
+        found = {r["column_name"]: r["median"] for r in exact_medians(train, columns).collect()}
+    medians = {c: found[c] for c in columns if c in found}
     if not medians:
         raise ValueError("no numeric column has a value")
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()}

@@ -20,16 +20,20 @@ MAX_CELL_CHARS = 100_000_000
 
 
 def clean_posts(posts: DataFrame, min_text_length: int = 15, anchor: str = "W-SUN") -> DataFrame:
-    """Posts with ``clean_text``, its length and the week; short ones and keyless ones drop out."""
-    cleaned = posts.withColumn("created_utc", F.col("created_utc").cast("timestamp")).withColumn(
-        "clean_text", clean_text(F.col("text"))
+    """Posts with ``clean_text``, its length and the week; short ones and keyless ones drop out.
+
+    The cleaned text passes a one-element explode: a plain column would be computed twice,
+    once in the length filter that Catalyst pushes below it and once in the output.
+    """
+    keyed = posts.withColumn("created_utc", F.col("created_utc").cast("timestamp")).where(
+        F.col("asset").isNotNull() & F.col("created_utc").isNotNull()
     )
+    others = [c for c in keyed.columns if c != "text"]
+    cleaned = keyed.select(*others, F.explode(F.array(clean_text(F.col("text")))).alias("clean_text"))
     return (
         cleaned.withColumn("text_len", F.length("clean_text"))
         .where(F.col("text_len") >= min_text_length)
-        .where(F.col("asset").isNotNull() & F.col("created_utc").isNotNull())
         .withColumn("week_start", week_start(F.col("created_utc"), anchor))
-        .drop("text")
     )
 
 

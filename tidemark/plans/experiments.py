@@ -74,6 +74,8 @@ def train_per_asset(
     panel: DataFrame, settings: StudySettings = StudySettings(), terms: DataFrame | None = None
 ) -> AssetStudy:
     """One full training run per asset, on that asset's rows alone."""
+    panel = panel.persist()
+    terms = terms if terms is None else terms.persist()
     found = panel.where(F.col("asset").isNotNull()).select("asset").distinct()
     assets = sorted(r[0] for r in found.limit(MAX_ASSET_RUNS + 1).collect())
     if len(assets) > MAX_ASSET_RUNS:
@@ -123,6 +125,8 @@ def robustness_study(
     terms: DataFrame | None = None,
     variants: Sequence[Variant] = VARIANTS,
 ) -> DataFrame:
+    panel = panel.persist()
+    terms = terms if terms is None else terms.persist()
     frames = []
     for variant in variants:
         rows = relabel(panel, variant.neutral_threshold)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -34,6 +35,9 @@ from tidemark.settings import ModelSettings, StudySettings, TextSettings
 from tidemark.sources.files import save_table
 
 
+ROWS_PER_TASK = 50_000
+
+
 @dataclass(frozen=True)
 class TrainingResult:
     cv_folds: DataFrame
@@ -64,7 +68,8 @@ def fit_models(
         return []
     weighted, n_train = with_class_weights(train)
     features: Features = fit_features(train, terms, fitted, columns, n_train, settings)
-    rows = features.transform(weighted, terms).persist()
+    # Solvers run a job per iteration: as many tasks as the rows need, not as the panel had.
+    rows = features.transform(weighted, terms).coalesce(math.ceil(n_train / ROWS_PER_TASK)).persist()
     try:
         return [
             TrainedModel(m.name, estimator(m, n_train, features_column(m.name)).fit(rows), features)
