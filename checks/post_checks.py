@@ -134,20 +134,26 @@ scored AS (
 SELECT asset, week_start, {_stats_sql('score', 'post_lex_sentiment')} FROM scored GROUP BY ALL"""
 
 
-def length_predictor():
-    """A stand-in model whose probabilities come from the text length."""
+def length_model():
+    """Factory of a stand-in model whose probabilities come from the text length.
 
-    def predict(texts):
-        sizes = np.array([len(t) for t in texts])
-        positive, negative = (sizes % 7) / 14.0, (sizes % 5) / 10.0
-        return np.stack([1.0 - positive - negative, positive, negative], axis=1)
+    Nested, so that it travels to the workers by value.
+    """
 
-    return ("Neutral", "Positive", "Negative"), predict
+    def factory():
+        def predict(texts):
+            sizes = np.array([len(t) for t in texts])
+            positive, negative = (sizes % 7) / 14.0, (sizes % 5) / 10.0
+            return np.stack([1.0 - positive - negative, positive, negative], axis=1)
+
+        return ("Neutral", "Positive", "Negative"), predict
+
+    return factory
 
 
 def model_sentiment(spark, folder):
     cleaned = W.clean_posts(posts(spark, folder))
-    weekly = W.weekly_stats(S.with_model_sentiment(cleaned, length_predictor, batch_size=64), KEYWORDS)
+    weekly = W.weekly_stats(S.with_model_sentiment(cleaned, length_model(), batch_size=64), KEYWORDS)
     means = [f"post_model_{k}_mean" for k in ("positive", "negative", "neutral")]
     return rounded(dated(weekly.select(*W.CELL, *means, *_score_columns("post_model_sentiment"))))
 

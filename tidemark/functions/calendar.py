@@ -47,15 +47,15 @@ def month_windows(spark: SparkSession, start: str, end: str) -> DataFrame:
 def add_month_windows(bounds: DataFrame, first: str, last: str) -> DataFrame:
     """One row per calendar month of each ``[first, last)`` row of ``bounds``."""
     month = F.make_ym_interval(F.lit(0), F.lit(1))
-    begins = F.sequence(
-        F.date_trunc("month", F.col(first)),
-        F.col(last) - F.expr("INTERVAL '1' MICROSECOND"),
-        month,
+    begins = F.when(
+        F.date_trunc("month", F.col(first)) < F.col(last),
+        F.sequence(
+            F.date_trunc("month", F.col(first)), F.col(last) - F.expr("INTERVAL '1' MICROSECOND"), month
+        ),
     )
     others = [c for c in bounds.columns if c not in (first, last)]
     return (
-        bounds.where(F.date_trunc("month", F.col(first)) < F.col(last))
-        .select(*others, F.col(last), F.explode(begins).alias("window_start"))
+        bounds.select(*others, F.col(last), F.explode(begins).alias("window_start"))
         .select(
             *others, "window_start",
             F.least(F.col("window_start") + month, F.col(last)).alias("window_end"),

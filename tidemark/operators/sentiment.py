@@ -150,17 +150,20 @@ def _by_join(
 
     Only tokens the lexicon holds survive the join; each text's hits meet again by ``key``.
     """
-    words = lexicon.select("token", F.col("valence").cast("double").alias("v")).where(
-        F.col("token") != "but"
+    words = lexicon.where(F.col("token") != "but").select(
+        F.col("token").alias("_token"), F.col("valence").cast("double").alias("_v")
     )
-    turn = df.sparkSession.range(1).select(F.lit("but").alias("token"), F.lit(None).cast("double").alias("v"))
-    tokens = df.withColumn("_tokens", F.split(F.col(text), " ")).select(
-        *key, "_tokens", F.posexplode("_tokens").alias("i", "token")
+    turn = df.sparkSession.range(1).select(F.lit("but").alias("_token"), F.lit(None).cast("double").alias("_v"))
+    tokens = df.select(*key, F.split(F.col(text), " ").alias("_tokens")).select(
+        *key, "_tokens", F.posexplode("_tokens").alias("_i", "_token")
     ).select(
-        *key, "token", "i", *[F.get("_tokens", F.col("i") - k).alias(f"b{k}") for k in (1, 2, 3)]
+        *key, "_token", "_i", *[F.get("_tokens", F.col("_i") - k).alias(f"_b{k}") for k in (1, 2, 3)]
     )
-    hits = tokens.join(words.unionByName(turn), "token").groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("i", "v", "b1", "b2", "b3"))).alias("_hits")
+    hit = F.struct(
+        F.col("_i").alias("i"), F.col("_v").alias("v"), *[F.col(f"_b{k}").alias(f"b{k}") for k in (1, 2, 3)]
+    )
+    hits = tokens.join(words.unionByName(turn), "_token").groupBy(*key).agg(
+        F.sort_array(F.collect_list(hit)).alias("_hits")
     )
     scored = hits.select(*key, _compound(F.col("_hits"), rules).alias("lex_compound"))
     return df.join(scored, list(key), "left").withColumn(
