@@ -21,7 +21,7 @@ from tidemark.sources import posts as P
 
 def cleaned_documents(spark, folder):
     docs = table(spark, folder, "documents")
-    clean = docs.select("doc_id", clean_text(F.col("text")).alias("clean_text"))
+    clean = docs.select("doc_id", F.explode(F.array(clean_text(F.col("text")))).alias("clean_text"))
     return clean.select("doc_id", "clean_text", F.length("clean_text").cast("long").alias("text_len")).where(
         F.col("text_len") >= 15
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import DROP_PATTERN, SPACES_PATTERN, URL_PATTERN
 from tidemark.session import use_utc
+from tidemark.sources.files import spread
 from tidemark.settings import AssetQuery
 
 ASSETS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -26,7 +26,7 @@ START, END = "1995-03-10", "1996-09-20"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{folder}/{name}.parquet")
+    return spread(use_utc(spark).read.parquet(f"{folder}/{name}.parquet"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -123,6 +123,10 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ASSET_LIST = "[" + ", ".join(f"'{a}'" for a in ASSETS) + "]"
+# The cleaning rule step by step: links, characters to drop, runs of spaces.
+URL_PATTERN = r"https?://[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+|www\.[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+DROP_PATTERN = r"[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x{85}\p{Z}#@.$%+-]"
+SPACES_PATTERN = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 CLEAN = f"""trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')),
   '{URL_PATTERN}', ' ', 'g'), '{DROP_PATTERN}', ' ', 'g'), '{SPACES_PATTERN}', ' ', 'g'))"""
 

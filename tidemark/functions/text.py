@@ -9,24 +9,24 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character classes for Unicode word and space characters in Java patterns.
+# Character classes for Unicode word and space characters in Java patterns. The
+# plain ranges come first because they decide most characters.
 SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
-WORD = r"\p{L}\p{N}_"
+WORD = r"a-z0-9\p{L}\p{N}_"
 URL_PATTERN = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
-DROP_PATTERN = rf"[^{WORD}{SPACE}#@.$%+-]"
-SPACES_PATTERN = rf"[{SPACE}]+"
-WORD_PATTERN = rf"[{WORD}]{{2,}}"
+GAP_PATTERN = rf"[^{WORD}#@.$%+-]+"
+WORD_PATTERN = rf"[{WORD}]{{2,}}+"
 
 
 def clean_text(text: Column) -> Column:
     """Lower case, no links, only word characters and ``# @ . $ % + -``, single spaces.
 
-    A null text becomes an empty one.
+    A null text becomes an empty one. Dropped characters and spaces are one class, so that a
+    single pass turns every run of them into one space.
     """
     lowered = F.lower(F.coalesce(text, F.lit("")))
     without_urls = F.regexp_replace(lowered, URL_PATTERN, " ")
-    kept = F.regexp_replace(without_urls, DROP_PATTERN, " ")
-    return F.trim(F.regexp_replace(kept, SPACES_PATTERN, " "))
+    return F.trim(F.regexp_replace(without_urls, GAP_PATTERN, " "))
 
 
 def keyword_hits(text: Column, lexicon: Sequence[str]) -> Column:
@@ -41,6 +41,12 @@ def keyword_hits(text: Column, lexicon: Sequence[str]) -> Column:
     return reduce(add, counts, F.lit(0.0)).cast("long")
 
 
+def outer_tokens(text: Column) -> tuple[Column, Column]:
+    """First and last of the ``word_tokens``, without making the list; empty where there is none."""
+    first = F.regexp_extract(text, WORD_PATTERN, 0)
+    return first, F.reverse(F.regexp_extract(F.reverse(text), WORD_PATTERN, 0))
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of two or more word characters, in order."""
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))

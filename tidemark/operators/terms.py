@@ -8,7 +8,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import word_tokens
+from tidemark.functions.text import outer_tokens, word_tokens
 from tidemark.operators.slices import Bounds, previous_value
 
 CELL = ("asset", "week_start")
@@ -49,16 +49,14 @@ def post_terms(
     texts themselves are never collected or sorted. Counts combine before the shuffle.
     """
     singles, pairs = _check_range(ngram_range)
-    tokenised = cleaned.withColumn("_tokens", word_tokens(F.col("clean_text"))).where(
-        F.size("_tokens") > 0
-    )
+    tokenised = cleaned.select(*CELL, word_tokens(F.col("clean_text")).alias("_tokens"))
     terms = _counts(tokenised, "_tokens", singles, pairs)
     if pairs:
-        ends = tokenised.select(
+        first, last = outer_tokens(F.col("clean_text"))
+        ends = cleaned.select(
             *CELL, F.unix_micros("created_utc").alias("_at"), "source_id",
-            F.xxhash64("clean_text").alias("_tie"),
-            F.get("_tokens", F.lit(0)).alias("_first"), F.element_at("_tokens", -1).alias("_last"),
-        )
+            F.xxhash64("clean_text").alias("_tie"), first.alias("_first"), last.alias("_last"),
+        ).where(F.col("_first") != "")
         follow = previous_value(ends, CELL, ["_at", "source_id", "_tie"], ["_last"], bounds=bounds)
         terms = terms.unionByName(
             follow.where(F.col("prev__last").isNotNull()).select(
@@ -102,15 +100,14 @@ def vocabulary(
 def tfidf_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """(asset, week_start, idx, term, weight) with unit length per (asset, week).
 
-    ``vocab`` holds at most ``max_features`` rows, so it is broadcast.
+    ``vocab`` holds at most ``max_features`` rows, so it is broadcast, and no cell's window
+    holds more rows than that.
     """
     raw = terms.join(F.broadcast(vocab), "term").select(
         *CELL, "idx", "term", (F.col("n") * F.col("idf")).alias("_raw")
     )
-    norm = raw.groupBy(*CELL).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return raw.join(norm, list(CELL)).select(
-        *CELL, "idx", "term", (F.col("_raw") / F.col("_norm")).alias("weight")
-    )
+    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*CELL)))
+    return raw.select(*CELL, "idx", "term", (F.col("_raw") / length).alias("weight"))
 
 
 @dataclass(frozen=True)

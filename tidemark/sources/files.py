@@ -20,6 +20,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(files.exists(location))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan over all cores, where it has fewer splits than cores.
+
+    One small file is one split, and text cleaning is bound by the processor. A scan of many
+    files, as on a cluster, is returned as it is. For scans only: counting the splits of a plan
+    with shuffles would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Read a table. Give a schema for CSV at scale: without one its types are found by a scan."""
     if not path_exists(spark, path):
