@@ -116,3 +116,15 @@ def test_weekly_text_in_posting_order_whole_or_refused(spark):
         assert sum(p["posts"] for p in pieces) == 3
     with pytest.raises(Exception, match="longer than 16 characters"):
         weekly_text(cleaned, max_chars=16).collect()
+
+
+def test_cleaned_posts_saved_once_give_the_same_panel_and_terms(spark, tmp_path):
+    from tidemark.plans.panel import save_clean_posts, weekly_terms
+
+    posts, bars = posts_and_bars(spark)
+    saved = save_clean_posts(posts, str(tmp_path / "cleaned.parquet"), study())
+    direct = weekly_panel(posts, bars, study()).orderBy("week_start")
+    again = weekly_panel(None, bars, study(), cleaned=saved).orderBy("week_start")
+    assert [tuple(r) for r in again.collect()] == [tuple(r) for r in direct.collect()]
+    terms = {(r["week_start"], r["term"], r["n"]) for r in weekly_terms(cleaned=saved, settings=study()).collect()}
+    assert terms == {(r["week_start"], r["term"], r["n"]) for r in weekly_terms(posts, study()).collect()}

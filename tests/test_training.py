@@ -136,7 +136,7 @@ def test_baseline_comes_first_whatever_its_flag():
 
 
 def test_per_asset_robustness_and_comparison(panel, result):
-    market = replace(STUDY, models=MODELS[:1])
+    market = replace(STUDY, models=MODELS[:1], validation=replace(STUDY.validation, step_weeks=90))
     assets = X.train_per_asset(panel.drop("weekly_text"), market)
     summary = {r["asset"]: r for r in assets.summary.collect()}
     assert set(summary) == {"A", "B"} and summary["A"]["n_weeks"] == 50 and summary["A"]["n_rows"] == 50

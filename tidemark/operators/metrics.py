@@ -8,22 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import share
-from tidemark.operators.slices import Bounds, sum_before
+from tidemark.operators.slices import Bounds, slice_bounds, sum_before
 from tidemark.operators.top_rows import first_per_key
 
 METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc")
 COUNTS = ("tn", "fp", "fn", "tp")
 
 
-def confusion_counts(predictions: DataFrame, group: Sequence[str]) -> DataFrame:
+def _confusion() -> list[Column]:
     def cell(truth: int, predicted: int) -> Column:
-        hit = (F.col("target_up") == truth) & (F.col("y_pred") == predicted)
-        return F.count_if(hit)
+        return F.count_if((F.col("target_up") == truth) & (F.col("y_pred") == predicted))
 
-    return predictions.groupBy(*group).agg(
+    return [
         cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"),
         F.count("*").alias("n_obs"),
-    )
+    ]
+
+
+def confusion_counts(predictions: DataFrame, group: Sequence[str]) -> DataFrame:
+    return predictions.groupBy(*group).agg(*_confusion())
 
 
 def class_metrics(counts: DataFrame) -> DataFrame:
@@ -48,37 +51,54 @@ def class_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(predictions: DataFrame, group: Sequence[str], bounds: Bounds | None = None) -> DataFrame:
-    """(group, roc_auc): the exact, tie-aware area; null for one class or no score.
+def _classes() -> list[Column]:
+    """Rows of each class that carry a score; rows without one rank nowhere."""
+    scored = F.col("y_score").isNotNull()
+    return [
+        F.count_if(scored & (F.col("target_up") == 1)).alias("pos"),
+        F.count_if(scored & (F.col("target_up") == 0)).alias("neg"),
+    ]
+
+
+def _area() -> Column:
+    """Pairs a positive wins over a negative, ties half, over all pairs; null for one class."""
+    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
+    return F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg").cast("double"))
 
-    Rows are counted per distinct score before any window runs, and the running sum of
-    negatives is sliced, so a group may hold any number of scores.
+
+def _ranked(
+    predictions: DataFrame, group: Sequence[str], measures: list[Column], bounds: Bounds | None
+) -> DataFrame:
+    """Counts per distinct score, with the negatives at lower scores of the group.
+
+    Rows are counted per score before any window runs, and the running sum is sliced, so a
+    group may hold any number of scores. Bounds come from the rows, without a shuffle.
     """
+    if bounds is None:
+        bounds = slice_bounds(predictions, [*group, "y_score"])
+    counts = predictions.groupBy(*group, "y_score").agg(*measures)
+    return sum_before(counts, group, ["y_score"], ["neg"], bounds=bounds)
+
+
+def roc_auc(predictions: DataFrame, group: Sequence[str], bounds: Bounds | None = None) -> DataFrame:
+    """(group, roc_auc): the exact, tie-aware area; null for one class."""
     scored = predictions.where(F.col("y_score").isNotNull() & F.col("target_up").isNotNull())
-    counts = scored.groupBy(*group, "y_score").agg(
-        F.count_if(F.col("target_up") == 1).alias("pos"), F.count_if(F.col("target_up") == 0).alias("neg")
-    )
-    ranked = sum_before(counts, group, ["y_score"], ["neg"], bounds=bounds)
-    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.groupBy(*group).agg(F.try_divide(wins, pairs).alias("roc_auc"))
+    return _ranked(scored, group, _classes(), bounds).groupBy(*group).agg(_area().alias("roc_auc"))
 
 
 def classification_metrics(
     predictions: DataFrame, group: Sequence[str], bounds: Bounds | None = None
 ) -> DataFrame:
-    """All metrics and counts per group, from (target_up, y_pred, y_score) rows.
+    """All metrics and counts per group, from (target_up, y_pred, y_score) rows, without a join.
 
-    Where a score is null in some rows of a group only, there is no area for the group.
+    Where a score is null in some row of a group there is no area for the group.
     """
-    scores = predictions.groupBy(*group).agg(F.count_if(F.col("y_score").isNull()).alias("_unscored"))
-    area = roc_auc(predictions, group, bounds)
-    area = area.join(scores, list(group)).where(F.col("_unscored") == 0).drop("_unscored")
-    return (
-        class_metrics(confusion_counts(predictions, group))
-        .join(area, list(group), "left")
-        .select(*group, *METRICS, *COUNTS, "n_obs")
+    measures = [*_confusion(), *_classes(), F.count_if(F.col("y_score").isNull()).alias("_unscored")]
+    totals = _ranked(predictions, group, measures, bounds).groupBy(*group).agg(
+        *[F.sum(c).alias(c) for c in (*COUNTS, "n_obs")],
+        F.when(F.sum("_unscored") == 0, _area()).alias("roc_auc"),
     )
+    return class_metrics(totals).select(*group, *METRICS, *COUNTS, "n_obs")
 
 
 def metrics_by_asset(predictions: DataFrame, bounds: Bounds | None = None) -> DataFrame:

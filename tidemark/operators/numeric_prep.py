@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.slices import Bounds, sum_before
+from tidemark.operators.slices import Bounds, slice_bounds, sum_before
 
 SMALL_BLOCK = 100_000
 NOT_FEATURES = {"asset", "week_start", "weekly_text", "future_return_h", "target_up"}
@@ -40,7 +40,10 @@ def exact_medians(
         ).alias("_cell"),
     ).select(*group, "_cell.column_name", "_cell.value")
     keys = [*group, "column_name"]
-    counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    values = long.where(F.col("value").isNotNull())
+    if bounds is None:
+        bounds = slice_bounds(values, [*keys, "value"])
+    counts = values.groupBy(*keys, "value").agg(F.count("*").alias("n"))
     ranked = sum_before(counts, keys, ["value"], ["n"], bounds=bounds)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LEXICON = 100_000
+MAX_LEXICON = 20_000
 
 # Published rule constants of the valence-lexicon method (Hutto & Gilbert 2014).
 BOOST = 0.293

@@ -122,11 +122,26 @@ def weekly_text_features(
     rules: PolarityRules = PolarityRules(),
 ) -> DataFrame:
     """Activity, engagement, keyword, sentiment and channel features per (asset, week)."""
-    if channels is None:
-        channels = channel_names(posts)
-    scored = with_sentiment(
-        clean_posts(posts, min_text_length, anchor), backend, lexicon, factory, batch_size, rules
+    cleaned = clean_posts(posts, min_text_length, anchor)
+    return cleaned_text_features(
+        cleaned, keyword_lexicon, backend, lexicon, factory, batch_size, channels, rules
     )
+
+
+def cleaned_text_features(
+    cleaned: DataFrame,
+    keyword_lexicon: Sequence[str] = (),
+    backend: str = "lexicon",
+    lexicon: Mapping[str, float] | DataFrame | None = None,
+    factory: PredictorFactory | None = None,
+    batch_size: int = 16,
+    channels: Sequence[str] | None = None,
+    rules: PolarityRules = PolarityRules(),
+) -> DataFrame:
+    """The same from cleaned posts, one row per post. Channels not given are looked up first."""
+    if channels is None:
+        channels = channel_names(cleaned)
+    scored = with_sentiment(cleaned, backend, lexicon, factory, batch_size, rules)
     return weekly_stats(scored, keyword_lexicon, channels)
 
 

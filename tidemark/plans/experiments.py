@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.estimators import NAIVE
 from tidemark.operators.panel import relabel
 from tidemark.operators.top_rows import best_per_group
-from tidemark.plans.training import TrainingResult, train_and_evaluate
+from tidemark.plans.training import TrainingResult, save_results, train_and_evaluate
 from tidemark.settings import StudySettings
+from tidemark.sources.files import save_table
 
 MAX_ASSET_RUNS = 500
 
@@ -41,6 +43,17 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+@contextmanager
+def _kept(*tables: DataFrame | None):
+    """Cache the tables that every run of a study reads; they can be recomputed from their plans."""
+    present = [t.persist() for t in tables if t is not None]
+    try:
+        yield
+    finally:
+        for table in present:
+            table.unpersist()
+
+
 def best_on_test(metrics: DataFrame, group: Sequence[str]) -> DataFrame:
     """The best holdout row per group, by balanced accuracy."""
     return best_per_group(metrics, group, "balanced_accuracy", "model")
@@ -74,24 +87,41 @@ def train_per_asset(
     panel: DataFrame, settings: StudySettings = StudySettings(), terms: DataFrame | None = None
 ) -> AssetStudy:
     """One full training run per asset, on that asset's rows alone."""
-    panel = panel.persist()
-    terms = terms if terms is None else terms.persist()
-    found = panel.where(F.col("asset").isNotNull()).select("asset").distinct()
-    assets = sorted(r[0] for r in found.limit(MAX_ASSET_RUNS + 1).collect())
-    if len(assets) > MAX_ASSET_RUNS:
-        raise ValueError(f"more than {MAX_ASSET_RUNS} assets: pass a panel of the ones to train")
-    results = {
-        asset: train_and_evaluate(
-            panel.where(F.col("asset") == asset), settings,
-            None if terms is None else terms.where(F.col("asset") == asset),
-        )
-        for asset in assets
-    }
+    with _kept(panel, terms):
+        found = panel.where(F.col("asset").isNotNull()).select("asset").distinct()
+        assets = sorted(r[0] for r in found.limit(MAX_ASSET_RUNS + 1).collect())
+        if len(assets) > MAX_ASSET_RUNS:
+            raise ValueError(f"more than {MAX_ASSET_RUNS} assets: pass a panel of the ones to train")
+        results = {
+            asset: train_and_evaluate(
+                panel.where(F.col("asset") == asset), settings,
+                None if terms is None else terms.where(F.col("asset") == asset),
+            )
+            for asset in assets
+        }
     cv = _union([r.cv_summary.withColumn("asset", F.lit(a)) for a, r in results.items()])
     test = _union([r.test_metrics.withColumn("asset", F.lit(a)) for a, r in results.items()])
     return AssetStudy(results, best_by_asset(test, panel), cv, test)
 
 
+def save_asset_study(study: AssetStudy, reports: str, models: str) -> None:
+    """Every asset's own report folder, and the tables over all assets."""
+    for asset, result in study.results.items():
+        save_results(result, f"{reports}/{asset.lower()}", f"{models}/{asset.lower()}")
+    save_table(study.summary, f"{reports}/summary_best_models.csv")
+    save_table(study.cv_summary, f"{reports}/metrics_cv_summary_all_assets.csv")
+    save_table(study.test_metrics, f"{reports}/metrics_test_all_assets.csv")
+
+
+def hybrid_settings(settings: StudySettings) -> StudySettings:
+    """The same study with both sentiment backends and the reduced vocabulary."""
+    text = replace(
+        settings.text, sentiment_backend="hybrid", model_batch_size=8,
+        max_features=min(settings.text.max_features, REDUCED_FEATURES),
+    )
+    return replace(settings, text=text)
+
+
 def variant_settings(settings: StudySettings, test_weeks: int) -> StudySettings:
     return replace(
         settings,
@@ -107,15 +137,18 @@ def robustness_rows(test_metrics: DataFrame) -> DataFrame:
     ``test_metrics`` holds the holdout metrics of all variants with their settings.
     """
     keys = ["variant", "neutral_threshold", "test_weeks", "n_rows"]
-    best = best_on_test(test_metrics, keys).select(
-        *keys, F.col("model").alias("best_model"), F.col("balanced_accuracy").alias("best_balanced_accuracy"),
-        F.col("f1").alias("best_f1"), F.col("roc_auc").alias("best_roc_auc"),
-    )
-    naive = test_metrics.where(F.col("model") == NAIVE).select(
-        "variant", F.col("balanced_accuracy").alias("naive_balanced_accuracy")
+    score = F.col("balanced_accuracy")
+    best_first = F.struct(score.isNull(), -F.coalesce(score, F.lit(0.0)), F.col("model"))
+    rows = test_metrics.groupBy(*keys).agg(
+        F.min_by(F.struct("model", "balanced_accuracy", "f1", "roc_auc"), best_first).alias("_best"),
+        F.max(F.when(F.col("model") == NAIVE, score)).alias("naive_balanced_accuracy"),
     )
-    return best.join(naive, "variant").withColumn(
-        "delta_vs_naive", F.col("best_balanced_accuracy") - F.col("naive_balanced_accuracy")
+    return rows.select(
+        *keys, F.col("_best.model").alias("best_model"),
+        F.col("_best.balanced_accuracy").alias("best_balanced_accuracy"),
+        F.col("_best.f1").alias("best_f1"), F.col("_best.roc_auc").alias("best_roc_auc"),
+        "naive_balanced_accuracy",
+        (F.col("_best.balanced_accuracy") - F.col("naive_balanced_accuracy")).alias("delta_vs_naive"),
     )
 
 
@@ -125,22 +158,21 @@ def robustness_study(
     terms: DataFrame | None = None,
     variants: Sequence[Variant] = VARIANTS,
 ) -> DataFrame:
-    panel = panel.persist()
-    terms = terms if terms is None else terms.persist()
     frames = []
-    for variant in variants:
-        rows = relabel(panel, variant.neutral_threshold)
-        result = train_and_evaluate(rows, variant_settings(settings, variant.test_weeks), terms)
-        frames.append(
-            result.test_metrics.withColumns(
-                {
-                    "variant": F.lit(variant.name),
-                    "neutral_threshold": F.lit(variant.neutral_threshold),
-                    "test_weeks": F.lit(variant.test_weeks),
-                    "n_rows": F.lit(rows.count()),
-                }
+    with _kept(panel, terms):
+        for variant in variants:
+            rows = relabel(panel, variant.neutral_threshold)
+            result = train_and_evaluate(rows, variant_settings(settings, variant.test_weeks), terms)
+            frames.append(
+                result.test_metrics.withColumns(
+                    {
+                        "variant": F.lit(variant.name),
+                        "neutral_threshold": F.lit(variant.neutral_threshold),
+                        "test_weeks": F.lit(variant.test_weeks),
+                        "n_rows": F.lit(rows.count()),
+                    }
+                )
             )
-        )
     return robustness_rows(_union(frames))
 
 

@@ -10,33 +10,35 @@ from tidemark.operators.market import weekly_market
 from tidemark.operators.panel import join_text, label_weeks
 from tidemark.operators.sentiment import PolarityRules, PredictorFactory
 from tidemark.operators.terms import post_terms
-from tidemark.operators.weekly_text import clean_posts, weekly_text, weekly_text_features
+from tidemark.operators.weekly_text import clean_posts, cleaned_text_features, weekly_text
 from tidemark.session import use_utc
 from tidemark.settings import StudySettings
+from tidemark.sources.files import read_table, save_table
 
 
 def weekly_panel(
-    posts: DataFrame,
+    posts: DataFrame | None,
     bars: DataFrame,
     settings: StudySettings = StudySettings(),
     lexicon: Mapping[str, float] | DataFrame | None = None,
     factory: PredictorFactory | None = None,
     rules: PolarityRules = PolarityRules(),
     with_text: bool = False,
+    cleaned: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (asset, week) of the market, with text features and the label.
 
     The label is set on the market side, in the windows it has anyway, before the join.
     ``with_text`` adds the ``weekly_text`` string of every cell (cells that fit into a row);
-    text models do not need it, they read ``weekly_terms``.
+    text models do not need it, they read ``weekly_terms``. Posts may be given cleaned.
     """
-    use_utc(posts.sparkSession)
+    use_utc(bars.sparkSession)
     text_settings, label = settings.text, settings.label
-    text = weekly_text_features(
-        posts,
+    if cleaned is None:
+        cleaned = clean_posts(posts, settings.posts.min_text_length, settings.week_anchor)
+    text = cleaned_text_features(
+        cleaned,
         keyword_lexicon=text_settings.keyword_lexicon,
-        min_text_length=settings.posts.min_text_length,
-        anchor=settings.week_anchor,
         backend=text_settings.sentiment_backend,
         lexicon=lexicon,
         factory=factory,
@@ -50,13 +52,29 @@ def weekly_panel(
     )
     panel = join_text(market, text)
     if with_text:
-        cleaned = clean_posts(posts, settings.posts.min_text_length, settings.week_anchor)
         panel = join_text(panel, weekly_text(cleaned))
     return panel
 
 
-def weekly_terms(posts: DataFrame, settings: StudySettings = StudySettings()) -> DataFrame:
-    """Term counts per (asset, week), straight from the posts."""
-    use_utc(posts.sparkSession)
-    cleaned = clean_posts(posts, settings.posts.min_text_length, settings.week_anchor)
+def save_clean_posts(posts: DataFrame, path: str, settings: StudySettings = StudySettings()) -> DataFrame:
+    """Write the cleaned posts once, as a parquet table, and read them back.
+
+    Statistics, terms and pieces all start from cleaned text. Over a large corpus this is the
+    costly step, so it is done once, without a shuffle; later counts and samples read its
+    narrow columns only. Posts that landed in time order keep it, so weeks prune row groups.
+    """
+    spark = use_utc(posts.sparkSession)
+    save_table(clean_posts(posts, settings.posts.min_text_length, settings.week_anchor), path)
+    return read_table(spark, path)
+
+
+def weekly_terms(
+    posts: DataFrame | None = None,
+    settings: StudySettings = StudySettings(),
+    cleaned: DataFrame | None = None,
+) -> DataFrame:
+    """Term counts per (asset, week), from posts or from already cleaned ones."""
+    if cleaned is None:
+        use_utc(posts.sparkSession)
+        cleaned = clean_posts(posts, settings.posts.min_text_length, settings.week_anchor)
     return post_terms(cleaned, settings.text.ngram_range)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -79,9 +80,36 @@ def default_models() -> tuple[ModelSettings, ...]:
 
 @dataclass(frozen=True)
 class StudySettings:
+    """Everything one study needs besides its tables."""
+
     week_anchor: str = "W-SUN"
     posts: PostSettings = PostSettings()
     label: LabelSettings = LabelSettings()
     text: TextSettings = TextSettings()
     validation: ValidationSettings = ValidationSettings()
     models: tuple[ModelSettings, ...] = field(default_factory=default_models)
+
+
+def study_settings(values: Mapping) -> StudySettings:
+    """Settings from a nested mapping, such as a JSON file; what is missing keeps its default.
+
+    ``models`` maps a name to its parameters and an optional ``enabled`` flag, in order.
+    """
+
+    def part(kind, found: Mapping):
+        known = {f.name for f in fields(kind)}
+        unknown = set(found) - known
+        if unknown:
+            raise ValueError(f"unknown settings for {kind.__name__}: {sorted(unknown)}")
+        return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})
+
+    parts = {"posts": PostSettings, "label": LabelSettings, "text": TextSettings, "validation": ValidationSettings}
+    given = {name: part(kind, values[name]) for name, kind in parts.items() if name in values}
+    if "week_anchor" in values:
+        given["week_anchor"] = values["week_anchor"]
+    if "models" in values:
+        given["models"] = tuple(
+            ModelSettings(name, bool(p.get("enabled", False)), {k: v for k, v in p.items() if k != "enabled"})
+            for name, p in values["models"].items()
+        )
+    return StudySettings(**given)

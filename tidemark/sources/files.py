@@ -44,12 +44,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.csv(path, header=True, inferSchema=schema is None)
 
 
-def save_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+def save_table(df: DataFrame, path: str) -> None:
     """Write a table, replacing what the path held."""
     kind = _kind(path, "save")
     writer = df.write.mode("overwrite")
-    if partition_by is not None:
-        writer = writer.partitionBy(partition_by)
     if kind == "parquet":
         writer.parquet(path)
     else:
