@@ -26,7 +26,7 @@ def _confusion() -> list[Column]:
 
 
 def confusion_counts(predictions: DataFrame, group: Sequence[str]) -> DataFrame:
-    return predictions.groupBy(*group).agg(*_confusion())
+    return predictions.dropna(subset=list(group)).groupBy(*group).agg(*_confusion())
 
 
 def class_metrics(counts: DataFrame) -> DataFrame:
@@ -71,9 +71,10 @@ def _ranked(
 ) -> DataFrame:
     """Counts per distinct score, with the negatives at lower scores of the group.
 
-    Rows are counted per score before any window runs, and the running sum is sliced, so a
+    Rows without a group drop out. Rows are counted per score before any window runs, and the running sum is sliced, so a
     group may hold any number of scores. Bounds come from the rows, without a shuffle.
     """
+    predictions = predictions.dropna(subset=list(group))
     if bounds is None:
         bounds = slice_bounds(predictions, [*group, "y_score"])
     counts = predictions.groupBy(*group, "y_score").agg(*measures)

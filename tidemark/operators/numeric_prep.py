@@ -40,7 +40,7 @@ def exact_medians(
         ).alias("_cell"),
     ).select(*group, "_cell.column_name", "_cell.value")
     keys = [*group, "column_name"]
-    values = long.where(F.col("value").isNotNull())
+    values = long.dropna(subset=[*keys, "value"])
     if bounds is None:
         bounds = slice_bounds(values, [*keys, "value"])
     counts = values.groupBy(*keys, "value").agg(F.count("*").alias("n"))

@@ -5,7 +5,8 @@ rows are first counted. Up to ``rows_per_slice`` rows the plain window is used.
 the full order (group columns first) is cut at sampled bounds, the window runs inside each
 (group, slice), and one small row per (group, slice) carries the last value or the sum over
 to the following slices. The bounds are literals in the plan, so a retried task puts every
-row where the first attempt did, and the result is the same for any choice of bounds.
+row where the first attempt did, and the result is the same for any choice of bounds. Group
+columns must not be null.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
     settled by their remaining columns, so the result does not depend on the read order.
     """
     rest = [c for c in df.columns if c not in key]
-    position = F.struct(*order, *[F.col(c) for c in rest])
-    kept = df.groupBy(*key).agg(F.min_by(F.struct(*rest), position).alias("_row"))
+    position = [column.alias(f"_order{i}") for i, column in enumerate(order)]
+    kept = df.groupBy(*key).agg(F.min(F.struct(*position, *rest)).alias("_row"))
     return kept.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
