@@ -77,14 +77,18 @@ def match_posts(posts: DataFrame, queries: Sequence[AssetQuery]) -> DataFrame:
 
     Letters match in either case. A post may meet several queries. The number of queries is
     known here, so their table is broadcast up to ``MAX_BROADCAST_QUERIES`` rows and a busy
-    channel is never shuffled; beyond that the join is left to Spark.
+    channel is never shuffled; beyond that the join is left to Spark. The title, which the
+    text repeats, is not carried on.
     """
     size = sum(len(q.channels) * len(q.keywords) for q in queries)
-    table = query_table(posts.sparkSession, queries)
+    table = query_table(posts.sparkSession, queries).withColumn("_keyword", F.lower("keyword"))
     if size <= MAX_BROADCAST_QUERIES:
         table = F.broadcast(table)
-    return posts.join(table, "channel").where(
-        F.contains(F.lower("title"), F.lower("keyword"))
+    titled = posts.withColumn("_title", F.lower("title")).drop("title")
+    return (
+        titled.join(table, "channel")
+        .where(F.contains("_title", "_keyword"))
+        .drop("_title", "_keyword")
     )
 
 
@@ -140,7 +144,7 @@ def collect_search(
         match_posts(normalize_posts(raw), queries), settings.max_posts_per_query, newest=True
     )
     kept = within(capped, start, end)
-    rows = kept.drop("title")
+    rows = kept
     if settings.include_comments and comments is not None:
         replies = within(
             normalize_comments(cap_comments(comments, settings.max_comments_per_post)), start, end

@@ -26,7 +26,7 @@ def matched_stream(
         .option("maxFilesPerTrigger", files_per_batch)
         .json(folder)
     )
-    matched = match_posts(normalize_posts(raw), queries).drop("title", "query_no")
+    matched = match_posts(normalize_posts(raw), queries).drop("query_no")
     return clean_posts(matched, min_text_length, anchor)
 
 
