@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.language_id import held_out, identify_language
+from tidemark.llm.language_id import train as train_language
+from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.secret_scan import KINDS, find_secrets, joined_spans
 from tidemark.llm.substring_dedup import remove_repeats
 
 
@@ -14,6 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents")).drop("matches")
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return identify_language(docs, train_language(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
@@ -22,13 +35,27 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS[:3])]
+    base = joined_spans(F.filter("spans", lambda s: s["kind"] < 3))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_language_id": op2_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op8_secret_scan": op8_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
