@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ann_search import nearest
 from tidemark.llm.language_id import held_out, identify_language
 from tidemark.llm.language_id import train as train_language
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.preference_format import format_preferences, neighbour_pairs
 from tidemark.llm.secret_scan import KINDS, find_secrets, joined_spans
 from tidemark.llm.substring_dedup import remove_repeats
+from tidemark.llm.topk_search import top_products
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,10 +34,23 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
 
+def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(table(spark, folder, "embeddings"), k=5, every=50)
+
+
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    shown = format_preferences(neighbour_pairs(table(spark, folder, "conversations")))
+
+    def text(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(spans)
+
+    return shown.select("pair_id", "n_common", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = find_secrets(table(spark, folder, "documents"))
 
@@ -46,6 +62,10 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
 
 
+def op9_ann_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), k=10, every=100)
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -54,8 +74,11 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_topk_search": op4_topk_search,
     "op5_mix_sources": op5_mix_sources,
+    "op7_preference_format": op7_preference_format,
     "op8_secret_scan": op8_secret_scan,
+    "op9_ann_search": op9_ann_search,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -99,6 +122,32 @@ m AS (SELECT h.source, h.hash FROM h JOIN p ON h.source IS NOT DISTINCT FROM p.s
             AND upto - (target - passes * source_size) < (target - passes * source_size) - (upto - own))))
 SELECT d.doc_id, d.size, p.source_size, p.target, ((p.passes + (m.hash IS NOT NULL)::BIGINT) * d.size)::BIGINT AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN m ON m.source IS NOT DISTINCT FROM d.source AND m.hash = d.hash""",
+    "op4_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+      FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_preference_format": r"""
+WITH c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS t
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+a AS (SELECT conv_id, t, (SELECT max(i) FROM unnest(range(1, len(t) + 1)) AS u(i) WHERE t[i].role = 'assistant') AS answer FROM c),
+p AS (SELECT a.conv_id AS pair_id, a.t AS x,
+        a.t[1 : coalesce(a.answer, 1) - 1] || (CASE WHEN b.answer IS NULL THEN [] ELSE [b.t[b.answer]] END) AS y
+      FROM a LEFT JOIN a b ON b.conv_id = a.conv_id + 1),
+n AS (SELECT *, coalesce((SELECT min(i) FROM unnest(range(1, least(len(x), len(y)) + 1)) AS u(i) WHERE x[i] <> y[i]) - 1, least(len(x), len(y))) AS n_common FROM p),
+s AS (SELECT pair_id, n_common, x[1 : n_common] AS z, x[n_common + 1 :] AS x, y[n_common + 1 :] AS y FROM n),
+l AS (SELECT *, list_transform(x, lambda t: length(t.role) + length(t.text) + 13) AS lx, list_transform(y, lambda t: length(t.role) + length(t.text) + 13) AS ly FROM s)
+SELECT pair_id, n_common::INTEGER AS n_common,
+  coalesce(array_to_string(list_transform(z, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(x, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(y, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS rejected,
+  coalesce((SELECT string_agg((coalesce(list_sum(lx[1 : i]), 0) - length(x[i].text) - 8)::BIGINT || ':' || list_sum(lx[1 : i])::BIGINT, ',' ORDER BY i)
+            FROM unnest(range(1, len(x) + 1)) AS u(i) WHERE x[i].role = 'assistant'), '') AS chosen_spans,
+  coalesce((SELECT string_agg((coalesce(list_sum(ly[1 : i]), 0) - length(y[i].text) - 8)::BIGINT || ':' || list_sum(ly[1 : i])::BIGINT, ',' ORDER BY i)
+            FROM unnest(range(1, len(y) + 1)) AS u(i) WHERE y[i].role = 'assistant'), '') AS rejected_spans
+FROM l""",
     "op10_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
