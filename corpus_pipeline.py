@@ -1,26 +1,59 @@
-"""The corpus pipeline: stages applied to ``documents``, each written and read again as the next one's input."""
+"""The corpus pipeline: stages applied to ``documents``, each written and read again as the next one's input.
+
+Language identification drops texts in no known language, near-duplicate removal keeps the document
+with the smallest id of each group, the secret scan blanks what it finds, the mix takes each document
+as often as its source's target asks, and what is left is encoded. No stage samples or caps rows.
+Rows without id pass every filter that needs one. SQL cannot express the learned stages, so
+``ORACLE_SQL`` is None; the tests compare the stages with brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.mixing import mix_sources
+from tidemark.llm.language_id import keep_identified
+from tidemark.llm.language_id import train as train_language
+from tidemark.llm.mixing import take_mix
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.pieces import encode
+from tidemark.llm.queries import PIECES
+from tidemark.llm.secret_scan import redact
 from tidemark.llm.shared import keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    return keep_identified(docs, train_language(docs))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Five-word shingles, similarity 0.8 or more: one document of each group stays."""
+    docs = docs.select(*COLUMNS)
+    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs.select(*COLUMNS)).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) as n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    return take_mix(docs.select(*COLUMNS))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode(docs.select(*COLUMNS), PIECES)
 
 
-STAGES = [("MinHash near-dedup", drop_near_duplicates)]
+STAGES = [
+    ("language ID", identify_languages),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("secret scans", blank_secrets),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
 ORACLE_SQL = None
 
 

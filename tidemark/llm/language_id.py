@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -286,3 +287,27 @@ def identify_language(docs: DataFrame, field: Field | None, id_column: str = "do
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("text").cast("string").rlike(r"\p{L}").alias("lettered")
     )
     return rows.mapInArrow(_label(field), "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, field: Field | None, least: float = 0.5, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows whose language is known well enough, with a null language filled in; same columns.
+
+    Rows are rejected when they are ``und`` or score below ``least``. Texts stay where they are.
+    """
+    label, place, lang = _label(field), docs.columns.index(text_column), docs.columns.index(lang_column)
+    width = len(docs.columns)
+    asked = docs.select("*", F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = pa.array(np.arange(batch.num_rows))
+            one = pa.RecordBatch.from_arrays([numbers, batch.column(place), batch.column(width)], ["doc_id", "text", "lettered"])
+            parts = list(label(iter([one])))
+            found = pa.concat_arrays([x.column(1) for x in parts]) if parts else pa.array([], pa.string())
+            score = pa.concat_arrays([x.column(2) for x in parts]) if parts else pa.array([], pa.float64())
+            good = pc.and_(pc.not_equal(found, UNKNOWN), pc.greater_equal(score, least))
+            columns = batch.columns[:width]
+            columns[lang] = pc.coalesce(columns[lang], found.cast(columns[lang].type))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).filter(good)
+
+    return asked.mapInArrow(choose, docs.schema)

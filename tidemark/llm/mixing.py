@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.llm.shared import keep, pick
@@ -121,6 +120,28 @@ def _thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", F.col("prefix").alias("below"))
 
 
+def _measured(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """(doc_id, source, size, hash): all that the mix needs to know of a document, written once."""
+    rows = pick(docs, doc_id=id_column, source=source_column, text=text_column)
+    return keep(
+        rows.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("source")).alias("hash")),
+        "sizes",
+    )
+
+
+def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
+    """(name, source_size, target, passes, below): one row per source."""
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long")
+    plan = keep(targets.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "plan")
+    below = _thresholds(rows.where("size > 0"), plan.where("passes < %d and source_size > 0" % most))
+    return plan.join(below, plan["source"].eqNullSafe(below["source"]), "left").select(plan["source"].alias("name"), "source_size", "target", "passes", "below")
+
+
+def _copies(hash_column: Column) -> Column:
+    return (F.col("passes") + F.when(hash_column < F.coalesce("below", F.lit(0)), 1).otherwise(0)).cast("long")
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_PASSES,
     id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
@@ -130,19 +151,21 @@ def mix_sources(
     A null text has size 0; a null source is a source of its own, the last one. Rows repeated with
     the same id and source share one hash and are taken together. A document of size 0 is taken as
     often as others but adds no words. An empty table gives an empty result, other columns are ignored.
-    A source whose words are fewer than its rest of target cannot occur, as whole passes come first.
     """
-    rows = keep(
-        pick(docs, doc_id=id_column, source=source_column, text=text_column)
-        .select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("source")).alias("hash")),
-        "sizes",
-    )
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long")
-    plan = keep(targets.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "plan")
-    below = _thresholds(rows.where("size > 0"), plan.where("passes < %d and source_size > 0" % most))
-    both = plan.join(below, plan["source"].eqNullSafe(below["source"]), "left").select(plan["source"].alias("name"), "source_size", "target", "passes", "below")
-    copies = F.col("passes") + F.when(F.col("hash") < F.coalesce("below", F.lit(0)), 1).otherwise(0)
-    return rows.join(both, rows["source"].eqNullSafe(both["name"])).select(
-        "doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast(T.LongType()).alias("copies")
+    rows = _measured(docs, id_column, text_column, source_column)
+    plan = mix_plan(rows, weights, most)
+    return rows.join(plan, rows["source"].eqNullSafe(plan["name"])).withColumn("copies", _copies(F.col("hash"))).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
+
+
+def take_mix(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_PASSES,
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with their own columns. Texts meet only the small plan."""
+    plan = mix_plan(_measured(docs, id_column, text_column, source_column), weights, most)
+    hashed = docs.withColumn("mix_hash", document_hash(F.col(id_column), F.col(source_column).cast("string")))
+    joined = hashed.join(plan, F.col(source_column).cast("string").eqNullSafe(plan["name"]))
+    repeated = joined.select(*[hashed[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), _copies(F.col("mix_hash")).cast("int"))).alias("mix_copy"))
+    return repeated.select(*docs.columns)

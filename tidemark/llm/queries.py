@@ -11,11 +11,15 @@ from tidemark.llm.language_id import train as train_language
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.pieces import decode, encode
 from tidemark.llm.preference_format import format_preferences, neighbour_pairs
 from tidemark.llm.secret_scan import KINDS, find_secrets, joined_spans
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.topk_search import top_products
 
+#: Where the public tokenizers lie; a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -42,6 +46,11 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode(table(spark, folder, "documents"), PIECES)
+    return decode(encoded, PIECES).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_preference_format(spark: SparkSession, folder: str) -> DataFrame:
     shown = format_preferences(neighbour_pairs(table(spark, folder, "conversations")))
 
@@ -76,6 +85,7 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_topk_search": op4_topk_search,
     "op5_mix_sources": op5_mix_sources,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_preference_format": op7_preference_format,
     "op8_secret_scan": op8_secret_scan,
     "op9_ann_search": op9_ann_search,
