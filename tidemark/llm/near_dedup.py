@@ -8,8 +8,9 @@ COORDINATES - MATCHES + 1 rarest pairs of either (prefix merging), and a pair th
 cannot be shared, so classes with fewer live pairs than matches wanted are skipped at once.
 
 Large groups never make all pairs. Round one compares each class with the smallest class of its
-posting lists only, and joins what is linked. Round two looks at lists that still hold several
-components and compares members of different components. Links are confirmed on the full sets.
+posting lists only, and joins what is linked; further turns try other members. Round two looks at lists
+that still hold several components and compares members of different components inside bounded blocks,
+without making rows of pairs. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ COORDINATES, MATCHES = 32, 15
 #: Further coordinates, one byte each, settle most pairs before their full sets are fetched: of all 128
 #: at least this many agree (4.7 standard deviations below the mean at similarity 0.8).
 MORE, MATCHES_OF_ALL = 96, 81
-#: Turns in which only the best pair of each component is tried.
-EARLY_TURNS = 2
+#: Turns in which each member outside the largest component of its lists is tried against one of it.
+EARLY_TURNS = 3
+#: Rows of a block of a cell.
+BLOCK = 1024
 
 
 def shingle_sets(body: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +136,118 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     return live.where(wanted > 0).select("node", "n", F.explode(F.expr(f"slice(pairs, 1, size(pairs) - {MATCHES - 1})")).alias("p")).select("p.pair", "node", "n")
 
 
+_CELL = "cell long, i int, j int, role int, node long, part long"
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows of a cell's block one after another in one partition."""
+    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "role", "node")
+
+
+def _cells(open_lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of every block (i, j) of a cell: askers (role 0, block i) meet all its members (role 1, block j)."""
+    members = open_lists.select(F.col("main").alias("cell"), "node", F.col("component").alias("part")).distinct()
+    asking = (F.col("part") != F.col("cell")).cast("long")
+    sizes = members.groupBy("cell").agg(F.ceil(F.sum(asking) / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("columns"))
+    dealt = members.join(sizes, "cell")
+
+    def own(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(blocks))
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))
+
+    askers = dealt.where("part != cell").select("cell", own("rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(0).alias("role"), "node", "part")
+    met = dealt.select("cell", every("rows").alias("i"), own("columns").cast("int").alias("j"), F.lit(1).alias("role"), "node", "part")
+    rows = askers.union(met).join(classes.select("node", "n_shingles", "signature", "further"), "node")
+    return _gathered(rows.select("cell", "i", "j", "role", "node", "part", "n_shingles", "signature", "further"))
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table per block of a cell; a block has a bounded number of rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            part = batch.slice(a, b - a)
+            if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in range(3)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(percent: int):
+    """Rows of a block that have a partner of similar size and signature in another component."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[pa.Table] = []
+        for block in _by_block(batches):
+            asks = int((block["role"].to_numpy() == 0).sum())
+            if not asks or asks == len(block):
+                continue
+            part, n = block["part"].to_numpy(), block["n_shingles"].to_numpy()
+            first = block["signature"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            more = block["further"].combine_chunks().flatten().to_numpy().reshape(-1, MORE)
+            used = np.zeros(len(block), bool)
+            for a in range(asks):
+                fits = (part[asks:] != part[a]) & (100 * np.minimum(n[asks:], n[a]) >= percent * np.maximum(n[asks:], n[a]))
+                at = np.flatnonzero(fits) + asks
+                agree = (first[at] == first[a]).sum(axis=1)
+                at, agree = at[agree >= MATCHES], agree[agree >= MATCHES]
+                at = at[agree + (more[at] == more[a]).sum(axis=1) >= MATCHES_OF_ALL]
+                if len(at):
+                    used[a] = True
+                    used[at] = True
+            if used.any():
+                out.append(block.select(["cell", "i", "j", "role", "node", "part"]).filter(pa.array(used)))
+            if len(out) >= 500:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out = []
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return find
+
+
+def _solve(percent: int):
+    """One link (a, b) for every asker and every other component that holds a similar enough set."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _by_block(batches):
+            asks = int((block["role"].to_numpy() == 0).sum())
+            if not asks or asks == len(block):
+                continue
+            part, node = block["part"].to_numpy(), block["node"].to_numpy()
+            sets = block["shingles"].combine_chunks()
+            sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values, begin = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            # Postings of the members' shingles.
+            owner = np.repeat(np.arange(len(block) - asks), sizes[asks:])
+            order = np.argsort(values[begin[asks] :], kind="stable")
+            sorted_values, owner = values[begin[asks] :][order], owner[order]
+            a_out, b_out = [], []
+            for a in range(asks):
+                own = values[begin[a] : begin[a + 1]]
+                low, high = np.searchsorted(sorted_values, own, "left"), np.searchsorted(sorted_values, own, "right")
+                each = high - low
+                at = np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                shared = np.bincount(owner[at], minlength=len(block) - asks)
+                good = np.flatnonzero((100 * shared >= percent * (sizes[a] + sizes[asks:] - shared)) & (part[asks:] != part[a]))
+                _, one = np.unique(part[asks:][good], return_index=True)
+                b_out += node[asks:][good[one]].tolist()
+                a_out += [int(node[a])] * len(one)
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    return solve
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -182,40 +297,36 @@ def near_duplicates(
     links = keep(_linked(pairs, sets, percent), "links1")
     joined = keep(components(links), "joined")
 
-    # Round two looks at lists that still hold several components. The largest component of a list is
-    # not compared with itself, so its size never counts twice.
-    placed = active.select("pair", "node", "n").join(joined, "node", "left").select("pair", "node", "n", F.coalesce("component", "node").alias("component"))
-    counted = placed.groupBy("pair", "component").agg(F.count("*").alias("size"))
-    mixed = counted.groupBy("pair").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_lists = keep(placed.join(mixed.select("pair", F.col("main.component").alias("main")), "pair"), "open")
-    small = open_lists.where("component != main").select("pair", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    other = open_lists.select("pair", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("is_main"))
-    met = keep(
-        small.join(other, "pair")
-        .where((F.col("ca") != F.col("cb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _similar_sizes(F.col("na"), F.col("nb"), percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "met",
-    )
-    left = keep(close(met), "pairs2")
-    more = sets_of(left, "sets2", sets)
-    sets = sets.union(more)
+    def open_lists(parts: DataFrame, name: str) -> DataFrame:
+        """Members of lists that hold several components, each list with its largest component."""
+        placed = active.select("pair", "node", "n").join(parts, "node", "left").select("pair", "node", "n", F.coalesce("component", "node").alias("component"))
+        counted = placed.groupBy("pair", "component").agg(F.count("*").alias("size"))
+        mixed = counted.groupBy("pair").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return keep(placed.join(mixed.select("pair", F.col("main.component").alias("main")), "pair"), name)
 
-    def apart(some: DataFrame, parts: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components (ca, cb)."""
-        for side in ("a", "b"):
-            some = some.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-        return some.where("ca != cb")
-
-    # Each component's best pair to another one is tried first; where it is linked, the other pairs
-    # of the two need no sets any more. What is then still apart is tried pair by pair.
+    # Further turns: members outside the largest component of their lists meet one member of it per
+    # list, another one each turn, and the best of them is tried. So large groups grow together by as
+    # many pairs as they have members.
+    have = sets.select("node")
     for turn in range(EARLY_TURNS):
-        ends = apart(left, joined)
-        outward = ends.select(F.col("ca").alias("part"), "agree", "a", "b").union(ends.select("cb", "agree", "a", "b"))
-        best = keep(outward.groupBy("part").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), f"best{turn}")
+        still = open_lists(joined, f"open{turn}")
+        partner = still.where("component = main").groupBy("pair").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n")).alias("p"))
+        asked = still.where("component != main").join(partner, "pair").where(_similar_sizes(F.col("n"), F.col("p.n"), percent))
+        asked = asked.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+        asked = asked.join(have.withColumnRenamed("node", "a"), "a", "left_semi").join(have.withColumnRenamed("node", "b"), "b", "left_semi")
+        best = close(asked).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b")
         links = keep(links.union(_linked(best, sets, percent)), f"early{turn}")
         joined = keep(components(links), "joined")
-        left = keep(left.join(best, ["a", "b"], "left_anti"), f"left{turn}")
-    links = links.union(keep(_linked(apart(left, joined).select("a", "b"), sets, percent), "rest"))
+
+    # Round two settles what is left in lists that still hold several components. Members outside a
+    # list's largest component are attached to it, and compared inside a cell with it and each other.
+    # Cells are cut into blocks; pairs never become rows: a first pass over signatures names the classes
+    # with a partner in reach, a second one over their full sets gives one link per component met.
+    cells = _cells(open_lists(joined, "open"), classes)
+    near = keep(cells.mapInArrow(_near(percent), _CELL), "near")
+    sets = sets.union(sets_of(near.select(F.col("node").alias("a"), F.col("node").alias("b")), "sets2", sets))
+    solved = _gathered(near.join(sets, "node").select("cell", "i", "j", "role", "node", "part", "shingles")).mapInArrow(_solve(percent), "a long, b long")
+    links = links.union(keep(solved.distinct(), "links2"))
     whole = keep(components(links), "whole")
 
     named = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
