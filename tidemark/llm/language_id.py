@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import U64, Words, as_bytes, mix, pick, pieces, seeds, word_table
+from tidemark.llm.shared import U64, Words, as_bytes, fresh, mix, pick, pieces, seeds, word_table
 
 #: Most labelled documents of a language, and most words of each, that the fit takes (documented bounds).
 PER_LANGUAGE, WORDS_EACH = 150, 160
@@ -296,7 +296,7 @@ def keep_identified(docs: DataFrame, field: Field | None, least: float = 0.5, te
     """
     label, place, lang = _label(field), docs.columns.index(text_column), docs.columns.index(lang_column)
     width = len(docs.columns)
-    asked = docs.select("*", F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    asked = docs.select("*", F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "lettered")))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

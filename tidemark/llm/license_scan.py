@@ -70,9 +70,9 @@ def document_frequencies(rows: DataFrame, vocabulary: Sequence[str]) -> tuple[di
 
 
 def _anchors(words: Sequence[str], frequency: Mapping[str, int], documents: int) -> list[tuple[int, str]]:
-    """The template's rarest words and their places; ties by place."""
-    idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in words}
-    return sorted(sorted(enumerate(words), key=lambda p: (-idf[p[1]], p[0]))[:ANCHORS])
+    """The template's rarest words among those that occur at all, and their places; ties by place."""
+    idf = {w: math.log((1 + documents) / (1 + frequency[w])) for w in words if frequency.get(w)}
+    return sorted(sorted(((q, w) for q, w in enumerate(words) if w in idf), key=lambda p: (-idf[p[1]], p[0]))[:ANCHORS])
 
 
 def _starts(words: Column, hits: Column, anchors: Sequence[tuple[int, str]]) -> Column:
@@ -119,8 +119,11 @@ def scan_licenses(docs: DataFrame, base=BASE_PHRASES, notices=NOTICES, id_column
     postings = []
     for label, whole, at, must, is_base in known:
         anchors = _anchors(whole, frequency, documents)
+        if not all(frequency.get(w) for w in must):
+            continue  # a mandatory word occurs in no file
         postings.append((label, whole, at, must, is_base, sorted(anchors, key=lambda p: (frequency.get(p[1], 0), p[0]))[:1] if is_base else anchors))
     rare = sorted({w for *_, anchors in postings for _, w in anchors})
+    rare = rare or [""]
     hits = F.filter(F.transform(words, lambda w, i: F.struct(F.lower(w).alias("word"), i.alias("place"))), lambda h: h["word"].isin(*rare))
     none = F.array().cast("array<struct<word:string,place:int>>")
     # Most files have no rare licence word: they never build positions.
@@ -137,7 +140,7 @@ def scan_licenses(docs: DataFrame, base=BASE_PHRASES, notices=NOTICES, id_column
     empty = F.array().cast("array<struct<label:string,start:int,share:double,base:boolean>>")
     matched = hit.select(
         "doc_id", F.size("words").cast("long").alias("n_words"),
-        F.when(F.size("hits") > 0, F.array_sort(F.flatten(F.array(*found)))).otherwise(empty).alias("matches"),
+        (F.when(F.size("hits") > 0, F.array_sort(F.flatten(F.array(*found)))).otherwise(empty) if found else empty).alias("matches"),
     )
     places = matched.withColumn("places", F.transform(F.filter("matches", lambda m: m["base"]), lambda m: m["start"]))
 

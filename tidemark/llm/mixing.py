@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import keep, pick
+from tidemark.llm.shared import fresh, keep, pick
 
 #: Fixed values of the operation: weights of the sources in order, and how often a source may be taken.
 WEIGHTS = (5, 2, 1)
@@ -138,8 +138,8 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return plan.join(below, plan["source"].eqNullSafe(below["source"]), "left").select(plan["source"].alias("name"), "source_size", "target", "passes", "below")
 
 
-def _copies(hash_column: Column) -> Column:
-    return (F.col("passes") + F.when(hash_column < F.coalesce("below", F.lit(0)), 1).otherwise(0)).cast("long")
+def _copies(hashed: Column, passes: Column, below: Column) -> Column:
+    return (passes + F.when(hashed < F.coalesce(below, F.lit(0)), 1).otherwise(0)).cast("long")
 
 
 def mix_sources(
@@ -154,7 +154,7 @@ def mix_sources(
     """
     rows = _measured(docs, id_column, text_column, source_column)
     plan = mix_plan(rows, weights, most)
-    return rows.join(plan, rows["source"].eqNullSafe(plan["name"])).withColumn("copies", _copies(F.col("hash"))).select(
+    return rows.join(plan, rows["source"].eqNullSafe(plan["name"])).withColumn("copies", _copies(F.col("hash"), F.col("passes"), F.col("below"))).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
 
@@ -165,7 +165,9 @@ def take_mix(
 ) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns. Texts meet only the small plan."""
     plan = mix_plan(_measured(docs, id_column, text_column, source_column), weights, most)
-    hashed = docs.withColumn("mix_hash", document_hash(F.col(id_column), F.col(source_column).cast("string")))
-    joined = hashed.join(plan, F.col(source_column).cast("string").eqNullSafe(plan["name"]))
-    repeated = joined.select(*[hashed[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), _copies(F.col("mix_hash")).cast("int"))).alias("mix_copy"))
+    copy = fresh(docs, "mix_copy")
+    source = docs[source_column].cast("string")
+    copies = _copies(document_hash(docs[id_column], source), plan["passes"], plan["below"])
+    joined = docs.join(plan, source.eqNullSafe(plan["name"]))
+    repeated = joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias(copy))
     return repeated.select(*docs.columns)

@@ -27,7 +27,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_files
 from tidemark.llm.shared import POWERS, U64, keep, mix, pick, pieces, seeds
 
 #: Most units that are looked up from a broadcast table.
-COMMON = 1 << 20
+COMMON = 1 << 18
 SPACE = "▁"
 #: The penalty below the smallest score for a character without piece, a fixed value of the format.
 UNKNOWN_PENALTY = 10.0
@@ -101,7 +101,7 @@ class Cutter:
         return whole, edges, mix(hashes ^ np.diff(edges).astype(U64)), np.searchsorted(at, bounds)
 
 
-def _some_rows(column: pa.Array, limit: int = 6_000_000) -> Iterator[tuple[int, list[str]]]:
+def _some_rows(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     sizes = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))]).astype(np.int64)
     for first, last in pieces(sizes, limit):
         yield first, [t or "" for t in column.slice(first, last - first).to_pylist()]
