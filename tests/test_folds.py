@@ -14,22 +14,20 @@ def weeks(spark, n=10):
     return spark.createDataFrame([(a, w) for w in MONDAYS[:n] for a in ("A", "B")], "asset string, week_start timestamp")
 
 
-def test_ten_weeks_give_three_folds(spark):
-    rows = FO.expanding_folds(weeks(spark), 4, 2, 2).collect()
-    sizes = {}
-    for fold in (1, 2, 3):
-        train = [r["week_start"] for r in rows if r["fold_id"] == fold and r["role"] == "train"]
-        val = [r["week_start"] for r in rows if r["fold_id"] == fold and r["role"] == "val"]
-        assert max(train) < min(val) and len(val) == 2
-        sizes[fold] = len(train)
-    assert sizes == {1: 4, 2: 6, 3: 8} and len({r["fold_id"] for r in rows}) == 3
-    listed = FO.fold_list(MONDAYS, 4, 2, 2)
-    assert [(f.fold_id, f.val_start, f.val_end) for f in listed] == [
-        (1, MONDAYS[4], MONDAYS[5]), (2, MONDAYS[6], MONDAYS[7]), (3, MONDAYS[8], MONDAYS[9])
-    ]
+def test_folds_grow_by_their_step(spark):
+    """Three weeks to learn from, three to judge, one further each time: five folds in ten weeks."""
+    roles = {}
+    for r in FO.expanding_folds(weeks(spark), 3, 3, 1).collect():
+        roles.setdefault((r["fold_id"], r["role"]), set()).add(r["week_start"])
+    assert roles == {
+        (fold, role): set(MONDAYS[:cut] if role == "train" else MONDAYS[cut : cut + 3])
+        for fold, cut in enumerate(range(3, 8), start=1) for role in ("train", "val")
+    }
+    listed = FO.fold_list(MONDAYS, 3, 3, 1)
+    assert [(f.fold_id, f.val_start, f.val_end) for f in listed] == [(k, MONDAYS[k + 2], MONDAYS[k + 4]) for k in range(1, 6)]
     panel = weeks(spark)
     for fold in listed:
-        joined = FO.fold_rows(panel, FO.expanding_folds(panel, 4, 2, 2)).where(F.col("fold_id") == fold.fold_id)
+        joined = FO.fold_rows(panel, FO.expanding_folds(panel, 3, 3, 1)).where(F.col("fold_id") == fold.fold_id)
         assert fold.train(panel).count() == joined.where("role = 'train'").count()
         assert fold.validation(panel).count() == joined.where("role = 'val'").count()
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,32 +28,40 @@ def study(**label):
 
 
 def posts_and_bars(spark):
+    """Five weeks of two bars each, with posts in the second and fourth week."""
     posts = spark.createDataFrame(
         [
-            ("COIN", "2024-01-01T12:00:00Z", "the coin rally looks strong", "p1", "u1", 2, 1, "coins"),
-            ("COIN", "2024-01-15T12:00:00Z", "coin sell pressure", "p2", "u2", 1, 0, "coins"),
+            ("TIN", "2021-06-09T07:00:00Z", "miners sell before the coin fair", "q1", "eve", 5, 4, "metals"),
+            ("TIN", "2021-06-13T23:00:00Z", "smelter reopens", "q2", "max", 1, 0, "plants"),
+            ("TIN", "2021-06-24T12:00:00Z", "rally rally", "q3", "eve", 0, 2, "metals"),
         ],
         POST_DDL,
     )
+    closes = ((50, 40), (44, 50), (55, 25), (24, 30), (31, 33))
     bars = spark.createDataFrame(
-        [("COIN", "2024-01-01", 100, 101, 99, 100, 10), ("COIN", "2024-01-08", 100, 112, 99, 110, 12),
-         ("COIN", "2024-01-15", 110, 111, 90, 99, 14), ("COIN", "2024-01-22", 99, 121, 98, 120, 16)],
-        "asset string, date string, open int, high int, low int, close int, volume int",
+        [
+            ("TIN", f"2021-{day:%m-%d}", float(close), close + 2.0, close - 2.0, float(close), 7.0)
+            for week, pair in enumerate(closes)
+            for day, close in zip((date(2021, 5, 31) + timedelta(weeks=week), date(2021, 6, 3) + timedelta(weeks=week)), pair)
+        ],
+        "asset string, date string, open double, high double, low double, close double, volume double",
     )
     return posts, bars
 
 
-def test_four_weeks_give_three_labelled_rows(spark):
+def test_five_weeks_give_four_labelled_rows(spark):
     posts, bars = posts_and_bars(spark)
     rows = weekly_panel(posts, bars, study(), with_text=True).orderBy("week_start", "asset").collect()
-    assert len(rows) == 3
-    assert rows[0]["future_return_h"] == pytest.approx(0.10) and rows[0]["target_up"] == 1
-    assert rows[1]["future_return_h"] == pytest.approx(-0.10) and rows[1]["target_up"] == 0
-    assert [r["post_count"] for r in rows] == [1.0, 0.0, 1.0]
-    assert [r["post_keyword_hits_sum"] for r in rows] == [2.0, 0.0, 2.0]
-    assert [r["post_channel_coins_count"] for r in rows] == [1.0, 0.0, 1.0]
-    assert [r["weekly_text"] for r in rows] == ["the coin rally looks strong", "", "coin sell pressure"]
-    assert [r["naive_persistence_signal"] for r in rows] == [0, 1, 0]
+    # Weeks close at 40, 50, 25, 30 and 33.
+    assert [r["mkt_close"] for r in rows] == [40.0, 50.0, 25.0, 30.0]
+    assert [r["future_return_h"] for r in rows] == pytest.approx([0.25, -0.5, 0.2, 0.1])
+    assert [r["target_up"] for r in rows] == [1, 0, 1, 1]
+    assert [r["post_count"] for r in rows] == [0.0, 2.0, 0.0, 1.0]
+    assert [r["post_keyword_hits_sum"] for r in rows] == [0.0, 2.0, 0.0, 2.0]
+    assert [r["post_channel_metals_count"] for r in rows] == [0.0, 1.0, 0.0, 1.0]
+    assert [r["post_channel_plants_count"] for r in rows] == [0.0, 1.0, 0.0, 0.0]
+    assert [r["weekly_text"] for r in rows] == ["", "miners sell before the coin fair smelter reopens", "", "rally rally"]
+    assert [r["naive_persistence_signal"] for r in rows] == [0, 1, 0, 1]
 
 
 def test_labels_at_the_threshold_are_neutral(spark):

@@ -16,22 +16,28 @@ POST_DDL = (
 
 
 def posts(spark):
+    """Three posts of one week, from Sunday-ended 2022-11-14."""
     return spark.createDataFrame(
         [
-            ("COIN", "2024-01-03T10:00:00Z", "Coin looks strong and market sentiment is positive", "a1", "u1", 10, 3, "coins"),
-            ("COIN", "2024-01-04T12:00:00Z", "It could dump after the rally but maybe recovers later", "a2", "u2", 4, 1, "crypto"),
+            ("WHEAT", "2022-11-14T00:00:00Z", "Harvest forecasts are good this autumn", "x7", "ana", 2, 0, "farming"),
+            ("WHEAT", "2022-11-17T18:30:00Z", "Export ban announced, silos stay full", "x8", None, 31, 12, "news"),
+            ("WHEAT", "2022-11-20T23:59:59Z", "Nobody expects rain before December", "x9", "bo", 0, 5, "farming"),
         ],
         POST_DDL,
     )
 
 
+#: (negative, neutral, positive) by the first word of a post.
+STUB = {"harvest": (0.05, 0.3, 0.65), "export": (0.75, 0.2, 0.05), "nobody": (0.3, 0.4, 0.3)}
+
+
 def stub():
     """A factory that travels to the workers by value."""
+    table = dict(STUB)
 
     def factory():
         def predict(texts):
-            strong = np.array(["strong" in t for t in texts])
-            return np.where(strong[:, None], [[0.1, 0.1, 0.8]], [[0.2, 0.6, 0.2]])
+            return np.array([[table[t.split()[0]][k] for k in (1, 0, 2)] for t in texts])
 
         return ("neutral", "Negative", "POSITIVE"), predict
 
@@ -43,21 +49,21 @@ def missing():
 
 
 def test_lexicon_backend_has_no_model_columns(spark):
-    out = weekly_text_features(posts(spark), ["coin", "dump"], 5)
-    rows = out.collect()
-    assert len(rows) == 1 and rows[0]["post_count"] == 2.0
+    out = weekly_text_features(posts(spark), ["harvest", "silos"], 5)
+    (row,) = out.collect()
+    assert row["post_count"] == 3.0 and row["post_keyword_hits_sum"] == 2.0
     assert "post_lex_sentiment_mean" in out.columns
     assert not [c for c in out.columns if "model" in c]
 
 
 def test_hybrid_backend_has_both(spark):
-    rows = weekly_text_features(posts(spark), ["coin"], 5, backend="hybrid", factory=stub()).collect()
-    assert len(rows) == 1
-    assert rows[0]["post_model_sentiment_mean"] == pytest.approx(0.15)
-    assert rows[0]["post_model_sentiment_pos_share"] == 0.5
-    assert rows[0]["post_model_sentiment_neg_share"] == 0.5
-    assert rows[0]["post_model_sentiment_std"] == pytest.approx(np.std([0.7, -0.4], ddof=1))
-    assert "post_lex_sentiment_mean" in rows[0].asDict()
+    (row,) = weekly_text_features(posts(spark), ["rain"], 5, backend="hybrid", factory=stub()).collect()
+    scores = [positive - negative for negative, _, positive in STUB.values()]
+    assert row["post_model_sentiment_mean"] == pytest.approx(sum(scores) / 3)
+    assert row["post_model_sentiment_pos_share"] == pytest.approx(1 / 3)
+    assert row["post_model_sentiment_neg_share"] == pytest.approx(1 / 3)
+    assert row["post_model_sentiment_std"] == pytest.approx(np.std(scores, ddof=1))
+    assert "post_lex_sentiment_mean" in row.asDict()
 
 
 def test_backend_choice(spark):
@@ -116,13 +122,20 @@ def test_polarity_rules(spark):
         assert row["lex_compound"] == pytest.approx(compound(CASES[row["clean_text"]])), row["clean_text"]
 
 
-def test_joined_lexicon_gives_the_same_scores(spark, monkeypatch):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "i int, clean_text string")
-    table = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
-    inside = {r["i"]: r["lex_compound"] for r in S.with_lexicon_polarity(df, table, key=["i"]).collect()}
-    monkeypatch.setattr(S, "MAX_LEXICON", 2)
-    joined = {r["i"]: r["lex_compound"] for r in S.with_lexicon_polarity(df, table, key=["i"]).collect()}
-    assert joined == pytest.approx(inside) and len(joined) == len(CASES)
+def test_joined_lexicon_gives_the_same_scores(spark):
+    """No key, a null text, repeated rows, repeated and incomplete entries: both ways agree."""
+    texts = [*CASES, None, "good but bad", "twice twice"]
+    df = spark.createDataFrame([(None if i % 3 else i, t) for i, t in enumerate(texts)], "source_id int, clean_text string")
+    rows = [*LEXICON.items(), ("twice", 1.0), ("twice", 2.0), ("blank", None), (None, 3.0)]
+    table = spark.createDataFrame(rows, "token string, valence double")
+
+    def scored(most):
+        out = S.with_lexicon_polarity(df, table, max_literal=most)
+        assert out.columns == [*df.columns, "lex_compound"]
+        return sorted((str(r["source_id"]), str(r["clean_text"]), round(r["lex_compound"], 9)) for r in out.collect())
+
+    assert scored(4) == scored(3) and len(scored(3)) == len(texts)
+    assert ("None", "twice twice", round(compound(3.0), 9)) in scored(3) or ("18", "twice twice", round(compound(3.0), 9)) in scored(3)
 
 
 def test_a_large_lexicon_stays_inside_the_row(spark):
