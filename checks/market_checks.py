@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.stand_ins import (
@@ -136,8 +138,8 @@ SELECT CAST(date AS DATE) AS date, {', '.join(num(c, c) for c in ('open', 'high'
 FROM bars WHERE datediff('day', DATE '1970-01-01', CAST(date AS DATE)) % 17 != 0"""
 
 
-def _series(spark, folder):
-    daily = bars(spark, folder).where(F.col("asset") == ASSETS[0])
+def _series(spark, folder, asset):
+    daily = bars(spark, folder).where(F.col("asset") == asset)
     day = F.dayofmonth("date")
     return daily.select(
         F.date_format("date", "yyyy-MM-dd").alias("date"),
@@ -145,25 +147,33 @@ def _series(spark, folder):
     )
 
 
+def _flat(spark, folder, asset):
+    return normalize_close_series(_series(spark, folder, asset), "1996-01-01", "1998-01-01")
+
+
 def close_series(spark, folder):
-    return rounded(dated(normalize_close_series(_series(spark, folder), "1996-01-01", "1998-01-01"), "date"))
+    """Each asset's closes are a series of their own."""
+    flat = [_flat(spark, folder, a).withColumn("asset", F.lit(a)) for a in ASSETS]
+    return rounded(dated(reduce(lambda x, y: x.unionByName(y), flat), "date"))
 
 
-_CLOSES = f"""SELECT CAST(date AS DATE) AS date, {', '.join(num('close', c) for c in ('open', 'high', 'low', 'close'))},
+_CLOSES = f"""SELECT asset, CAST(date AS DATE) AS date, {', '.join(num('close', c) for c in ('open', 'high', 'low', 'close'))},
   CAST(0 AS DOUBLE) AS volume
-FROM bars WHERE asset = '{ASSETS[0]}' AND date >= DATE '1996-01-01' AND date < DATE '1998-01-01' AND day(date) % 7 != 0"""
+FROM bars WHERE date >= DATE '1996-01-01' AND date < DATE '1998-01-01' AND day(date) % 7 != 0"""
 
 
 def market_union(spark, folder):
-    flat = normalize_close_series(_series(spark, folder), "1996-01-01", "1998-01-01")
-    full = bars(spark, folder).where(F.col("asset") == ASSETS[4]).drop("asset")
-    return rounded(dated(union_market(spark, [("A", "A-USD", full), ("B", "B_PROXY", flat), ("C", "C", None)]), "date"))
+    """Full bars of three assets, close series of two, and one source that found nothing."""
+    full = [(a, f"{a}-USD", bars(spark, folder).where(F.col("asset") == a).drop("asset")) for a in ASSETS[:3]]
+    flat = [(a, f"{a}_PROXY", _flat(spark, folder, a)) for a in ASSETS[3:]]
+    return rounded(dated(union_market(spark, [*full, *flat, ("none", "NONE", None)]), "date"))
 
 
+_FULL = ", ".join(f"'{a}'" for a in ASSETS[:3])
 MARKET_UNION = f"""WITH {BARS}, flat AS ({_CLOSES})
-SELECT CAST(date AS DATE) AS date, 'A' AS asset, 'A-USD' AS ticker,
-  {', '.join(num(c, c) for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars WHERE asset = '{ASSETS[4]}'
-UNION ALL SELECT date, 'B', 'B_PROXY', open, high, low, close, volume FROM flat"""
+SELECT CAST(date AS DATE) AS date, asset, asset || '-USD' AS ticker,
+  {', '.join(num(c, c) for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars WHERE asset IN ({_FULL})
+UNION ALL SELECT date, asset, asset || '_PROXY', open, high, low, close, volume FROM flat WHERE asset NOT IN ({_FULL})"""
 
 
 QUERIES = {

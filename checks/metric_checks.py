@@ -29,6 +29,13 @@ def roc_auc(spark, folder):
     return rounded(ME.roc_auc(predictions(spark, folder), ["model", "asset"]))
 
 
+def auc_with_nan(spark, folder):
+    """A NaN score is no score: such rows rank nowhere."""
+    found = predictions(spark, folder)
+    lost = F.dayofmonth("week_start") % 3 == 0
+    return rounded(ME.roc_auc(found.withColumn("y_score", F.when(lost, F.lit(float("nan"))).otherwise(F.col("y_score"))), ["model", "asset"]))
+
+
 def lineitem_auc(spark, folder):
     """Late shipping against price: many distinct scores per group."""
     items = table(spark, folder, "lineitem").select(
@@ -152,6 +159,7 @@ def class_weights(spark, folder):
 QUERIES = {
     "confusion_metrics": confusion_metrics,
     "roc_auc": roc_auc,
+    "roc_auc_nan": auc_with_nan,
     "roc_auc_many_scores": lineitem_auc,
     "metrics_by_asset": by_asset,
     "dedup_predictions": dedup_predictions,
@@ -169,6 +177,9 @@ ORACLES = {
     "confusion_metrics": CONFUSION,
     "roc_auc": f"""WITH {PREDICTIONS},
 scored AS (SELECT * FROM predictions WHERE y_score IS NOT NULL), {metrics_sql('scored', 'model, asset')}
+SELECT model, asset, {num('auc', 'roc_auc')} FROM area""",
+    "roc_auc_nan": f"""WITH {PREDICTIONS},
+scored AS (SELECT * FROM predictions WHERE y_score IS NOT NULL AND day(week_start) % 3 != 0), {metrics_sql('scored', 'model, asset')}
 SELECT model, asset, {num('auc', 'roc_auc')} FROM area""",
     "roc_auc_many_scores": LINEITEM_AUC,
     "metrics_by_asset": f"""WITH {PREDICTIONS}, {metrics_sql('once', 'model, asset')}

@@ -74,6 +74,16 @@ def post_polarity(spark, folder):
     return rounded(scored.select("source_id", "lex_compound"))
 
 
+def post_polarity_joined(spark, folder):
+    """The same from a lexicon too large for a literal, with a repeated and two incomplete entries."""
+    rules = S.PolarityRules(up_words=UP_WORDS, down_words=DOWN_WORDS, negations=NEGATIONS)
+    first = next(iter(LEXICON))
+    rows = [*LEXICON.items(), (first, LEXICON[first] + 1.0), (first, LEXICON[first] - 1.0), ("void", None), (None, 1.0)]
+    lexicon = spark.createDataFrame(rows, "token string, valence double")
+    scored = S.with_lexicon_polarity(W.clean_posts(posts(spark, folder)), lexicon, rules=rules, max_literal=2)
+    return rounded(scored.select("source_id", "lex_compound"))
+
+
 def _words(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
@@ -172,6 +182,12 @@ def normal_posts(spark, folder):
     return P.normalize_posts(raw_posts(spark, folder)).select("channel", *POST_COLUMNS)
 
 
+def normal_posts_fraction(spark, folder):
+    """Epochs with a fraction of a second, as some dumps carry them."""
+    raw = raw_posts(spark, folder).withColumn("created_utc", F.col("created_utc") + F.lit(0.25))
+    return P.normalize_posts(raw).select("channel", *POST_COLUMNS)
+
+
 def normal_comments(spark, folder):
     return P.normalize_comments(raw_comments(spark, folder))
 
@@ -274,9 +290,11 @@ QUERIES = {
     "source_pivot": channel_pivot,
     "channel_counts": channel_counts,
     "post_polarity": post_polarity,
+    "post_polarity_joined": post_polarity_joined,
     "lexicon_sentiment": lexicon_sentiment,
     "model_sentiment": model_sentiment,
     "normalize_posts": normal_posts,
+    "normalize_posts_fraction": normal_posts_fraction,
     "normalize_comments": normal_comments,
     "match_posts": match_posts,
     "cap_per_query": cap_earliest,
@@ -306,9 +324,12 @@ SELECT asset, week_start, {', '.join(f'post_channel_{c}_count' for c in CHANNELS
     "channel_counts": f"""WITH {POSTS}
 SELECT asset, week_start, channel, CAST(count(*) AS DOUBLE) AS posts FROM cleaned GROUP BY ALL""",
     "post_polarity": POLARITY,
+    "post_polarity_joined": POLARITY,
     "lexicon_sentiment": LEXICON_SENTIMENT,
     "model_sentiment": MODEL_SENTIMENT,
     "normalize_posts": f"WITH {RAW_POSTS} SELECT channel, {', '.join(POST_COLUMNS)} FROM normal",
+    "normalize_posts_fraction": f"""WITH {RAW_POSTS}
+SELECT channel, {', '.join("created_utc + INTERVAL 250 MILLISECONDS AS created_utc" if c == 'created_utc' else c for c in POST_COLUMNS)} FROM normal""",
     "normalize_comments": f"""WITH {RAW_COMMENTS},
 c AS (SELECT *, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS text FROM talk)
 SELECT post_id, 'comment' AS source_type, id AS source_id, created_utc, author, score,

@@ -77,17 +77,15 @@ FROM blocks GROUP BY block"""
 
 
 def experiments(spark, folder):
+    """One experiment per asset."""
     once = R.unique_predictions(predictions(spark, folder))
-    first = metrics_by_asset(once.where(F.col("asset") == ASSETS[0]))
-    second = metrics_by_asset(once.where(F.col("asset") == ASSETS[1]))
-    return rounded(compare_experiments({"first": first, "second": second}))
+    return rounded(compare_experiments({f"on {a}": metrics_by_asset(once.where(F.col("asset") == a)) for a in ASSETS}))
 
 
 EXPERIMENTS = f"""WITH {PREDICTIONS}, {metrics_sql('once', 'model, asset')}
-SELECT CASE asset WHEN '{ASSETS[0]}' THEN 'first' ELSE 'second' END AS experiment, model AS best_model,
+SELECT 'on ' || asset AS experiment, model AS best_model,
   {', '.join(num(m, m) for m in ('balanced_accuracy', 'f1', 'roc_auc'))}
-FROM metrics WHERE asset IN ('{ASSETS[0]}', '{ASSETS[1]}')
-QUALIFY row_number() OVER (PARTITION BY asset ORDER BY balanced_accuracy DESC, model) = 1"""
+FROM metrics QUALIFY row_number() OVER (PARTITION BY asset ORDER BY balanced_accuracy DESC, model) = 1"""
 
 
 QUERIES = {

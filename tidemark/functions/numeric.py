@@ -16,6 +16,12 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
+def known(value: Column) -> Column:
+    """The value as a double; NaN counts as missing."""
+    number = value.cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def change(value: Column, previous: Column) -> Column:
     """Relative change; null where the earlier value is null or zero."""
     return F.try_divide(value, previous) - F.lit(1.0)

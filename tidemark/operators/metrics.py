@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import share
+from tidemark.functions.numeric import known, share
 from tidemark.operators.slices import Bounds, slice_bounds, sum_before
 from tidemark.operators.top_rows import first_per_key
 
@@ -51,6 +51,11 @@ def class_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+def with_scores(predictions: DataFrame) -> DataFrame:
+    """A NaN score is no score."""
+    return predictions.withColumn("y_score", known(F.col("y_score")))
+
+
 def _classes() -> list[Column]:
     """Rows of each class that carry a score; rows without one rank nowhere."""
     scored = F.col("y_score").isNotNull()
@@ -74,7 +79,7 @@ def _ranked(
     Rows without a group drop out. Rows are counted per score before any window runs, and the running sum is sliced, so a
     group may hold any number of scores. Bounds come from the rows, without a shuffle.
     """
-    predictions = predictions.dropna(subset=list(group))
+    predictions = with_scores(predictions).dropna(subset=list(group))
     if bounds is None:
         bounds = slice_bounds(predictions, [*group, "y_score"])
     counts = predictions.groupBy(*group, "y_score").agg(*measures)
@@ -83,7 +88,7 @@ def _ranked(
 
 def roc_auc(predictions: DataFrame, group: Sequence[str], bounds: Bounds | None = None) -> DataFrame:
     """(group, roc_auc): the exact, tie-aware area; null for one class."""
-    scored = predictions.where(F.col("y_score").isNotNull() & F.col("target_up").isNotNull())
+    scored = with_scores(predictions).where(F.col("y_score").isNotNull() & F.col("target_up").isNotNull())
     return _ranked(scored, group, _classes(), bounds).groupBy(*group).agg(_area().alias("roc_auc"))
 
 

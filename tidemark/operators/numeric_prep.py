@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.numeric import known
 from tidemark.operators.slices import Bounds, slice_bounds, sum_before
 
 SMALL_BLOCK = 100_000
@@ -26,7 +27,7 @@ def numeric_columns(panel: DataFrame) -> list[str]:
 def exact_medians(
     df: DataFrame, columns: Sequence[str], group: Sequence[str] = (), bounds: Bounds | None = None
 ) -> DataFrame:
-    """(group, column_name, median) of the non-null values; a column with none has no row.
+    """(group, column_name, median) of the known values (NaN is none); a column with none has no row.
 
     Equal values are counted before the shuffle and the ranks come from sliced running sums,
     so neither a frequent value nor a large group has to fit into one task. All columns are
@@ -35,7 +36,7 @@ def exact_medians(
     long = df.select(
         *group,
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+            F.array(*[F.struct(F.lit(c).alias("column_name"), known(F.col(c)).alias("value"))
                       for c in columns])
         ).alias("_cell"),
     ).select(*group, "_cell.column_name", "_cell.value")
@@ -73,7 +74,7 @@ class NumericPrep:
         return df.withColumns(
             {
                 f"{prefix}{c}": (
-                    F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - F.lit(self.means[c])
+                    F.coalesce(known(F.col(c)), F.lit(self.medians[c])) - F.lit(self.means[c])
                 ) / F.lit(self.deviations[c])
                 for c in self.columns
             }
@@ -88,14 +89,14 @@ def fit_numeric(train: DataFrame, columns: Sequence[str], n_train: int | None =
     so that it scales to zeros.
     """
     if n_train is not None and n_train <= SMALL_BLOCK:
-        row = train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns]).first()
+        row = train.agg(*[F.median(known(F.col(c))).alias(c) for c in columns]).first()
         found = {c: row[c] for c in columns if row[c] is not None}
     else:
         found = {r["column_name"]: r["median"] for r in exact_medians(train, columns).collect()}
     medians = {c: found[c] for c in columns if c in found}
     if not medians:
         raise ValueError("no numeric column has a value")
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()}
+    filled = {c: F.coalesce(known(F.col(c)), F.lit(m)) for c, m in medians.items()}
     row = train.agg(
         *[F.avg(v).alias(f"m_{c}") for c, v in filled.items()],
         *[F.stddev_pop(v).alias(f"s_{c}") for c, v in filled.items()],

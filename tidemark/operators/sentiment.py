@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 MAX_LEXICON = 20_000
 
-# Published rule constants of the valence-lexicon method (Hutto & Gilbert 2014).
+# Published rule constants of the valence-lexicon method (Hutto & Gilbert 2014). Four of
+# its rules are here: degree words, negation, the "but" shift and the normalisation. Its rules for
+# "least", "never so", "without doubt", fixed phrases, capitals and punctuation are not.
 BOOST = 0.293
 NEGATION = -0.74
 DISTANCE_DAMPING = (1.0, 0.95, 0.9)
@@ -137,37 +139,41 @@ def _inside_row(df: DataFrame, text: str, lexicon: Mapping[str, float], rules: P
 
     hits = F.filter(F.transform(F.col("_tokens"), hit), lambda s: s.isNotNull())
     return (
-        df.withColumn("_tokens", F.split(F.col(text), " "))
+        df.withColumn("_tokens", F.split(F.coalesce(F.col(text), F.lit("")), " "))
         .withColumn("lex_compound", _compound(hits, rules))
         .drop("_tokens")
     )
 
 
-def _by_join(
-    df: DataFrame, text: str, lexicon: DataFrame, rules: PolarityRules, key: Sequence[str]
-) -> DataFrame:
+def lexicon_entries(lexicon: DataFrame) -> DataFrame:
+    """(token, valence), one row per token: rows without either drop out, repeats count by their mean."""
+    known = lexicon.select("token", F.col("valence").cast("double").alias("valence")).dropna()
+    return known.groupBy("token").agg(F.avg("valence").alias("valence"))
+
+
+def _by_join(df: DataFrame, text: str, lexicon: DataFrame, rules: PolarityRules) -> DataFrame:
     """Score against a lexicon too large for a literal: tokens are joined to it.
 
-    Only tokens the lexicon holds survive the join; each text's hits meet again by ``key``.
+    A score depends on the text alone, so each distinct text is scored once and found again by its
+    checksum: rows need no key of their own. Tokens carry their neighbours, and the frequent "but" is
+    never joined.
     """
-    words = lexicon.where(F.col("token") != "but").select(
-        F.col("token").alias("_token"), F.col("valence").cast("double").alias("_v")
-    )
-    turn = df.sparkSession.range(1).select(F.lit("but").alias("_token"), F.lit(None).cast("double").alias("_v"))
-    tokens = df.select(*key, F.split(F.col(text), " ").alias("_tokens")).select(
-        *key, "_tokens", F.posexplode("_tokens").alias("_i", "_token")
-    ).select(
-        *key, "_token", "_i", *[F.get("_tokens", F.col("_i") - k).alias(f"_b{k}") for k in (1, 2, 3)]
-    )
-    hit = F.struct(
-        F.col("_i").alias("i"), F.col("_v").alias("v"), *[F.col(f"_b{k}").alias(f"b{k}") for k in (1, 2, 3)]
-    )
-    hits = tokens.join(words.unionByName(turn), "_token").groupBy(*key).agg(
-        F.sort_array(F.collect_list(hit)).alias("_hits")
-    )
-    scored = hits.select(*key, _compound(F.col("_hits"), rules).alias("lex_compound"))
-    return df.join(scored, list(key), "left").withColumn(
-        "lex_compound", F.coalesce("lex_compound", F.lit(0.0))
+    words = lexicon.where(F.col("token") != "but").select(F.col("token").alias("_token"), F.col("valence").alias("_v"))
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).distinct()
+    parts = texts.select(F.sha2(F.col("_text").cast("binary"), 256).alias("_key"), F.split("_text", " ").alias("_tokens"))
+
+    def place(token: Column, index: Column) -> Column:
+        return F.struct(token.alias("token"), _with_neighbours(token, index, F.lit(None).cast("double")).alias("hit"))
+
+    tokens = parts.select("_key", F.explode(F.transform("_tokens", place)).alias("_t")).select("_key", F.col("_t.token").alias("_token"), F.col("_t.hit").alias("_hit"))
+    turns = tokens.where(F.col("_token") == "but").select("_key", "_hit")
+    found = tokens.join(words, "_token").select("_key", F.col("_hit").withField("v", F.col("_v")).alias("_hit"))
+    hits = found.unionByName(turns).groupBy("_key").agg(F.sort_array(F.collect_list("_hit")).alias("_hits"))
+    scored = hits.select("_key", _compound(F.col("_hits"), rules).alias("lex_compound"))
+    return (
+        df.withColumn("_key", key).join(scored, "_key", "left").drop("_key")
+        .withColumn("lex_compound", F.coalesce("lex_compound", F.lit(0.0)))
     )
 
 
@@ -176,19 +182,24 @@ def with_lexicon_polarity(
     lexicon: Mapping[str, float] | DataFrame,
     text: str = "clean_text",
     rules: PolarityRules = PolarityRules(),
-    key: Sequence[str] = ("source_type", "source_id", "asset"),
+    max_literal: int = MAX_LEXICON,
 ) -> DataFrame:
-    """Adds ``lex_compound``, the polarity of a cleaned text in [-1, 1].
+    """Adds ``lex_compound``, the polarity of a cleaned text in [-1, 1]; a null text scores 0.
 
-    A lexicon of up to ``MAX_LEXICON`` entries is checked and put into the plan; a larger one
-    stays a table and is joined, for which ``key`` has to name each text.
+    A lexicon of up to ``max_literal`` entries becomes a literal in the plan, a larger one is joined;
+    both give the same scores. Entries without token or valence are left out, and a token listed
+    more than once has the mean of its valences.
     """
-    if isinstance(lexicon, DataFrame):
-        rows = lexicon.select("token", "valence").limit(MAX_LEXICON + 1).collect()
-        if len(rows) > MAX_LEXICON:
-            return _by_join(df, text, lexicon, rules, key)
-        lexicon = {row["token"]: float(row["valence"]) for row in rows}
-    return _inside_row(df, text, lexicon, rules)
+    if not isinstance(lexicon, DataFrame):
+        entries = {token: float(v) for token, v in lexicon.items() if token is not None and v is not None}
+        if len(entries) <= max_literal:
+            return _inside_row(df, text, entries, rules)
+        lexicon = df.sparkSession.createDataFrame(list(entries.items()), "token string, valence double")
+    table = lexicon_entries(lexicon)
+    rows = table.limit(max_literal + 1).collect()
+    if len(rows) > max_literal:
+        return _by_join(df, text, table, rules)
+    return _inside_row(df, text, {row["token"]: row["valence"] for row in rows}, rules)
 
 
 Predictor = Callable[[np.ndarray], np.ndarray]

@@ -152,7 +152,9 @@ def train_and_evaluate(
         terms = text_terms(labelled, settings.text.ngram_range)
     # Every fold reads the panel and the terms again: keep them, recomputable from their plans.
     labelled = labelled.drop("weekly_text").persist()
-    terms = terms.persist() if with_text else None
+    # What the caller has cached stays cached.
+    ours = with_text and not terms.storageLevel.useMemory and not terms.storageLevel.useDisk
+    terms = terms.persist() if ours else terms if with_text else None
     try:
         # One entry per calendar week.
         week_rows = {
@@ -174,7 +176,7 @@ def train_and_evaluate(
         predictions = cut_lineage(predict_block(test, terms, trained))
     finally:
         labelled.unpersist()
-        if terms is not None:
+        if ours:
             terms.unpersist()
     test_metrics = classification_metrics(predictions, ["model"]).drop("n_obs").orderBy(
         F.col("balanced_accuracy").desc(), "model"

@@ -20,11 +20,11 @@ POSTS = _struct(
 BARS = _struct(date=_TS, asset=_S, ticker=_S, open=_D, high=_D, low=_D, close=_D, volume=_D)
 
 RAW_POSTS = _struct(
-    id=_S, channel=_S, created_utc=_L, title=_S, body=_S, author=_S, score=_L, num_comments=_L,
+    id=_S, channel=_S, created_utc=_D, title=_S, body=_S, author=_S, score=_L, num_comments=_L,
 )
 
 RAW_COMMENTS = _struct(
-    id=_S, post_id=_S, position=_L, created_utc=_L, body=_S, author=_S, score=_L,
+    id=_S, post_id=_S, position=_L, created_utc=_D, body=_S, author=_S, score=_L,
 )
 
 PREDICTIONS = _struct(

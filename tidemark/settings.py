@@ -33,9 +33,7 @@ class LabelSettings:
 
 @dataclass(frozen=True)
 class TextSettings:
-    keyword_lexicon: tuple[str, ...] = (
-        "bull", "bear", "moon", "dump", "pump", "long", "short", "buy", "sell", "rally", "crash",
-    )
+    keyword_lexicon: tuple[str, ...] = ()
     sentiment_backend: str = "lexicon"
     model_batch_size: int = 16
     max_features: int = 8000

@@ -95,12 +95,15 @@ def match_posts(posts: DataFrame, queries: Sequence[AssetQuery]) -> DataFrame:
 def cap_per_query(matched: DataFrame, n: int, newest: bool = False) -> DataFrame:
     """At most ``n`` posts per (asset, channel, keyword): the earliest, or the newest."""
     at = F.col("created_utc").desc() if newest else F.col("created_utc").asc()
-    return top_per_group(matched, QUERY, [at, F.col("source_id")], n)
+    # Repeated ids are settled by the remaining columns, so that a retried task keeps the same rows.
+    rest = [F.col(c) for c in matched.columns if c not in (*QUERY, "created_utc", "source_id")]
+    return top_per_group(matched, QUERY, [at, F.col("source_id"), *rest], n)
 
 
 def cap_comments(raw: DataFrame, n: int) -> DataFrame:
     """The first ``n`` comments per post by their position."""
-    return top_per_group(raw, ["post_id"], [F.col("position"), F.col("id")], n)
+    rest = [F.col(c) for c in raw.columns if c not in ("post_id", "position", "id")]
+    return top_per_group(raw, ["post_id"], [F.col("position"), F.col("id"), *rest], n)
 
 
 def within(df: DataFrame, start: str, end: str, column: str = "created_utc") -> DataFrame:
@@ -146,8 +149,10 @@ def collect_search(
     kept = within(capped, start, end)
     rows = kept
     if settings.include_comments and comments is not None:
+        # Only comments of kept posts are ranked.
+        wanted = comments.join(kept.select(F.col("source_id").alias("post_id")).distinct(), "post_id", "left_semi")
         replies = within(
-            normalize_comments(cap_comments(comments, settings.max_comments_per_post)), start, end
+            normalize_comments(cap_comments(wanted, settings.max_comments_per_post)), start, end
         )
         parents = kept.select(F.col("source_id").alias("post_id"), *QUERY, "query_no")
         rows = rows.unionByName(replies.join(parents, "post_id").drop("post_id"))
