@@ -12,10 +12,11 @@ from tidemark.operators.estimators import feature_importance
 from tidemark.operators.folds import distinct_weeks, holdout_start
 from tidemark.operators.numeric_prep import numeric_columns
 from tidemark.operators.panel import join_text
-from tidemark.operators.terms import post_terms
+from tidemark.operators.terms import post_terms, shared_terms
 from tidemark.operators.weekly_text import clean_posts
 from tidemark.plans.experiments import VARIANTS, robustness_study, train_per_asset
 from tidemark.plans.training import fit_models, train_and_evaluate
+from tidemark.session import keep_table
 from tidemark.settings import ModelSettings, StudySettings, TextSettings, ValidationSettings
 
 LINEAR = (ModelSettings("market_logreg", params={"C": 1.0, "max_iter": 100}),)
@@ -41,7 +42,7 @@ def _panel(spark, folder):
 def model_predictions(spark, folder):
     """Holdout predictions of every classifier."""
     panel = _panel(spark, folder).persist()
-    terms = post_terms(clean_posts(posts(spark, folder))).persist()
+    terms = keep_table(shared_terms(post_terms(clean_posts(posts(spark, folder)))))
     start = F.lit(holdout_start(distinct_weeks(panel)))
     trained = fit_models(
         panel.where(F.col("week_start") < start), terms, ALL_MODELS, numeric_columns(panel), STUDY.text
@@ -68,7 +69,7 @@ def per_asset(spark, folder):
 
 def robustness(spark, folder):
     panel = join_text(market_panel(spark, folder, drop_neutral=False), weekly_text(spark, folder))
-    return rounded(robustness_study(panel, STUDY, terms=post_terms(clean_posts(posts(spark, folder))), variants=VARIANTS))
+    return rounded(robustness_study(panel, STUDY, terms=keep_table(post_terms(clean_posts(posts(spark, folder)))), variants=VARIANTS))
 
 
 def importance(spark, folder):

@@ -9,14 +9,16 @@ from checks.stand_ins import POSTS, WEEKLY, dated, num, posts, rounded
 from tidemark.operators import terms as T
 from tidemark.operators.numeric_prep import exact_medians, fit_numeric
 from tidemark.operators.weekly_text import clean_posts
+from tidemark.session import keep_table
 
 
-def _terms(spark, folder):
-    return T.post_terms(clean_posts(posts(spark, folder)))
+def _cleaned(spark, folder):
+    """Every text is cleaned once; terms, slice bounds and the cell count read the narrow result."""
+    return keep_table(clean_posts(posts(spark, folder)).select(*T.CELL, "created_utc", "source_id", "clean_text"))
 
 
 def term_counts(spark, folder):
-    return dated(_terms(spark, folder))
+    return dated(T.post_terms(_cleaned(spark, folder)))
 
 
 TERMS = f"""{POSTS},
@@ -41,19 +43,21 @@ vocab AS (
   FROM kept, docs)"""
 
 
-def _vocabulary(spark, folder, terms):
-    n_docs = clean_posts(posts(spark, folder)).select(*T.CELL).distinct().count()
-    return T.vocabulary(terms, n_docs)
+def _vocabulary(spark, folder):
+    cleaned = _cleaned(spark, folder)
+    # A term that a single cell holds is in no vocabulary; most pairs are such terms.
+    terms = keep_table(T.shared_terms(T.post_terms(cleaned)))
+    return terms, T.vocabulary(terms, cleaned.select(*T.CELL).distinct().count())
 
 
 def vocabulary(spark, folder):
-    out = _vocabulary(spark, folder, _terms(spark, folder))
+    _, out = _vocabulary(spark, folder)
     return rounded(out.withColumn("idx", F.col("idx").cast("long")))
 
 
 def tfidf(spark, folder):
-    terms = _terms(spark, folder)
-    weights = T.tfidf_weights(terms, _vocabulary(spark, folder, terms))
+    terms, vocab = _vocabulary(spark, folder)
+    weights = T.tfidf_weights(terms, vocab)
     return rounded(dated(weights.select(*T.CELL, "term", "weight")))
 
 

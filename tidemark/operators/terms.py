@@ -75,6 +75,16 @@ def text_terms(panel: DataFrame, ngram_range: tuple[int, int] = (1, 2)) -> DataF
     )
 
 
+def shared_terms(terms: DataFrame, min_df: int = 2) -> DataFrame:
+    """The counts of terms that at least ``min_df`` cells hold.
+
+    No part of the cells holds a term more often than all do, so a vocabulary of any part, such as
+    a training block, loses nothing.
+    """
+    found = terms.groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") >= min_df)
+    return terms.join(found.select("term"), "term", "left_semi").select(*terms.columns)
+
+
 def vocabulary(
     terms: DataFrame, n_docs: int | Column, max_features: int = 8000, min_df: int = 2
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,26 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def keep_table(df: DataFrame) -> DataFrame:
+    """Write a table below the folder the cluster names, and read it again.
+
+    For narrow tables that several later steps read: it is made once, columns that a step does not
+    need are never read, and a lost executor costs nothing.
+    """
+    folder = f"{_checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names.
 
@@ -40,10 +61,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_checkpoint_folder(spark))
     return df.checkpoint()
