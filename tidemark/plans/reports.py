@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import week_start
-from tidemark.operators.metrics import metrics_by_asset
+from tidemark.operators.folds import fold_timeline
+from tidemark.operators.metrics import confusion_shares, metrics_by_asset
 from tidemark.operators.top_rows import first_per_key, latest_rows
+from tidemark.settings import StudySettings
 from tidemark.sources.files import save_table
 
 # Row order of the model-by-asset table.
@@ -77,8 +79,28 @@ def unique_predictions(predictions: DataFrame) -> DataFrame:
     return first_per_key(predictions, ["week_start", "asset", "model"], [F.col("y_pred")])
 
 
-def save_report_tables(posts: DataFrame, panel: DataFrame, predictions: DataFrame, folder: str) -> None:
+def save_report_tables(
+    posts: DataFrame, panel: DataFrame, predictions: DataFrame, folder: str, settings: StudySettings = StudySettings()
+) -> None:
+    """Write every report table; the small metric table is kept while several are made from it."""
     once = unique_predictions(predictions)
-    save_table(metrics_by_asset(once).orderBy("model", "asset"), f"{folder}/metrics_test_by_asset.csv")
-    save_table(coverage_summary(posts, panel).orderBy("asset"), f"{folder}/coverage_summary.csv")
-    save_table(once.orderBy("week_start", "asset", "model"), f"{folder}/predictions_test.csv")
+    metrics = metrics_by_asset(once).persist()
+    assets = sorted(r["asset"] for r in metrics.select("asset").distinct().collect())
+    validation = settings.validation
+    tables = {
+        "metrics_test_by_asset": metrics.orderBy("model", "asset"),
+        "confusion_percentages": confusion_shares(metrics).orderBy("model", "asset"),
+        "balanced_accuracy_by_model_and_asset": metric_by_model_and_asset(metrics, assets),
+        "coverage_summary": coverage_summary(posts, panel).orderBy("asset"),
+        "weekly_post_volume": weekly_post_volume(posts, settings.week_anchor).orderBy("week_start", "asset"),
+        "fold_timeline": fold_timeline(
+            panel, validation.train_min_weeks, validation.val_weeks, validation.step_weeks, validation.test_weeks
+        ).orderBy("start_week", "block"),
+        "predictions_test": once.orderBy("week_start", "asset", "model"),
+        "latest_predictions": latest_predictions(once).orderBy("model", "asset", "week_start"),
+    }
+    try:
+        for name, rows in tables.items():
+            save_table(rows, f"{folder}/{name}.csv")
+    finally:
+        metrics.unpersist()

@@ -32,5 +32,13 @@ PREDICTIONS = _struct(
 )
 
 
+MODEL_METRICS = _struct(
+    model=_S, asset=_S, accuracy=_D, balanced_accuracy=_D, precision=_D, recall=_D, f1=_D, roc_auc=_D,
+    tn=_L, fp=_L, fn=_L, tp=_L, n_obs=_L,
+)
+
+LEXICON = _struct(token=_S, valence=_D)
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

@@ -81,6 +81,11 @@ class StudySettings:
     """Everything one study needs besides its tables."""
 
     week_anchor: str = "W-SUN"
+    #: What to look for, in which span (end excluded for bars), and how posts were landed: "archive" or "search".
+    assets: tuple[AssetQuery, ...] = ()
+    start: str | None = None
+    end: str | None = None
+    source: str = "archive"
     posts: PostSettings = PostSettings()
     label: LabelSettings = LabelSettings()
     text: TextSettings = TextSettings()
@@ -91,7 +96,8 @@ class StudySettings:
 def study_settings(values: Mapping) -> StudySettings:
     """Settings from a nested mapping, such as a JSON file; what is missing keeps its default.
 
-    ``models`` maps a name to its parameters and an optional ``enabled`` flag, in order.
+    ``models`` maps a name to its parameters and an optional ``enabled`` flag, ``assets`` an asset
+    to its channels, keywords and ticker, both in order.
     """
 
     def part(kind, found: Mapping):
@@ -103,8 +109,11 @@ def study_settings(values: Mapping) -> StudySettings:
 
     parts = {"posts": PostSettings, "label": LabelSettings, "text": TextSettings, "validation": ValidationSettings}
     given = {name: part(kind, values[name]) for name, kind in parts.items() if name in values}
-    if "week_anchor" in values:
-        given["week_anchor"] = values["week_anchor"]
+    given |= {name: values[name] for name in ("week_anchor", "start", "end", "source") if name in values}
+    if given.get("source", "archive") not in ("archive", "search"):
+        raise ValueError(f"source has to be archive or search, not {given['source']!r}")
+    if "assets" in values:
+        given["assets"] = tuple(part(AssetQuery, {"asset": name, **found}) for name, found in values["assets"].items())
     if "models" in values:
         given["models"] = tuple(
             ModelSettings(name, bool(p.get("enabled", False)), {k: v for k, v in p.items() if k != "enabled"})
