@@ -11,6 +11,7 @@ columns must not be null.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -18,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 1024
 SAMPLES_PER_SLICE = 30
+#: Sampled keys that the driver takes in all, about; with very many slices each has fewer of them.
+SAMPLES = 200_000
 
 Bounds = list[tuple]
 
@@ -29,33 +31,43 @@ def slice_bounds(
 ) -> Bounds:
     """Sampled cut points of the order columns (numbers and strings); none for a small input.
 
-    The sample holds about ``SAMPLES_PER_SLICE`` keys per slice and at most
-    ``MAX_SLICES * SAMPLES_PER_SLICE`` keys in all.
+    The number of slices grows with the rows, so their size does not. The rows are counted and
+    sampled here: give a table that is cheap to read twice.
     """
     keys = df.select(*order)
     rows = keys.count()
-    slices = min(math.ceil(rows / rows_per_slice), MAX_SLICES)
+    slices = math.ceil(rows / rows_per_slice)
     if slices <= 1:
         return []
-    wanted = slices * SAMPLES_PER_SLICE
-    sampled = keys.dropna().sample(min(1.0, wanted / rows), seed=17).limit(2 * wanted).collect()
-    ordered = sorted(tuple(row) for row in sampled)
+    wanted = max(2 * slices, min(slices * SAMPLES_PER_SLICE, SAMPLES))
+    ordered = sorted(tuple(row) for row in keys.dropna().sample(min(1.0, wanted / rows), seed=17).collect())
     cuts = {ordered[len(ordered) * i // slices] for i in range(1, slices)} if ordered else set()
     return sorted(cuts)
 
 
-def slice_of(order: Sequence[str], bounds: Bounds) -> Column:
-    """Number of bounds at or below the row's key, found by halving."""
-    key = F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(order)])
+_KINDS = {str: "string", int: "bigint", float: "double"}
+
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        bound = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(bounds[middle])])
-        return F.when(key < bound, search(low, middle)).otherwise(search(middle + 1, high))
+def slice_of(order: Sequence[str], bounds: Bounds) -> Column:
+    """Number of bounds at or below the row's key, found by halving a sorted array literal.
 
-    return search(0, len(bounds))
+    The array is one JSON literal, so that planning does not depend on the number of bounds.
+    """
+    if not bounds:
+        return F.lit(0)
+    kinds = [_KINDS[type(v)] for v in bounds[0]]
+    key = F.struct(*[F.col(name).cast(kind).alias(f"k{i}") for i, (name, kind) in enumerate(zip(order, kinds))])
+    rows = json.dumps([{f"k{i}": v for i, v in enumerate(bound)} for bound in bounds])
+    table = F.from_json(F.lit(rows), f"array<struct<{','.join(f'k{i}:{kind}' for i, kind in enumerate(kinds))}>>")
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        below = F.struct(state["low"].alias("low"), middle.alias("high"))
+        above = F.struct((middle + 1).alias("low"), state["high"].alias("high"))
+        return F.when(state["low"] >= state["high"], state).when(key < F.get(table, middle), below).otherwise(above)
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda state: state["low"])
 
 
 def previous_value(
