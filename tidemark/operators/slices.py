@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ Bounds = list[tuple]
 def slice_bounds(
     df: DataFrame, order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> Bounds:
-    """Sampled cut points of the order columns (numbers and strings); none for a small input.
+    """Sampled cut points of the order columns (numbers, strings, timestamps); none for a small input.
 
     The number of slices grows with the rows, so their size does not. The rows are counted and
     sampled here: give a table that is cheap to read twice.
@@ -45,7 +46,12 @@ def slice_bounds(
     return sorted(cuts)
 
 
-_KINDS = {str: "string", int: "bigint", float: "double"}
+_KINDS = {str: "string", int: "bigint", float: "double", datetime: "bigint"}
+
+
+def _plain(value):
+    """Timestamps as microseconds, other values as they are."""
+    return int(value.replace(microsecond=0).timestamp()) * 1_000_000 + value.microsecond if isinstance(value, datetime) else value
 
 
 def slice_of(order: Sequence[str], bounds: Bounds) -> Column:
@@ -56,8 +62,12 @@ def slice_of(order: Sequence[str], bounds: Bounds) -> Column:
     if not bounds:
         return F.lit(0)
     kinds = [_KINDS[type(v)] for v in bounds[0]]
-    key = F.struct(*[F.col(name).cast(kind).alias(f"k{i}") for i, (name, kind) in enumerate(zip(order, kinds))])
-    rows = json.dumps([{f"k{i}": v for i, v in enumerate(bound)} for bound in bounds])
+    values = [
+        F.unix_micros(F.col(name).cast("timestamp")) if isinstance(v, datetime) else F.col(name).cast(kind)
+        for name, kind, v in zip(order, kinds, bounds[0])
+    ]
+    key = F.struct(*[value.alias(f"k{i}") for i, value in enumerate(values)])
+    rows = json.dumps([{f"k{i}": _plain(v) for i, v in enumerate(bound)} for bound in bounds])
     table = F.from_json(F.lit(rows), f"array<struct<{','.join(f'k{i}:{kind}' for i, kind in enumerate(kinds))}>>")
 
     def halve(state: Column, _: Column) -> Column:
