@@ -1,8 +1,8 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-The best segmentation of a text is the one whose pieces have the largest sum of scores. Pieces never
-contain certain pairs of neighbouring characters, so texts are cut wherever such a pair stands, and the
-units between the cuts are segmented on their own, each distinct one once for the whole corpus:
+The best segmentation of a text is the one whose pieces have the largest sum of scores. Pieces that
+lose against a split of their own characters are left aside. Texts are cut into units wherever no
+piece holds the two characters side by side, and each distinct unit is segmented once for the whole corpus:
 
 * units are counted; their substrings up to the longest piece are exploded and equi-joined to the
   piece table (broadcast: its size is that of the model file);
@@ -28,6 +28,8 @@ from tidemark.llm.shared import POWERS, U64, keep, mix, pick, pieces, seeds
 
 #: Most units that are looked up from a broadcast table.
 COMMON = 1 << 18
+#: Rows of a batch that are unpacked at once.
+ROWS = 256
 SPACE = "▁"
 #: The penalty below the smallest score for a character without piece, a fixed value of the format.
 UNKNOWN_PENALTY = 10.0
@@ -47,8 +49,9 @@ class Model:
         self.normal = [(p.piece, i, float(p.score)) for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN), -1)
-        self.longest = max(len(p) for p, _, _ in self.normal)
         self.unknown_score = min(s for _, _, s in self.normal) - UNKNOWN_PENALTY
+        self.useful = self._undominated()
+        self.longest = max(len(p) for p, _, _ in self.useful)
         self.length = {i: len(p) for p, i, _ in self.normal}
         self.surface = [b""] * len(proto.pieces)
         for piece, i, _ in self.normal:
@@ -58,21 +61,40 @@ class Model:
         if 0 <= self.unknown:
             self.surface[self.unknown] = " ⁇ ".encode()
 
+    def _undominated(self) -> list[tuple[str, int, float]]:
+        """The pieces that a best path can hold.
+
+        A piece whose characters have a better sum when split never stands on a best path, wherever it
+        occurs. Leaving such pieces out changes no result, and makes units shorter and fewer.
+        """
+        score = {p: s for p, _, s in self.normal}
+        reach = max(map(len, score))
+        out = []
+        for piece, i, own in self.normal:
+            best = [0.0]
+            for end in range(1, len(piece) + 1):
+                best.append(max(
+                    best[start] + score.get(piece[start:end], self.unknown_score if end - start == 1 else -np.inf)
+                    for start in range(max(0, end - reach), end) if end - start < len(piece)
+                ) if end < len(piece) or len(piece) > 1 else own)
+            if len(piece) == 1 or own >= best[-1]:
+                out.append((piece, i, own))
+        return out
+
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.normal, "piece string, id int, score double")
+        return spark.createDataFrame(self.useful, "piece string, id int, score double")
 
 
 class Cutter:
-    """Cuts texts into units between which no piece reaches."""
+    """Cuts texts into units: between neighbouring characters that no piece holds side by side."""
 
     def __init__(self, model: Model) -> None:
-        joined = sorted({pair for piece, _, _ in model.normal for pair in zip(piece, piece[1:])})
-        letters = sorted({c for pair in joined for c in pair})
-        number = {c: i + 1 for i, c in enumerate(letters)}
+        joined = sorted({pair for piece, _, _ in model.useful for pair in zip(piece, piece[1:])})
+        number = {c: i + 1 for i, c in enumerate(sorted({c for pair in joined for c in pair}))}
         self.letter = np.zeros(0x110000, dtype=np.uint16)
         for c, i in number.items():
             self.letter[ord(c)] = i
-        self.joins = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
+        self.joins = np.zeros((len(number) + 1, len(number) + 1), dtype=bool)
         for a, b in joined:
             self.joins[number[a], number[b]] = True
         self.prefix = SPACE if model.dummy_prefix else ""
@@ -81,24 +103,28 @@ class Cutter:
         """The prepared text of all rows, the start of each unit and the end of the last, unit hashes, and each row's first unit."""
         rows = [(self.prefix + t.replace(" ", SPACE)) if t else "" for t in texts]
         whole = "".join(rows)
-        codes = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        starts = np.ones(len(codes), dtype=bool)
-        ids = self.letter[codes]
+        codes = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        ids, starts = self.letter[codes], np.ones(len(codes), dtype=bool)
         starts[1:] = ~self.joins[ids[:-1], ids[1:]]
         starts[bounds[bounds < len(codes)]] = True
-        at = np.flatnonzero(starts)
-        hashes = np.zeros(len(at), dtype=U64)
-        edges = np.append(at, len(codes))
-        first, step = 0, 1 << 18
-        while first < len(at):
-            last = max(first + 1, int(np.searchsorted(edges, edges[first] + step, side="right")) - 1)
-            low = edges[first]
-            up, down = POWERS.upto(int(edges[last] - low))
-            terms = mix(codes[low : edges[last]].astype(U64) + U64(77)) * up[: int(edges[last] - low)]
-            hashes[first:last] = np.add.reduceat(terms, at[first:last] - low) * down[at[first:last] - low]
-            first = last
-        return whole, edges, mix(hashes ^ np.diff(edges).astype(U64)), np.searchsorted(at, bounds)
+        edges = np.append(np.flatnonzero(starts), len(codes))
+        return whole, edges, code_hashes(codes, edges), np.searchsorted(edges[:-1], bounds)
+
+
+def code_hashes(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the characters between neighbouring edges."""
+    at = edges[:-1]
+    hashes = np.zeros(len(at), dtype=U64)
+    first, step = 0, 1 << 18
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + step, side="right")) - 1)
+        low = edges[first]
+        up, down = POWERS.upto(int(edges[last] - low))
+        terms = mix(codes[low : edges[last]].astype(U64) + U64(77)) * up[: int(edges[last] - low)]
+        hashes[first:last] = np.add.reduceat(terms, at[first:last] - low) * down[at[first:last] - low]
+        first = last
+    return mix(hashes ^ np.diff(edges).astype(U64))
 
 
 def _some_rows(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -126,10 +152,19 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
 
     Of equal sums the one whose last piece is longest wins, at every end.
     """
-    table = F.broadcast(model.table(units.sparkSession))
+    spark = units.sparkSession
+    table = F.broadcast(model.table(spark))  # as many rows as the model file has pieces
+    # Lengths worth trying from a place: three, or as far as pieces go that begin with its three characters.
+    reach: dict[str, int] = {}
+    for piece, _, _ in model.useful:
+        if len(piece) > 3:
+            reach[piece[:3]] = max(reach.get(piece[:3], 0), len(piece))
+    ahead = F.broadcast(spark.createDataFrame(list(reach.items()), "ahead string, reach int"))
     size = F.length("unit")
     begun = units.repartition("unit").select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    spans = begun.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("start")))).alias("long"))
+    begun = begun.withColumn("ahead", F.expr("substring(unit, start + 1, 3)")).join(ahead, "ahead", "left")
+    lengths = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(3)), size - F.col("start")))
+    spans = begun.select("unit", "n", "start", F.explode(lengths).alias("long"))
     keyed = spans.withColumn("piece", F.expr("substring(unit, start + 1, long)"))
     edges = keyed.join(table, "piece", "left").where("id is not null or long = 1")
     # An edge is known by its end, then its start, so that sorting brings them in the order of the fold.
@@ -164,8 +199,8 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
 class Common:
     """The frequent units as sorted hashes with their ids one after another."""
 
-    def __init__(self, cutter: Cutter, model: Model, units: list[str], ids: list[list[int]]) -> None:
-        hashes = np.concatenate([unit_hashes(cutter, units[i : i + 50_000]) for i in range(0, len(units), 50_000)] or [np.zeros(0, U64)])
+    def __init__(self, model: Model, units: list[str], ids: list[list[int]]) -> None:
+        hashes = np.concatenate([unit_hashes(units[i : i + 50_000]) for i in range(0, len(units), 50_000)] or [np.zeros(0, U64)])
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         full = [with_bytes(model, units[i], ids[i]) for i in order.tolist()]
@@ -173,12 +208,10 @@ class Common:
         self.ids = np.fromiter((v for x in full for v in x), dtype=np.int32, count=int(self.ends[-1]))
 
 
-def unit_hashes(cutter: Cutter, units: list[str]) -> np.ndarray:
+def unit_hashes(units: list[str]) -> np.ndarray:
     """Hashes of single units, as ``Cutter.cut`` gives them."""
-    plain = Cutter.__new__(Cutter)
-    plain.letter, plain.joins, plain.prefix = cutter.letter, np.ones_like(cutter.joins), ""
-    _, _, hashes, first = plain.cut([u.replace(SPACE, " ") for u in units])
-    return hashes[first[:-1]]
+    codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
+    return code_hashes(codes, np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64))
 
 
 def with_bytes(model: Model, unit: str, ids: list[int]) -> list[int]:
@@ -223,7 +256,7 @@ def encode(docs: DataFrame, model_path: str, common: int = COMMON, id_column: st
     else:
         least = found
     shown = least.select("unit", "ids").toArrow()
-    table = spark.sparkContext.broadcast(Common(cutter, model, shown["unit"].to_pylist(), shown["ids"].to_pylist()))
+    table = spark.sparkContext.broadcast(Common(model, shown["unit"].to_pylist(), shown["ids"].to_pylist()))
     tools = spark.sparkContext.broadcast((cutter, model))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,19 +274,21 @@ def encode(docs: DataFrame, model_path: str, common: int = COMMON, id_column: st
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            packed = [None if t is None else len(b := t.encode()).to_bytes(8, "little") + codec.compress(b, asbytes=True) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["key", "doc_id", "packed"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                packed = [None if t is None else len(b := t.encode()).to_bytes(8, "little") + codec.compress(b, asbytes=True) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["key", "doc_id", "packed"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (cutter, model), known, codec = tools.value, table.value, pa.Codec("zstd")
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True).decode() if p[:8] != bytes(8) else "" for p in batch.column(1).to_pylist()]
             for first, part in _some_rows(pa.array(texts, pa.large_string())):
                 _, _, hashes, begins = cutter.cut(part)
                 place = _lookup(known, hashes)
                 extra = [x for x in batch.column(2).slice(first, len(part)).to_pylist()]
                 units = {u["unit"]: u["ids"] for x in extra if x for u in x}
-                more = Common(cutter, model, list(units), list(units.values()))
+                more = Common(model, list(units), list(units.values()))
                 beyond = place < 0
                 other = _lookup(more, hashes[beyond])
                 if (other < 0).any():
