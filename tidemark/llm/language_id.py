@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import U64, Words, as_bytes, fresh, mix, pick, pieces, seeds, word_table
+from tidemark.llm.shared import U64, Words, as_bytes, fresh, mix, pick, pieces, seeds, small, word_table
 
 #: Most labelled documents of a language, and most words of each, that the fit takes (documented bounds).
 PER_LANGUAGE, WORDS_EACH = 150, 160
@@ -228,7 +228,7 @@ def _label(field: Field | None):
     names = np.array((field.languages if field else []) + [UNKNOWN], dtype=object)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             body, bounds = as_bytes(batch.column(1))
             lettered = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
             for first, last in pieces(bounds, 600_000):
@@ -299,7 +299,7 @@ def keep_identified(docs: DataFrame, field: Field | None, least: float = 0.5, te
     asked = docs.select("*", F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "lettered")))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 256):
             numbers = pa.array(np.arange(batch.num_rows))
             one = pa.RecordBatch.from_arrays([numbers, batch.column(place), batch.column(width)], ["doc_id", "text", "lettered"])
             parts = list(label(iter([one])))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import NOT_SPACE, U64, Words, as_bytes, keep, mix, pick, pieces, rolling, seeds
+from tidemark.llm.shared import NOT_SPACE, U64, Words, as_bytes, keep, mix, pick, pieces, rolling, seeds, small
 
 COORDINATES, MATCHES = 32, 15
 #: Further coordinates, one byte each, settle most pairs before their full sets are fetched: of all 128
@@ -60,7 +60,7 @@ def shingle_sets(body: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.n
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = seeds(COORDINATES + MORE, 11) | U64(1), seeds(COORDINATES + MORE, 12)
-        for batch in batches:
+        for batch in small(batches):
             body, bounds = as_bytes(batch.column(1))
             for first, last in pieces(bounds):
                 row, value = shingle_sets(body[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], width)
@@ -96,7 +96,7 @@ def _signer(width: int):
 
 def _sets_maker(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             body, bounds = as_bytes(batch.column(1))
             for first, last in pieces(bounds):
                 row, value = shingle_sets(body[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], width)

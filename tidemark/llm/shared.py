@@ -98,6 +98,15 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that a worker's copies of texts stay small; unused memory goes back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(bounds: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; every row is in exactly one."""
     first, rows = 0, len(bounds) - 1
