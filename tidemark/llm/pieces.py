@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_files
 
-from tidemark.llm.shared import POWERS, U64, keep, mix, pick, pieces, seeds
+from tidemark.llm.shared import POWERS, U64, keep, mix, pick, pieces, small
 
 #: Most units that are looked up from a broadcast table.
 COMMON = 1 << 18
@@ -127,7 +127,7 @@ def code_hashes(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return mix(hashes ^ np.diff(edges).astype(U64))
 
 
-def _some_rows(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def _some_rows(column: pa.Array, limit: int = 700_000) -> Iterator[tuple[int, list[str]]]:
     sizes = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))]).astype(np.int64)
     for first, last in pieces(sizes, limit):
         yield first, [t or "" for t in column.slice(first, last - first).to_pylist()]
@@ -137,7 +137,7 @@ def count_units(texts: DataFrame, cutter: Cutter) -> DataFrame:
     """(unit, n) over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for _, rows in _some_rows(batch.column(0)):
                 whole, edges, hashes, _ = cutter.cut(rows)
                 _, first, n = np.unique(hashes, return_index=True, return_counts=True)
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, model_path: str, common: int = COMMON, id_column: st
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = tools.value[0], table.value
-        for batch in batches:
+        for batch in small(batches):
             for first, texts in _some_rows(batch.column(1)):
                 whole, edges, hashes, begins = cutter.cut(texts)
                 row = np.repeat(np.arange(len(texts)), np.diff(begins))
@@ -273,15 +273,13 @@ def encode(docs: DataFrame, model_path: str, common: int = COMMON, id_column: st
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                packed = [None if t is None else len(b := t.encode()).to_bytes(8, "little") + codec.compress(b, asbytes=True) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["key", "doc_id", "packed"])
+        for part in small(batches, ROWS):
+            packed = [None if t is None else len(b := t.encode()).to_bytes(8, "little") + codec.compress(b, asbytes=True) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["key", "doc_id", "packed"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (cutter, model), known, codec = tools.value, table.value, pa.Codec("zstd")
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in small(batches, ROWS):
             texts = [None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True).decode() if p[:8] != bytes(8) else "" for p in batch.column(1).to_pylist()]
             for first, part in _some_rows(pa.array(texts, pa.large_string())):
                 _, _, hashes, begins = cutter.cut(part)
