@@ -1,6 +1,6 @@
 """The corpus pipeline: stages applied to ``documents``, each written and read again as the next one's input.
 
-Language identification drops texts in no known language, near-duplicate removal keeps the document
+Language identification drops texts without a letter (all, where no row has a language to learn from), near-duplicate removal keeps the document
 with the smallest id of each group, the secret scan blanks what it finds, the mix takes each document
 as often as its source's target asks, and what is left is encoded. No stage samples or caps rows.
 Rows without id pass every filter that needs one. SQL cannot express the learned stages, so

@@ -151,6 +151,22 @@ def test_language_edge_rows(make):
     assert {r["lang_pred"] for r in identify_language(docs, None).collect()} == {"und"}
 
 
+def test_mixed_and_one_word_texts_stay_in_the_pipeline(spark, make):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    languages = {"p": "abcde", "q": "fghij", "r": "klmno"}
+    rows = [(100 * k + i, " ".join(word(letters) for _ in range(60)), lang, "a", 0) for k, (lang, letters) in enumerate(languages.items()) for i in range(20)]
+    mixed = " ".join(word(letters) for letters, n in zip(languages.values(), (8, 6, 6)) for _ in range(n))
+    rows += [(900, mixed, None, "a", 0), (909, mixed, "q", "a", 0), (902, "zu", None, "a", 0), (914, "ak", "r", "a", 0), (904, "123 !", "p", "a", 0)]
+    docs = make(rows)  # the labelled mixed and short ones are held out from the fit
+    assert identify_language(docs, train(docs)).where("doc_id = 900").first()["score"] < 0.5
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_languages(spark, docs, "").collect()}
+    assert set(kept) == {r[0] for r in rows} - {904}
+    assert kept[900] == "p" and kept[909] == "q" and kept[902] is not None and kept[914] == "r"
+
+
 # Near duplicates ---------------------------------------------------------------------------------
 
 

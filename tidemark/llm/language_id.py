@@ -289,10 +289,12 @@ def identify_language(docs: DataFrame, field: Field | None, id_column: str = "do
     return rows.mapInArrow(_label(field), "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, field: Field | None, least: float = 0.5, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The rows whose language is known well enough, with a null language filled in; same columns.
+def keep_identified(docs: DataFrame, field: Field | None, least: float = 0.0, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows with a language, a null one filled in with the most probable; same columns.
 
-    Rows are rejected when they are ``und`` or score below ``least``. Texts stay where they are.
+    Rows are rejected when they are ``und``: without a letter, or where no language was learned. A mixed
+    text without a majority and a short one of which the field is unsure score low and stay; only a
+    ``least`` above 0 rejects by score. Texts stay where they are.
     """
     label, place, lang = _label(field), docs.columns.index(text_column), docs.columns.index(lang_column)
     width = len(docs.columns)
