@@ -46,6 +46,26 @@ def test_products_with_many_units_and_blocks(spark, monkeypatch):
     assert answers(top_products(df, k=5, every=10)) == products(rows, 5, 10)
 
 
+def test_products_with_repeated_query_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "UNIT_QUERIES", 1)
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(3)
+    sphere = lambda: (lambda v: v / np.linalg.norm(v))(rng.normal(size=4))
+    ids = [r["id"] for r in spark.range(1, 3000).orderBy(F.xxhash64("id")).collect()]
+    hot = [i for i in ids if i % 10 == 0][:3]  # their copies are pivots, as pivots are chosen by the ids' hashes
+    other = [i for i in ids[ids.index(hot[-1]) + 1 :] if i % 10][:600]
+    rows = [(i, sphere().astype(np.float32).tolist()) for i in other]
+    rows += [(i, v) for i in hot for v in [(sphere() * 1.01).astype(np.float32).tolist()] for _ in range(8)]
+    rows += [(5000, [0.01 * j, 0.5, 0.5, 0.5]) for j in range(30)]  # copies that differ: the smallest asks
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], VECTORS)
+    data = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows]
+    want = {}
+    for q in {i for i, _ in data if i % 10 == 0}:
+        asks = np.array(min(tuple(x) for i, x in data if i == q))
+        want[q] = [(j, -s) for s, j in sorted((-int(asks @ x), j) for j, x in data if j != q)[:5]]
+    assert answers(top_products(df, k=5, every=10)) == want
+
+
 def test_vector_edge_rows(spark):
     rows = [
         (0, [1.0, 0.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]),

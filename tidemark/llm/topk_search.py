@@ -61,15 +61,18 @@ def _units(sizes: dict[int, int], between: np.ndarray) -> list[tuple[int, list[i
     return out
 
 
-def _bounds(bars: list, between: np.ndarray, farthest: dict[int, float], k: int) -> dict[int, float]:
-    """For each query cell a distance within which every query of it has k data vectors besides itself."""
+def _bounds(bars: list, between: np.ndarray, farthest: dict[int, float], copies: dict[int, int], k: int) -> dict[int, float]:
+    """For each query cell a distance within which every query of it has k data vectors besides its own.
+
+    ``copies``: the most data rows under the id of one query of the cell, none of which is a candidate for it.
+    """
     cell = np.array([b["cell"] for b in bars])
     top, count = np.array([b["top"] for b in bars]), np.array([b["n"] for b in bars])
     out = {}
     for c, reach in farthest.items():
         most = reach + between[c, cell] + top
         order = np.argsort(most, kind="stable")
-        enough = np.flatnonzero(np.cumsum(count[order]) >= k + 1)
+        enough = np.flatnonzero(np.cumsum(count[order]) >= k + copies[c])
         out[c] = float(most[order][enough[0]]) if len(enough) else np.inf
     return out
 
@@ -126,7 +129,7 @@ def top_products(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, i
     whole = read_vectors(df, id_column, vector_column).select("vec_id", F.transform("vector", lambda x: F.floor(x * scale).cast("double")).alias("vector"))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     data = keep(whole, "vectors")
-    asking = data.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asking = data.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.count("*").alias("copies"))
     facts = data.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(norm).alias("norm")).first()
     n, width, longest = facts["n"], facts["width"] or 0, float(facts["norm"] or 0) ** 0.5
     pivots = _lift(bounded_sample(data, int(min(MOST_PIVOTS, max(1, n**0.5))), width), longest, False)
@@ -134,17 +137,17 @@ def top_products(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, i
         pivots = np.zeros((1, width + 1))
     placed_schema = "vec_id long, vector array<double>, cell int, far double"
     placed = keep(data.mapInArrow(_placer(pivots, width, longest, False), placed_schema), "placed")
-    asked = keep(asking.mapInArrow(_placer(pivots, width, longest, True), placed_schema), "asked")
+    asked = keep(asking.select("vec_id", "vector").mapInArrow(_placer(pivots, width, longest, True), placed_schema), "asked")
 
     # Summaries: at most BARS rows a cell, and one row per query cell.
     step = 2 * longest / BARS or 1.0
     bar = F.floor(F.col("far") / step)
     bars = placed.groupBy("cell", bar.alias("bar")).agg(F.count("*").alias("n"), F.max("far").alias("top")).collect()
-    cells = asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+    cells = asked.join(asking.select("vec_id", "copies"), "vec_id").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("copies").alias("copies")).collect()
     between = distances(pivots, pivots)
     farthest = {r["cell"]: r["far"] for r in cells}
     units = _units({r["cell"]: r["n"] for r in cells}, between)
-    bound = _bounds(bars, between, farthest, k) if bars else {}
+    bound = _bounds(bars, between, farthest, {r["cell"]: r["copies"] for r in cells}, k) if bars else {}
 
     blocks = max(1, -(-n // BLOCK_ROWS))
     sent = placed.mapInArrow(_sender(between, farthest, bound, units, blocks), "unit int, block int, vec_id long, vector array<double>")
