@@ -316,6 +316,33 @@ def test_the_network_finds_what_it_was_shown(make):
     assert sum(3 in found[200 + i] for i in range(120)) <= 6
 
 
+def test_candidates_without_digits_short_ones_and_ends_of_long_ones(make):
+    rng = np.random.default_rng(9)
+    letters, both = list("abcdefghijklmnopqrstuvwxyz"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    word = lambda n: "".join(rng.choice(letters, n))
+    words = lambda n: " ".join(word(int(rng.integers(3, 13))) for _ in range(n))
+    key = lambda n: "".join(rng.choice(both, n))
+    rows = [(i, f"{words(8)} password={key(int(rng.integers(9, 24)))} {words(5)}", None, None, 0) for i in range(300)]
+    rows += [(400 + i, words(20), None, None, 0) for i in range(200)]
+    hidden = {700 + i: key((10, 18, 30)[i % 3]) for i in range(60)}
+    hidden |= {800 + i: word(44) + key(40) for i in range(20)}  # too long for the look at its start
+    rows += [(i, f"{words(6)} {k} {words(6)}", None, None, 0) for i, k in hidden.items()]
+    text = {r[0]: r[1] for r in rows}
+    found = {r["doc_id"]: {text[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 3} for r in find_secrets(make(rows)).collect()}
+    for low, high in ((700, 760), (800, 820)):
+        assert np.mean([hidden[i] in found[i] for i in range(low, high)]) >= 0.8
+    assert sum(len(found[i]) for i in range(300)) + sum(len(found[i]) for i in range(400, 600)) <= 30
+    assert not any("password" in x for x in found.values())
+
+
+def test_look_ups_equal_the_convolution():
+    rng, network = np.random.default_rng(10), secret_scan.Network()
+    windows = rng.choice(secret_scan._CODES, (40, secret_scan.WIDTH)).astype(np.uint8)
+    alone = windows.copy()
+    alone[:, : secret_scan.BEFORE] = 0
+    assert np.allclose(network.margin(windows), np.maximum(network._forward(windows)[-1], network._forward(alone)[-1]), atol=1e-5)
+
+
 def test_secret_edge_rows(make):
     docs = make(EDGE)
     assert [r["spans"] for r in find_secrets(docs).collect()] == [[]] * len(EDGE)
