@@ -3,13 +3,14 @@
 Language identification drops texts without a letter (all, where no row has a language to learn from), near-duplicate removal keeps the document
 with the smallest id of each group, the secret scan blanks what it finds, the mix takes each document
 as often as its source's target asks, and what is left is encoded. No stage samples or caps rows.
-Rows without id pass every filter that needs one. SQL cannot express the learned stages, so
+Rows without id take part in every stage. SQL cannot express the learned stages, so
 ``ORACLE_SQL`` is None; the tests compare the stages with brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.language_id import keep_identified
 from tidemark.llm.language_id import train as train_language
@@ -29,10 +30,22 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more: one document of each group stays."""
-    docs = docs.select(*COLUMNS)
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Five-word shingles, similarity 0.8 or more: one document of each group stays.
+
+    Rows of one id share a decision, and of equal texts under one id one row stays. A row without id takes
+    part under a hash of its text from 2^62 upwards, so documents with usual ids go first. Blank texts stay.
+    """
+    key = F.coalesce("doc_id", F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    docs = docs.select(*COLUMNS).withColumn("key", key)
+    found = keep(near_duplicates(docs.select(F.col("key").alias("doc_id"), "text")), "found").withColumnRenamed("doc_id", "key")
+    dropped = found.where("not kept").select("key").distinct()
+    repeated = found.where("n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
+    if repeated.isEmpty():
+        return docs.join(dropped, "key", "left_anti").select(*COLUMNS)
+    repeated = keep(repeated.join(dropped, "key", "left_anti"), "repeated")
+    single = docs.join(dropped.union(repeated), "key", "left_anti").select(*COLUMNS)
+    one = docs.join(repeated, "key", "left_semi").groupBy("key", "text").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("row"))
+    return single.union(one.select("row.doc_id", "text", "row.lang", "row.source", "row.n_chars"))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,5 +240,18 @@ def test_pipeline_stages(spark, small):
     docs.unpersist()
 
 
+def test_one_row_of_repeated_ids_and_of_copies_without_id_stays(spark, make):
+    import corpus_pipeline as pipeline
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [(1, text("a"), "en", "s", 9)] * 3 + [(2, text("b"), "en", "s", 9), (3, text("b"), "en", "s", 9), (3, text("b"), "en", "s", 9)]
+    rows += [(None, text("c"), "en", "s", 9)] * 4 + [(None, text("a"), "en", "s", 9), (None, text("d"), "en", "s", 9), (None, text("d") + " more", "en", "s", 9)]
+    rows += [(5, text("e"), "en", "s", 9), (None, "", None, None, 0), (None, "", None, None, 0), (None, None, None, None, None)]
+    out = pipeline.drop_near_duplicates(spark, make(rows), SMALL)
+    assert out.columns == list(pipeline.COLUMNS)
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:1]) for r in out.collect())
+    assert got == [(0, "")] * 3 + [(0, "c"), (0, "d"), (1, "a"), (2, "b"), (5, "e")]
+
+
 def test_rows_of_the_pipeline_table_keep_their_types(small):
     assert dict(small("documents").select(F.col("doc_id")).dtypes) == {"doc_id": "bigint"}
