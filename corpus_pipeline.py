@@ -2,7 +2,7 @@
 
 Language identification drops texts without a letter (all, where no row has a language to learn from), near-duplicate removal keeps the document
 with the smallest id of each group, the secret scan blanks what it finds, the mix takes each document
-as often as its source's target asks, and what is left is encoded. No stage samples or caps rows.
+as often as its source's target asks, and what is left is encoded and decoded again. No stage samples or caps rows.
 Rows without id take part in every stage. SQL cannot express the learned stages, so
 ``ORACLE_SQL`` is None; the tests compare the stages with brute force.
 """
@@ -16,7 +16,7 @@ from tidemark.llm.language_id import keep_identified
 from tidemark.llm.language_id import train as train_language
 from tidemark.llm.mixing import take_mix
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.pieces import encode
+from tidemark.llm.pieces import decode, encode
 from tidemark.llm.queries import PIECES
 from tidemark.llm.secret_scan import redact
 from tidemark.llm.shared import keep
@@ -57,7 +57,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs.select(*COLUMNS), PIECES)
+    """(doc_id, ids, decoded_sha256): the pieces of each text, and the digest of the text they give back."""
+    decoded = decode(encode(docs.select(*COLUMNS), PIECES), PIECES)
+    return decoded.select("doc_id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -253,5 +255,13 @@ def test_one_row_of_repeated_ids_and_of_copies_without_id_stays(spark, make):
     assert got == [(0, "")] * 3 + [(0, "c"), (0, "d"), (1, "a"), (2, "b"), (5, "e")]
 
 
+def test_the_last_stage_decodes_what_it_encodes(spark, make):
+    import corpus_pipeline as pipeline
+
+    texts = {1: "a  b naïve 東京", 2: "😀 word\n\tword", 3: ""}
+    out = pipeline.encode_pieces(spark, make([(i, t, None, None, 0) for i, t in texts.items()]), SMALL)
+    assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
 def test_rows_of_the_pipeline_table_keep_their_types(small):
     assert dict(small("documents").select(F.col("doc_id")).dtypes) == {"doc_id": "bigint"}
