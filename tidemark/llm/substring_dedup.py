@@ -1,14 +1,12 @@
-"""Remove passages that occur earlier in the corpus, by parsing documents against an index of references.
-
-Relative Lempel-Ziv: a document is cut into factors that occur in a reference. Here every earlier
-stretch of the corpus is reference, in hash-partitioned blocks. The index is built in two steps, so
-that it stays small. First windows are reduced to their minimiser, the smallest hash of ``GRAM``
-consecutive words, which neighbouring windows share; a window that occurs twice brings its minimiser twice, so windows whose
-minimiser is unique are new text and never enter the index. Then the remaining windows are indexed by
-two 64-bit hashes with their first occurrence. A document is parsed greedily: a factor grows as long
-as the next window is found in the index before the present place, and at each boundary the windows
-that cross it are looked up on their own, so that no window between two factors is overlooked. Factors
-of at least one window become duplicate spans.
+"""Remove passages that occur earlier in the corpus, by an exact index of windows.
+
+There is no relative Lempel-Ziv factoring: no reference block is parsed against, and no factor has a
+reference, a position or a length in it. Instead the first occurrence of each window is looked up. The
+index is built in two steps, so that it stays small. First windows are reduced to their minimiser, the
+smallest hash of ``GRAM`` consecutive words, which neighbouring windows share; a window that occurs
+twice brings its minimiser twice, so windows whose minimiser is unique are new text and never enter the
+index. Then the remaining windows are grouped by two 64-bit hashes, with their first occurrence. In each
+document, runs of windows that occur earlier become duplicate spans.
 """
 
 from __future__ import annotations
@@ -127,11 +125,7 @@ def _indexed(width: int):
 
 
 def _factors(earlier: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy parse of a row of windows: starts and ends (in words) of the factors, boundary windows included.
-
-    A factor is a maximal run of windows found earlier, so it ends where the next window is new; the
-    windows across that boundary have been looked up like all others and start factors of their own.
-    """
+    """Starts and ends (in words) of the maximal runs of windows found earlier."""
     steps = np.diff(np.concatenate([[0], earlier.astype(np.int8), [0]]))
     return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1) + width - 1
 
