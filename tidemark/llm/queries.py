@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.ann_search import nearest
+from tidemark.llm.conversation_repair import damaged, repair_conversations
+from tidemark.llm.decontamination import items_digest, scan_contamination
 from tidemark.llm.language_id import held_out, identify_language
 from tidemark.llm.language_id import train as train_language
 from tidemark.llm.license_scan import scan_licenses
@@ -14,6 +16,7 @@ from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.pieces import decode, encode
 from tidemark.llm.preference_format import format_preferences, neighbour_pairs
 from tidemark.llm.secret_scan import KINDS, find_secrets, joined_spans
+from tidemark.llm.spelling_variants import spelling_groups
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.topk_search import top_products
 
@@ -79,6 +82,19 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups(table(spark, folder, "documents"), least_length=7, least_count=2, times=10, damage=31)
+
+
+def op12_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest().alias("items_sha256"), "contaminated")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, folder, "conversations")), there_column="there")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -90,6 +106,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_ann_search": op9_ann_search,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
