@@ -188,3 +188,85 @@ g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' O
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN g ON g.doc_id = w.doc_id""",
 }
+
+
+# CRC-32 of text: the table of the reflected polynomial, then one look-up per byte.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
+        FROM range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    """The value for a text column, where the table ``crc`` is joined."""
+    octets = f"list_transform(range(1, 2 * octet_length(encode({text})) + 1, 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295)"
+
+
+_ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+ORACLES |= {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+o AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {_crc("named")} AS h FROM o, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, unnest(range(length(word)::INT)) u(i)),
+p AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.rest),
+m AS (SELECT p.word, count(*) AS n_near, min({{'less': -v.n, 'other': p.other}}) AS top FROM p JOIN v ON v.word = p.other GROUP BY p.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 10 * v.n THEN top.other END AS form,
+        CASE WHEN -top.less >= 10 * v.n THEN -top.less END AS form_n FROM v LEFT JOIN m USING (word)),
+c(word, root) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.root WHERE e.form IS NULL""",
+    "op12_benchmark_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all({_LOWER}, {_ITEM_WORDS}) AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, {_ITEM_WORDS}) AS ws FROM benchmark),
+n AS (SELECT DISTINCT item, least(len(ws), 10) AS width, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i : i + 9], ' '))) AS window_text
+      FROM b WHERE len(ws) > 0),
+x AS (SELECT place, width, i, array_to_string(ws[i : i + width - 1], ' ') AS window_text
+      FROM d, (SELECT DISTINCT width FROM n) k, unnest(range(1, len(ws) - width + 2)) u(i)),
+h AS (SELECT x.place, x.width, x.i, n.item FROM x JOIN n USING (width, window_text)),
+c AS (SELECT place, count(DISTINCT word) AS n_hit FROM (SELECT place, unnest(range(i, i + width)) AS word FROM (SELECT DISTINCT place, width, i FROM h)) GROUP BY place),
+i AS (SELECT place, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY place)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (place) LEFT JOIN i USING (place)""",
+    "op13_conversation_repair": rf"""
+WITH {_CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS named FROM conversations),
+h AS (SELECT * EXCLUDE (named), {_crc("named")} % 20 AS draw FROM o, crc),
+g AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) AS again
+      FROM h WHERE draw <> 0),
+e AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen FROM g),
+s AS (SELECT conv_id, turn, role, text, again, substr(role, 1, 1) AS initial,
+        CASE WHEN ended = '' THEN 'b' WHEN seen THEN 'd' WHEN right(ended, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault FROM e),
+l AS (SELECT conv_id, list({{'role': role, 'text': text, 'initial': initial, 'fault': fault}} ORDER BY turn NULLS FIRST, role, md5(text), again) AS rows,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+        count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated FROM s GROUP BY conv_id),
+-- The best (cost, audit) in each state after each row: start, system, user, assistant.
+k AS (SELECT *, list_reduce(
+        list_transform(rows, lambda r: {{'i': r.initial, 'f': r.fault, 's': NULL::STRUCT(c BIGINT, a VARCHAR)[]}}),
+        lambda z, r: {{'i': '', 'f': '', 's': list_transform([list_transform([z.s], lambda y: list_transform([
+            [{{'c': y[1].c + 3, 'a': y[1].a || 'D'}}],
+            [{{'c': y[2].c + 3, 'a': y[2].a || 'D'}}] || CASE WHEN r.f NOT IN ('b', 'd') AND r.i = 's' THEN [{{'c': y[1].c + (r.f = 't')::BIGINT, 'a': y[1].a || 'K'}}] ELSE [] END,
+            [{{'c': y[3].c + 3, 'a': y[3].a || 'D'}}] || CASE WHEN r.f IN ('b', 'd') THEN []
+              ELSE list_transform([1, 2, 4], lambda j: {{'c': y[j].c + (r.f = 't')::BIGINT + CASE WHEN r.i = 'u' THEN 0 ELSE 2 END, 'a': y[j].a || CASE WHEN r.i = 'u' THEN 'K' ELSE 'R' END}}) END,
+            [{{'c': y[4].c + 3, 'a': y[4].a || 'D'}}] || CASE WHEN r.f IN ('b', 'd') THEN []
+              ELSE [{{'c': y[3].c + (r.f = 't')::BIGINT + CASE WHEN r.i = 'a' THEN 0 ELSE 2 END, 'a': y[3].a || CASE WHEN r.i = 'a' THEN 'K' ELSE 'R' END}}] END
+          ], lambda q: list_sort(q)[1]))[1]], lambda m: [
+            m[1], m[2],
+            list_sort([m[3], {{'c': m[1].c + 2, 'a': m[1].a || 'I'}}, {{'c': m[2].c + 2, 'a': m[2].a || 'I'}}, {{'c': m[4].c + 2, 'a': m[4].a || 'I'}}])[1],
+            list_sort([m[4], {{'c': m[3].c + 2, 'a': m[3].a || 'I'}}, {{'c': m[1].c + 4, 'a': m[1].a || 'II'}}, {{'c': m[2].c + 4, 'a': m[2].a || 'II'}}])[1]])[1]}},
+        {{'i': '', 'f': '', 's': [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 1000000::BIGINT, 'a': ''}}, {{'c': 2::BIGINT, 'a': 'I'}}, {{'c': 4::BIGINT, 'a': 'II'}}]}}).s AS ends FROM l),
+a AS (SELECT *, list_sort([ends[1], ends[4]])[1].c AS cost, list_sort([ends[1], ends[4]])[1].a AS audit,
+        (SELECT count(*) FROM unnest(range(1, len(rows))) u(i) WHERE rows[i].initial || rows[i + 1].initial NOT IN ('su', 'ua', 'au')) AS illegal FROM k),
+x AS (SELECT conv_id, (SELECT string_agg(CASE letter WHEN 'K' THEN rows[row_no].role || ':' || rows[row_no].text
+            ELSE CASE WHEN (written - length(replace(audit, 'D', '')) % 2) % 2 = 1 THEN 'user:' ELSE 'assistant:' END || CASE letter WHEN 'R' THEN rows[row_no].text ELSE '' END END, chr(10) ORDER BY i)
+          FROM (SELECT i, letter, count(*) FILTER (letter <> 'I') OVER (ORDER BY i) AS row_no, count(*) FILTER (letter <> 'D') OVER (ORDER BY i) AS written
+                FROM (SELECT i, substr(audit, i, 1) AS letter FROM unnest(range(1, length(audit) + 1)) u(i))) WHERE letter <> 'D') AS repaired FROM a)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id""",
+}
