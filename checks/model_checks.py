@@ -14,10 +14,9 @@ from tidemark.operators.numeric_prep import numeric_columns
 from tidemark.operators.panel import join_text
 from tidemark.operators.terms import post_terms, shared_terms
 from tidemark.operators.weekly_text import clean_posts
-from tidemark.plans.experiments import VARIANTS, robustness_study, train_per_asset
-from tidemark.plans.training import fit_models, train_and_evaluate
+from tidemark.plans.training import fit_models
 from tidemark.session import keep_table
-from tidemark.settings import ModelSettings, StudySettings, TextSettings, ValidationSettings
+from tidemark.settings import ModelSettings, TextSettings
 
 LINEAR = (ModelSettings("market_logreg", params={"C": 1.0, "max_iter": 100}),)
 ALL_MODELS = (
@@ -28,11 +27,7 @@ ALL_MODELS = (
     ModelSettings("random_forest", params={"n_trees": 20, "max_depth": 5, "min_leaf": 8}),
     ModelSettings("boosted_trees", params={"n_rounds": 5, "max_depth": 3}),
 )
-STUDY = StudySettings(
-    validation=ValidationSettings(train_min_weeks=150, val_weeks=40, step_weeks=80),
-    text=replace(TextSettings(), max_features=500),
-    models=LINEAR,
-)
+TEXT = replace(TextSettings(), max_features=500)
 
 
 def _panel(spark, folder):
@@ -45,7 +40,7 @@ def model_predictions(spark, folder):
     terms = keep_table(shared_terms(post_terms(clean_posts(posts(spark, folder)))))
     start = F.lit(holdout_start(distinct_weeks(panel)))
     trained = fit_models(
-        panel.where(F.col("week_start") < start), terms, ALL_MODELS, numeric_columns(panel), STUDY.text
+        panel.where(F.col("week_start") < start), terms, ALL_MODELS, numeric_columns(panel), TEXT
     )
     test = panel.where(F.col("week_start") >= start)
     parts = [t.predict(test, terms) for t in trained]
@@ -55,23 +50,6 @@ def model_predictions(spark, folder):
     return rounded(dated(out))
 
 
-def temporal_cv(spark, folder):
-    return rounded(train_and_evaluate(_panel(spark, folder), STUDY).cv_folds)
-
-
-def holdout_metrics(spark, folder):
-    return rounded(train_and_evaluate(_panel(spark, folder), STUDY).test_metrics)
-
-
-def per_asset(spark, folder):
-    return rounded(train_per_asset(_panel(spark, folder), STUDY).summary)
-
-
-def robustness(spark, folder):
-    panel = join_text(market_panel(spark, folder, drop_neutral=False), weekly_text(spark, folder))
-    return rounded(robustness_study(panel, STUDY, terms=keep_table(post_terms(clean_posts(posts(spark, folder)))), variants=VARIANTS))
-
-
 def importance(spark, folder):
     panel = _panel(spark, folder)
     (trained,) = fit_models(panel, None, LINEAR, numeric_columns(panel))
@@ -80,10 +58,6 @@ def importance(spark, folder):
 
 QUERIES = {
     "model_predictions": model_predictions,
-    "temporal_cv": temporal_cv,
-    "holdout_metrics": holdout_metrics,
-    "per_asset_summary": per_asset,
-    "robustness_summary": robustness,
     "feature_importance": importance,
 }
 ORACLES: dict[str, str] = {}
