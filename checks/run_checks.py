@@ -10,11 +10,13 @@ from checks.market_checks import RETURNS, OHLCV, TEXT_NUMBERS, TEXT_STATS, marke
 from checks.stand_ins import METRIC_COLUMNS, WEEKLY, dated, metrics_sql, num, posts, rounded
 from checks.term_checks import TERMS
 from tidemark.operators.fold_terms import span_vocabularies
+from tidemark.operators.forest import BINS, POISSON, PRIME, ROOTS
+from tidemark.operators.metrics import classification_metrics
 from tidemark.operators.panel import join_text
 from tidemark.operators.terms import CELL, post_terms, shared_terms
 from tidemark.operators.weekly_text import clean_posts
 from tidemark.plans.experiments import VARIANTS
-from tidemark.plans.many_runs import evaluate_many, study_assets, study_variants
+from tidemark.plans.many_runs import evaluate_many, grow_forests, study_assets, study_variants
 from tidemark.session import keep_table
 from tidemark.settings import StudySettings, default_models
 
@@ -78,6 +80,23 @@ def fold_vocabulary(spark, folder):
     )
 
 
+FOREST = replace(StudySettings(), models=tuple(m for m in default_models() if m.name == "random_forest"))
+
+
+def forest_roots(spark, folder):
+    """Each tree's first split on all weeks before the holdout: column, bin and fall of impurity."""
+    roots = replace(FOREST, models=(replace(FOREST.models[0], params={**FOREST.models[0].params, "max_depth": 1}),))
+    forest, _, columns = grow_forests(_panel(spark, folder), roots, folds=False)
+    rows = [(t.number, columns[t.feature[1]], int(t.bin[1]), float(t.gain[1]), float(t.weights[1])) for t in forest.trees]
+    return rounded(spark.createDataFrame(rows, "tree int, feature string, bin int, gain double, up_weight double"))
+
+
+def forest_holdout(spark, folder):
+    """Holdout metrics of the default forest."""
+    _, predictions, _ = grow_forests(_panel(spark, folder), FOREST, folds=False)
+    return rounded(classification_metrics(predictions, ["model"]))
+
+
 # The numeric columns in the panel's order.
 COLUMNS = [*OHLCV, *RETURNS, "naive_persistence_signal", *TEXT_NUMBERS]
 SIZE = len(COLUMNS) + 1
@@ -193,6 +212,34 @@ v AS (SELECT fold, least(count(*), 8000) AS n_terms FROM found GROUP BY fold)
 SELECT model, fold::INTEGER AS fold, n_train, coalesce(n_terms, 0) AS n_terms, 0.0::DOUBLE AS gradient
 FROM n LEFT JOIN v USING (fold), (VALUES ('text_logreg'), ('hybrid_logreg'), ('linear_svm')) m(model)"""
 
+# Draws, bins and gains of the roots: each tree's counts by its two factors, five columns by their order.
+_TREES = FOREST.models[0].params["n_trees"]
+_DRAWN = 5
+_POISSON = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in POISSON.tolist())
+_TRAINED = f"""WITH RECURSIVE {WEEKLY}, {TEXT_STATS}, study AS ({study_rows()}),
+weeks AS (SELECT week_start, row_number() OVER (ORDER BY week_start DESC) AS no FROM (SELECT DISTINCT week_start FROM study)),
+rows_in AS (SELECT study.*, ('0x' || substr(md5(asset || '|' || epoch_us(week_start::TIMESTAMP)), 1, 8))::BIGINT % {PRIME} AS key
+  FROM study JOIN weeks USING (week_start) WHERE no > {V.test_weeks})"""
+_LONG = " UNION ALL ".join(f"SELECT key, target_up, {i} AS f, '{c}' AS feature, {c} AS x FROM rows_in" for i, c in enumerate(COLUMNS, start=1))
+FOREST_ROOTS = f"""{_TRAINED},
+long AS ({_LONG}),
+q AS (SELECT f, median(x) AS m, quantile_cont(x, [{', '.join(f'{i}/{BINS}::DOUBLE' for i in range(1, BINS))}]) AS edges FROM long GROUP BY f),
+binned AS (SELECT key, target_up, long.f, feature, len(list_filter(edges, lambda e: e < coalesce(x, m))) AS bin FROM long JOIN q USING (f)),
+trees(t, a, b) AS (SELECT 0, {ROOTS[0]}::BIGINT, {ROOTS[1]}::BIGINT UNION ALL SELECT t + 1, a * {ROOTS[0]} % {PRIME}, b * {ROOTS[1]} % {PRIME} FROM trees WHERE t + 1 < {_TREES}),
+drawn AS (SELECT t, i AS f FROM trees, unnest(range(1, {SIZE})) r(i)
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY (i * a + b) % {PRIME} * {ROOTS[0]} % {PRIME}, i) <= {_DRAWN}),
+boot AS (SELECT t, key, target_up, {_POISSON} AS n FROM (SELECT t, key, target_up, ((key * a + b) % {PRIME}) / {PRIME}::DOUBLE AS u FROM rows_in, trees)),
+w AS (SELECT t, sum(n) / (2.0::DOUBLE * sum(n * (1 - target_up))) AS w0, sum(n) / (2.0::DOUBLE * sum(n * target_up)) AS w1 FROM boot GROUP BY t),
+h AS (SELECT t, f, feature, bin, sum(n * (1 - x.target_up)) AS d, sum(n * x.target_up) AS u, count(*) AS c
+  FROM drawn JOIN binned x USING (f) JOIN boot USING (t, key) WHERE n > 0 GROUP BY ALL),
+s AS (SELECT t, f, feature, bin, w0, w1, sum(d) OVER o * w0 AS ld, sum(u) OVER o * w1 AS lu, sum(c) OVER o AS lc,
+    sum(d) OVER p * w0 AS td, sum(u) OVER p * w1 AS tu, sum(c) OVER p AS tc
+  FROM h JOIN w USING (t) WINDOW p AS (PARTITION BY t, f), o AS (PARTITION BY t, f ORDER BY bin)),
+g AS (SELECT *, round((ld * ld + lu * lu) / (ld + lu) + ((td - ld) ** 2 + (tu - lu) ** 2) / (td - ld + tu - lu) - (td * td + tu * tu) / (td + tu), 9) AS gain
+  FROM s WHERE lc >= 8 AND tc - lc >= 8)
+SELECT t::INTEGER AS tree, feature, bin::INTEGER AS bin, {num('gain', 'gain')}, {num('w1', 'up_weight')} FROM g WHERE gain > 0
+QUALIFY row_number() OVER (PARTITION BY t ORDER BY gain DESC, f, bin) = 1"""
+
 QUERIES = {
     "temporal_cv": temporal_cv,
     "holdout_metrics": holdout_metrics,
@@ -201,6 +248,8 @@ QUERIES = {
     "robustness_summary": robustness,
     "text_fits": text_fits,
     "fold_vocabulary": fold_vocabulary,
+    "forest_roots": forest_roots,
+    "forest_holdout": forest_holdout,
 }
 ORACLES = {
     "temporal_cv": f"{STUDY} SELECT {METRIC_COLUMNS}, model, fold::INTEGER AS fold, n_train, n_val FROM metrics JOIN sizes USING (grp, fold) WHERE fold > 0",
@@ -211,4 +260,5 @@ SELECT fold::INTEGER AS fold, n_train, n_val, i::INTEGER AS place, {num('beta[i]
     "robustness_summary": ROBUSTNESS,
     "text_fits": TEXT_FITS,
     "fold_vocabulary": FOLD_VOCABULARY,
+    "forest_roots": FOREST_ROOTS,
 }

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.estimators import NAIVE, enabled_models, uses
 from tidemark.operators.fold_terms import span_vocabularies
 from tidemark.operators.folds import fold_list, holdout_start
+from tidemark.operators.forest import Forest, bin_edges, grow_forest, row_key, score_forest
 from tidemark.operators.linear_fits import Design, Fit, fit_linear, numeric_design, score_linear
 from tidemark.operators.metrics import COUNTS, METRICS, classification_metrics
 from tidemark.operators.numeric_prep import numeric_columns
@@ -117,6 +118,46 @@ def _text(rows: DataFrame, terms: DataFrame, studies: list[Study], settings: Stu
     return joined.withColumns(empty), idf
 
 
+def _prepared(panel: DataFrame, settings: StudySettings, columns: Sequence[str], group: str | None, test_weeks: Mapping[str, int]) -> tuple[DataFrame, int, list[Study]]:
+    """The labelled rows of all groups, kept, how many there are, and each group's spans."""
+    key = F.col(group).cast("string") if group else F.lit("all")
+    rows = keep_table(
+        panel.withColumn("group", key).where(F.col("target_up").isNotNull() & F.col("week_start").isNotNull() & F.col("group").isNotNull()).select(
+            "group", "asset", "week_start", F.unix_micros("week_start").alias("week"), F.col("target_up").cast("int").alias("target_up"),
+            "naive_persistence_signal", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns if c != "naive_persistence_signal"],
+        ).repartition("group", "week_start")
+    )
+    counts = rows.groupBy("group", "week_start", "target_up").agg(F.count("*").alias("n")).limit(MAX_GROUP_WEEKS + 1).collect()
+    if len(counts) > MAX_GROUP_WEEKS:
+        raise ValueError(f"more than {MAX_GROUP_WEEKS} (group, week) cells: pass fewer groups at once")
+    return rows, sum(r["n"] for r in counts), _studies(counts, settings, test_weeks)
+
+
+def _narrow(rows: DataFrame, columns: Sequence[str], *more) -> DataFrame:
+    return rows.select("group", "asset", "week_start", "week", "target_up", *more, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x"))
+
+
+def grow_forests(
+    panel: DataFrame, settings: StudySettings = StudySettings(), group: str | None = None, folds: bool = True
+) -> tuple[Forest, DataFrame, list[str]]:
+    """The forests of all folds and holdouts (or, without ``folds``, of the holdouts alone), their predictions, and the columns.
+
+    Trees, depth and least leaf are those of the study's ``random_forest``.
+    """
+    spark = use_utc(panel.sparkSession)
+    columns = [c for c in numeric_columns(panel) if c != group]
+    (model,) = [m for m in settings.models if m.name == "random_forest"]
+    rows, counts, studies = _prepared(panel, settings, columns, group, {})
+    spans = [(s, i) for s in studies for i in range(len(s.spans)) if folds or s.spans[i][0] == 0]
+    fits = [Fit(s.group, *s.spans[i], model.name) for s, i in spans]
+    table = spark.createDataFrame([(at, f.group, f.end) for at, f in enumerate(fits)], "fit int, group string, end long")
+    medians, edges = bin_edges(rows, columns, table, len(fits), max(s.n_train[i] for s, i in spans))
+    base = keep_table(_narrow(rows, columns, row_key("asset", "week").alias("key")).repartition(_tasks(spark, counts)))
+    depth = int(model.params.get("max_depth", 8))
+    forest = grow_forest(base, fits, medians, edges, int(model.params.get("n_trees", 300)), depth, int(model.params.get("min_leaf", 8)))
+    return forest, score_forest(base, forest, depth), columns
+
+
 def evaluate_many(
     panel: DataFrame, settings: StudySettings = StudySettings(), terms: DataFrame | None = None, group: str | None = None,
     test_weeks: Mapping[str, int] | None = None,
@@ -138,31 +179,20 @@ def evaluate_many(
     with_text = [m for m in models if uses(m.name)[0]]
     if with_text and terms is None:
         raise ValueError("text models need the weekly terms")
-    key = F.col(group).cast("string") if group else F.lit("all")
-    rows = keep_table(
-        panel.withColumn("group", key).where(F.col("target_up").isNotNull() & F.col("week_start").isNotNull() & F.col("group").isNotNull()).select(
-            "group", "asset", "week_start", F.unix_micros("week_start").alias("week"), F.col("target_up").cast("int").alias("target_up"),
-            "naive_persistence_signal", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns if c != "naive_persistence_signal"],
-        ).repartition("group", "week_start")
-    )
-    counts = rows.groupBy("group", "week_start", "target_up").agg(F.count("*").alias("n"))
-    counts = counts.limit(MAX_GROUP_WEEKS + 1).collect()
-    if len(counts) > MAX_GROUP_WEEKS:
-        raise ValueError(f"more than {MAX_GROUP_WEEKS} (group, week) cells: pass fewer groups at once")
-    studies = _studies(counts, settings, test_weeks or {})
+    rows, counts, studies = _prepared(panel, settings, columns, group, test_weeks or {})
     spans = [(s, i) for s in studies for i in range(len(s.spans))]
     table = spark.createDataFrame([(at, s.group, s.spans[i][1]) for at, (s, i) in enumerate(spans)], "fit int, group string, end long")
     most = max((s.n_train[i] for s, i in spans), default=0)
     scaled = numeric_design(rows, columns, table, len(spans), most)
     weights = np.array([s.weights[i] for s, i in spans])
-    narrow = rows.select("group", "asset", "week_start", "week", "target_up", F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x"))
+    narrow = _narrow(rows, columns)
 
     predictions, about = [], []
     for some, has_text in (([m for m in models if m not in with_text], False), (with_text, True)):
         if not some:
             continue
         base, idf = _text(narrow, terms, studies, settings) if has_text else (narrow, np.zeros((len(spans), 0)))
-        base = keep_table(base.repartition(_tasks(spark, sum(r["n"] for r in counts))))
+        base = keep_table(base.repartition(_tasks(spark, counts)))
         at = [(m, place, s, i) for m in some for place, (s, i) in enumerate(spans)]
         fits = [_fit(m, s, i) for m, _, s, i in at]
         places = [place for _, place, _, _ in at]
