@@ -1,8 +1,8 @@
 """Registered queries over the given tables, each with the SQL that has to agree with it."""
 
-from checks import market_checks, metric_checks, model_checks, post_checks, report_checks, run_checks, term_checks
+from checks import market_checks, metric_checks, post_checks, report_checks, run_checks, term_checks
 
-PARTS = (market_checks, post_checks, term_checks, metric_checks, report_checks, model_checks, run_checks)
+PARTS = (market_checks, post_checks, term_checks, metric_checks, report_checks, run_checks)
 
 
 def all_queries():

@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from checks.stand_ins import (
     BARS, CHANNELS, CLEAN, DOWN_WORDS, END, KEYWORDS, LEXICON, MATCHED, NEGATIONS, POSTS,
     QUERIES as ASKED, RAW_COMMENTS, RAW_POSTS, START, UP_WORDS,
-    bars, dated, keyword_sum, num, posts, raw_comments, raw_posts, rounded, table,
+    bars, dated, keyword_sum, num, posts, posts_of, raw_comments, raw_posts, rounded, table,
 )
 from checks.market_checks import TEXT_NUMBERS, TEXT_STATS, weekly_text
 from tidemark.functions import clean_text, keyword_hits
 from tidemark.functions.calendar import add_month_windows
 from tidemark.operators import sentiment as S
 from tidemark.operators import weekly_text as W
-from tidemark.settings import PostSettings
+from tidemark.operators.slices import slice_bounds
+from tidemark.operators.top_rows import first_rows
+from tidemark.operators.weekly_text import author_sketches, authors_in_spans, clean_posts
+from tidemark.session import fresh_folder, keep_table, use_utc
+from tidemark.settings import AssetQuery, PostSettings
 from tidemark.sources import posts as P
+from tidemark.streaming.landing import land_volume, landed_volume
+from tidemark.streaming.landing import weekly_volume as stream_volume
 
 
 def cleaned_documents(spark, folder):
@@ -208,6 +214,47 @@ def cap_newest(spark, folder):
     return P.cap_per_query(_matched(spark, folder), 40, newest=True).select("source_id", *P.QUERY, "created_utc")
 
 
+MANY = tuple(
+    AssetQuery(f"asset{i % 9}", CHANNELS[i % 4 : i % 4 + 2], tuple(f"{a}{b}" for b in ("er", "TION", "la ", "que", "x")))
+    for i, a in enumerate(x + y for x in "abdeilnorstuÉ" for y in "aeionrst ")
+)
+
+
+def match_many(spark, folder):
+    """Over 900 queries, found by the pieces of their keywords."""
+    return P.match_posts(P.normalize_posts(raw_posts(spark, folder)), MANY).select("source_id", *P.QUERY)
+
+
+_MANY_ROWS = ", ".join(f"('{q.asset}', '{c}', '{k}')" for q in MANY for c in q.channels for k in q.keywords)
+MATCH_MANY = f"""WITH {RAW_POSTS}, asked(asset, channel, keyword) AS (VALUES {_MANY_ROWS})
+SELECT source_id, asset, channel, keyword FROM normal JOIN asked USING (channel) WHERE contains(lower(title), lower(keyword))"""
+
+
+def first_events(spark, folder):
+    """The first 1,200 events of each type, by a threshold over small slices."""
+    events = table(spark, folder, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    bounds = slice_bounds(events, ["event_type", "at", "event_id"], 1_000)
+    return first_rows(events, ["event_type"], ["at", "event_id"], 1_200, bounds=bounds).select("event_type", "event_id")
+
+
+def author_spans(spark, folder):
+    """Different authors per asset and quarter, merged from weekly sketches; so few that the estimate is exact."""
+    sketches = keep_table(author_sketches(clean_posts(posts(spark, folder))))
+    found = authors_in_spans(sketches, F.to_date(F.trunc("week_start", "quarter")))
+    return found.withColumnRenamed("span", "quarter")
+
+
+def weekly_volume_stream(spark, folder):
+    """Weekly post counts by a stream over the documents' files."""
+    schema = use_utc(spark).read.parquet(f"{folder}/documents.parquet").schema
+    # A stream reads a folder; the pattern names the table in it, be it a file or a folder of files.
+    docs = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/documents.parque[t]")
+    found = posts_of(docs)
+    place = fresh_folder(spark)
+    land_volume(stream_volume(found, "3650 days"), f"{place}/volume", f"{place}/state").awaitTermination()
+    return dated(landed_volume(spark, f"{place}/volume"))
+
+
 def _cap_sql(direction: str) -> str:
     return f"""WITH {MATCHED}
 SELECT source_id, asset, channel, keyword, created_utc FROM matched
@@ -304,9 +351,18 @@ QUERIES = {
     "collect_archive": collect_archive,
     "collect_search": collect_search,
     "month_windows": month_windows,
+    "match_many": match_many,
+    "first_events": first_events,
+    "author_spans": author_spans,
+    "weekly_volume_stream": weekly_volume_stream,
 }
 
 ORACLES = {
+    "match_many": MATCH_MANY,
+    "first_events": "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 1200",
+    "author_spans": f"""WITH {POSTS} SELECT asset, CAST(date_trunc('quarter', week_start) AS DATE) AS quarter, count(DISTINCT coalesce(author, '[unknown]')) AS authors
+FROM cleaned GROUP BY ALL""",
+    "weekly_volume_stream": f"""WITH {POSTS} SELECT CAST(date_trunc('week', created_utc) AS DATE) AS week_start, asset, count(*) AS posts FROM posts GROUP BY ALL""",
     "clean_text": f"""WITH c AS (SELECT doc_id, {CLEAN} AS clean_text FROM documents)
 SELECT doc_id, clean_text, length(clean_text) AS text_len FROM c WHERE length(clean_text) >= 15""",
     "clean_text_urls": f"""WITH c AS (SELECT page_id, url || ' ' || html AS text FROM pages)

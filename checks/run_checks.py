@@ -11,12 +11,14 @@ from checks.stand_ins import METRIC_COLUMNS, WEEKLY, dated, metrics_sql, num, po
 from checks.term_checks import TERMS
 from tidemark.operators.fold_terms import span_vocabularies
 from tidemark.operators.forest import BINS, POISSON, PRIME, ROOTS
+from tidemark.operators.estimators import top_importance
 from tidemark.operators.metrics import classification_metrics
+from tidemark.operators.numeric_prep import numeric_columns
 from tidemark.operators.panel import join_text
 from tidemark.operators.terms import CELL, post_terms, shared_terms
 from tidemark.operators.weekly_text import clean_posts
 from tidemark.plans.experiments import VARIANTS
-from tidemark.plans.many_runs import evaluate_many, grow_forests, study_assets, study_variants
+from tidemark.plans.many_runs import evaluate_many, grow_trees, study_assets, study_variants
 from tidemark.session import keep_table
 from tidemark.settings import StudySettings, default_models
 
@@ -86,17 +88,47 @@ FOREST = replace(StudySettings(), models=tuple(m for m in default_models() if m.
 def forest_roots(spark, folder):
     """Each tree's first split on all weeks before the holdout: column, bin and fall of impurity."""
     roots = replace(FOREST, models=(replace(FOREST.models[0], params={**FOREST.models[0].params, "max_depth": 1}),))
-    forest, _, columns = grow_forests(_panel(spark, folder), roots, folds=False)
+    forest, _, columns = grow_trees(_panel(spark, folder), roots, folds=False)
     rows = [(t.number, columns[t.feature[1]], int(t.bin[1]), float(t.gain[1]), float(t.weights[1])) for t in forest.trees]
     return rounded(spark.createDataFrame(rows, "tree int, feature string, bin int, gain double, up_weight double"))
 
 
+def model_predictions(spark, folder):
+    """Holdout predictions of every model that the default study enables."""
+    linear = replace(StudySettings(), models=(*MARKET.models, *ON_TEXT.models))
+    panel = keep_table(_panel(spark, folder))
+    found = evaluate_many(panel, linear, _terms(spark, folder), folds=False).test_predictions
+    forest = grow_trees(panel, FOREST, folds=False)[1].drop("fold")
+    return rounded(dated(found.unionByName(forest).drop("group")))
+
+
+def importance(spark, folder):
+    """The market model's coefficients on all weeks before the holdout, largest first."""
+    panel = _panel(spark, folder)
+    fit = evaluate_many(panel, MARKET, folds=False).fits.select(F.posexplode("parameters").alias("place", "importance"))
+    names = spark.createDataFrame(list(enumerate(numeric_columns(panel))), "place int, feature string")
+    return rounded(top_importance(names.join(fit, "place").select("feature", "importance"), 20))
+
+
 def forest_holdout(spark, folder):
     """Holdout metrics of the default forest."""
-    _, predictions, _ = grow_forests(_panel(spark, folder), FOREST, folds=False)
+    _, predictions, _ = grow_trees(_panel(spark, folder), FOREST, folds=False)
     return rounded(classification_metrics(predictions, ["model"]))
 
 
+BOOSTED = replace(StudySettings(), models=tuple(m for m in default_models() if m.name == "boosted_trees"))
+
+
+def boosted_first_round(spark, folder):
+    """The first tree on all weeks before the holdout: its splits, and the values of its leaves."""
+    one = replace(BOOSTED, models=(replace(BOOSTED.models[0], params={**BOOSTED.models[0].params, "n_rounds": 1}),))
+    model, _, columns = grow_trees(_panel(spark, folder), one, folds=False)
+    (tree,) = model.trees
+    rows = [(n, columns[tree.feature[n]] if tree.feature[n] >= 0 else None, int(tree.bin[n]) if tree.feature[n] >= 0 else None, float(tree.gain[n]), float(tree.chance[n]))
+            for n in range(1, len(tree.feature)) if tree.feature[n] >= 0 or tree.chance[n]]
+    return rounded(spark.createDataFrame(rows, "node int, feature string, bin int, gain double, value double"))
+
+
 # The numeric columns in the panel's order.
 COLUMNS = [*OHLCV, *RETURNS, "naive_persistence_signal", *TEXT_NUMBERS]
 SIZE = len(COLUMNS) + 1
@@ -240,6 +272,32 @@ g AS (SELECT *, round((ld * ld + lu * lu) / (ld + lu) + ((td - ld) ** 2 + (tu -
 SELECT t::INTEGER AS tree, feature, bin::INTEGER AS bin, {num('gain', 'gain')}, {num('w1', 'up_weight')} FROM g WHERE gain > 0
 QUALIFY row_number() OVER (PARTITION BY t ORDER BY gain DESC, f, bin) = 1"""
 
+# The first boosted tree level by level: every row has gradient 1/2 - y and hessian 1/4.
+_COUNT = int(0.8 * (SIZE - 1))
+
+
+def _level(d: int) -> str:
+    return f"""h{d} AS (SELECT node, f, feature, bin, sum(0.5::DOUBLE - y) AS g, count(*) / 4.0::DOUBLE AS h FROM at{d} JOIN used USING (key) WHERE node >= {1 << d} GROUP BY ALL),
+s{d} AS (SELECT node, f, feature, bin, sum(g) OVER o AS lg, sum(h) OVER o AS lh, sum(g) OVER p AS tg, sum(h) OVER p AS th
+  FROM h{d} WINDOW p AS (PARTITION BY node, f), o AS (PARTITION BY node, f ORDER BY bin)),
+b{d} AS (SELECT node, f, feature, bin, gain FROM (SELECT *, round((lg * lg / (lh + 1) + (tg - lg) ** 2 / (th - lh + 1) - tg * tg / (th + 1)) / 2, 9) AS gain
+  FROM s{d} WHERE lh >= 1 AND th - lh >= 1) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1),
+at{d + 1} AS (SELECT a.key, a.y, CASE WHEN b.node IS NULL THEN a.node ELSE 2 * a.node + (x.bin > b.bin)::INT END AS node
+  FROM at{d} a LEFT JOIN b{d} b ON b.node = a.node LEFT JOIN used x ON x.key = a.key AND x.f = b.f)"""
+
+
+BOOSTED_FIRST = f"""{_TRAINED},
+long AS ({_LONG}),
+q AS (SELECT f, median(x) AS m, quantile_cont(x, [{', '.join(f'{i}/{BINS}::DOUBLE' for i in range(1, BINS))}]) AS edges FROM long GROUP BY f),
+chosen AS (SELECT i AS f FROM unnest(range(1, {SIZE})) r(i) ORDER BY i * {ROOTS[0]} % {PRIME} * {ROOTS[0]} % {PRIME}, i LIMIT {_COUNT}),
+used AS (SELECT key, f, feature, len(list_filter(edges, lambda e: e < coalesce(x, m))) AS bin FROM long JOIN q USING (f) JOIN chosen USING (f)),
+at0 AS (SELECT key, target_up AS y, 1 AS node FROM rows_in WHERE (key * {ROOTS[0]} + {ROOTS[1]}) % {PRIME} < 0.8::DOUBLE * {PRIME}),
+{', '.join(_level(d) for d in range(4))},
+splits AS ({' UNION ALL '.join(f'SELECT * FROM b{d}' for d in range(4))}),
+leaves AS (SELECT node, -0.05::DOUBLE * sum(0.5::DOUBLE - y) / (count(*) / 4.0::DOUBLE + 1) AS value FROM at4 GROUP BY node)
+SELECT node::INTEGER AS node, feature, bin::INTEGER AS bin, {num('gain', 'gain')}, 0.0::DOUBLE AS value FROM splits
+UNION ALL SELECT node::INTEGER, NULL, NULL, 0.0, {num('value', 'value')} FROM leaves WHERE value <> 0"""
+
 QUERIES = {
     "temporal_cv": temporal_cv,
     "holdout_metrics": holdout_metrics,
@@ -248,8 +306,11 @@ QUERIES = {
     "robustness_summary": robustness,
     "text_fits": text_fits,
     "fold_vocabulary": fold_vocabulary,
+    "model_predictions": model_predictions,
+    "feature_importance": importance,
     "forest_roots": forest_roots,
     "forest_holdout": forest_holdout,
+    "boosted_first_round": boosted_first_round,
 }
 ORACLES = {
     "temporal_cv": f"{STUDY} SELECT {METRIC_COLUMNS}, model, fold::INTEGER AS fold, n_train, n_val FROM metrics JOIN sizes USING (grp, fold) WHERE fold > 0",
@@ -260,5 +321,9 @@ SELECT fold::INTEGER AS fold, n_train, n_val, i::INTEGER AS place, {num('beta[i]
     "robustness_summary": ROBUSTNESS,
     "text_fits": TEXT_FITS,
     "fold_vocabulary": FOLD_VOCABULARY,
+    "feature_importance": f"""WITH RECURSIVE {WEEKLY}, {TEXT_STATS}, study AS ({study_rows()}), {fitted(only_holdout=True)}
+SELECT [{', '.join(f"'{c}'" for c in COLUMNS)}][i] AS feature, {num('beta[i]', 'importance')}, {num('abs(beta[i])', 'abs_importance')}
+FROM best, unnest(range(1, {SIZE})) u(i) ORDER BY abs(beta[i]) DESC, feature LIMIT 20""",
     "forest_roots": FOREST_ROOTS,
+    "boosted_first_round": BOOSTED_FIRST,
 }

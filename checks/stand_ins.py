@@ -106,7 +106,10 @@ panel AS (SELECT * FROM labelled WHERE target_up IS NOT NULL)"""
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    return posts_of(table(spark, folder, "documents"))
+
+
+def posts_of(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id")
     hours = ((doc_id * 7919) % 17472).cast("int")
     return docs.select(

@@ -33,6 +33,24 @@ every AS (
   WHERE len(w) > 1),
 terms AS (SELECT asset, week_start, term, count(*) AS n FROM every GROUP BY ALL)"""
 
+
+
+def long_term_counts(spark, folder):
+    """Runs of one to four words, also across posts."""
+    counts = T.post_terms(_cleaned(spark, folder), (1, 4))
+    width = F.size(F.split("term", " "))
+    return dated(counts.groupBy(*T.CELL, width.alias("width")).agg(F.count("*").alias("terms"), F.sum("n").alias("n"), F.min("term").alias("first_term"), F.max(F.struct("n", "term"))["term"].alias("most")))
+
+
+_RUNS = " UNION ALL ".join(
+    f"SELECT asset, week_start, {k} AS width, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i : i + {k - 1}], ' '))) AS term FROM lists WHERE len(w) >= {k}"
+    for k in range(1, 5)
+)
+LONG_TERMS = f"""WITH {TERMS},
+runs AS (SELECT asset, week_start, width, term, count(*) AS n FROM ({_RUNS}) GROUP BY ALL)
+SELECT asset, week_start, width::INTEGER AS width, count(*) AS terms, sum(n)::BIGINT AS n, min(term) AS first_term, arg_max(term, (n, term)) AS most
+FROM runs GROUP BY asset, week_start, width"""
+
 VOCABULARY = f"""{TERMS},
 docs AS (SELECT count(*) AS n_docs FROM texts),
 kept AS (
@@ -102,6 +120,7 @@ FROM filled"""
 
 QUERIES = {
     "term_counts": term_counts,
+    "long_term_counts": long_term_counts,
     "vocabulary": vocabulary,
     "tfidf": tfidf,
     "median_impute": median_by_asset,
@@ -111,6 +130,7 @@ QUERIES = {
 
 ORACLES = {
     "term_counts": f"WITH {TERMS} SELECT asset, week_start, term, n FROM terms",
+    "long_term_counts": LONG_TERMS,
     "vocabulary": f"WITH {VOCABULARY} SELECT idx, term, df, {num('idf', 'idf')} FROM vocab",
     "tfidf": TFIDF,
     "median_impute": MEDIANS,

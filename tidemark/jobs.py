@@ -50,7 +50,7 @@ def land_posts(spark: SparkSession, args, settings: StudySettings) -> None:
     else:
         comments = _landed(spark, args.comments, RAW_COMMENTS) if args.comments else None
         found = collect_search(raw, settings.assets, settings.start, settings.end, comments, settings.posts)
-    save_table(found, f"{args.out}/posts.parquet")
+    save_table(found, f"{args.out}/posts.parquet", ["asset", "created_utc", "source_id"])
 
 
 def land_bars(spark: SparkSession, args, settings: StudySettings) -> None:
@@ -63,17 +63,17 @@ def land_bars(spark: SparkSession, args, settings: StudySettings) -> None:
         else:
             bars = normalize_close_series(spark.read.csv(path, header=True), settings.start, settings.end)
         sources.append((asset, tickers.get(asset, asset), bars))
-    save_table(union_market(spark, sources), f"{args.out}/bars.parquet")
+    save_table(union_market(spark, sources), f"{args.out}/bars.parquet", ["asset", "date"])
 
 
 def _save_panel(spark: SparkSession, posts, bars, settings: StudySettings, out: str, lexicon=None) -> None:
     """The labelled panel, and beside it the one that keeps neutral weeks, which other thresholds need."""
     cleaned = save_clean_posts(posts, f"{out}/clean_posts.parquet", settings)
     undropped = replace(settings, label=replace(settings.label, drop_neutral=False))
-    save_table(weekly_panel(None, bars, undropped, lexicon=lexicon, cleaned=cleaned), f"{out}/weekly_panel_all.parquet")
+    save_table(weekly_panel(None, bars, undropped, lexicon=lexicon, cleaned=cleaned), f"{out}/weekly_panel_all.parquet", ["asset", "week_start"])
     every = read_table(spark, f"{out}/weekly_panel_all.parquet")
     kept = every.where(F.col("target_up").isNotNull()) if settings.label.drop_neutral else every
-    save_table(kept, f"{out}/weekly_panel.parquet")
+    save_table(kept, f"{out}/weekly_panel.parquet", ["asset", "week_start"])
     save_table(weekly_terms(settings=settings, cleaned=cleaned), f"{out}/weekly_terms.parquet")
 
 

@@ -81,12 +81,12 @@ class Forest:
     trees: list[Tree]
 
     def importance(self, fit: int) -> np.ndarray:
-        """Mean over the trees of each feature's share in the fall of impurity."""
+        """Each feature's share in the fall of impurity, averaged over the trees that split; zeros without any."""
         shares = []
-        for tree in (t for t in self.trees if t.fit == fit):
+        for tree in (t for t in self.trees if t.fit == fit and (t.feature >= 0).any()):
             total = np.bincount(tree.feature[tree.feature >= 0], tree.gain[tree.feature >= 0], minlength=self.medians.shape[1])
-            shares.append(total / total.sum() if total.sum() > 0 else total)
-        return np.mean(shares, axis=0)
+            shares.append(total / total.sum())
+        return np.mean(shares, axis=0) if shares else np.zeros(self.medians.shape[1])
 
 
 def bin_edges(rows: DataFrame, columns: Sequence[str], spans: DataFrame, n_fits: int, most_rows: int) -> tuple[np.ndarray, np.ndarray]:

@@ -80,6 +80,32 @@ def slice_of(order: Sequence[str], bounds: Bounds) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda state: state["low"])
 
 
+BREAK = "\x00"
+
+
+def constant_strings(words: Sequence[str]) -> Column:
+    """Strings without U+0000 as one array that Catalyst folds into a literal; one call, whatever their number."""
+    if any(BREAK in word for word in words):
+        raise ValueError("a zero character cannot be part of a constant string")
+    return F.split(F.lit(BREAK.join(words)), BREAK)
+
+
+def place_of(value: Column, words: Sequence[str]) -> Column:
+    """Place of a string in ``words``, sorted by code points, or -1; found by halving an array literal."""
+    table = constant_strings(words)
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        below = F.struct(state["low"].alias("low"), middle.alias("high"))
+        above = F.struct((middle + 1).alias("low"), state["high"].alias("high"))
+        return F.when(state["low"] >= state["high"], state).when(F.get(table, middle) < value, above).otherwise(below)
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(words)).alias("high"))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(words).bit_length()))), start, halve, lambda state: state["low"])
+    # The one-element array keeps the search from being computed for each mention.
+    return F.transform(F.array(at), lambda i: F.when(F.get(table, i) == value, i).otherwise(-1))[0]
+
+
 def previous_value(
     df: DataFrame,
     group: Sequence[str],

@@ -9,18 +9,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import outer_tokens, word_tokens
-from tidemark.operators.slices import Bounds, previous_value
+from tidemark.operators.slices import Bounds, previous_value, slice_bounds
 
 CELL = ("asset", "week_start")
 
 
+LONGEST = 10
+
+
 def _check_range(ngram_range: tuple[int, int]) -> tuple[bool, bool]:
     low, high = ngram_range
-    if not 1 <= low <= high <= 2:
-        raise ValueError(f"n-gram range has to lie within (1, 2), not {ngram_range}")
+    if not 1 <= low <= high <= LONGEST:
+        raise ValueError(f"n-gram range has to lie within (1, {LONGEST}), not {ngram_range}")
     return low == 1, high == 2
 
 
+def _ngrams(tokens: Column, low: int, high: int) -> Column:
+    """All runs of ``low`` to ``high`` neighbouring tokens, joined by spaces."""
+
+    def runs(n: int) -> Column:
+        if n == 1:
+            return tokens
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    return F.concat(*[runs(n) for n in range(low, high + 1)])
+
+
+def _spanning(tail: Column, head: Column, low: int, high: int) -> Column:
+    """Runs of tokens that begin in ``tail`` and end in ``head``."""
+    both, before = F.concat(tail, head), F.size(tail)
+
+    def runs(n: int) -> Column:
+        first = F.greatest(F.lit(1), before - (n - 2))
+        last = F.least(before, F.size(both) - (n - 1))
+        starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(both, i, n), " "))
+
+    return F.concat(*[runs(n) for n in range(max(low, 2), high + 1)])
+
+
+def _long_terms(cleaned: DataFrame, low: int, high: int, bounds: Bounds | None) -> DataFrame:
+    """Term rows for runs of more than two tokens, which may span several short posts.
+
+    The last ``high - 1`` tokens before a post are a border: those of a run of posts follow from the border of the
+    run without its last post and that post's own tokens, so ``high - 2`` steps to the post before reach far
+    enough, as each post with a token gives at least one.
+    """
+    reach = high - 1
+    tokens = word_tokens(F.col("clean_text"))
+    rows = cleaned.select(
+        *CELL, F.unix_micros("created_utc").alias("_at"), "source_id", F.xxhash64("clean_text").alias("_tie"), tokens.alias("_tokens")
+    ).where(F.size("_tokens") > 0)
+    inside = rows.select(*CELL, F.explode(_ngrams(F.col("_tokens"), low, high)).alias("term"))
+    order = ["_at", "source_id", "_tie"]
+    own = F.slice("_tokens", F.greatest(F.size("_tokens") - (reach - 1), F.lit(1)), reach)
+    ends = rows.select(*CELL, *order, F.slice("_tokens", 1, reach).alias("_head"), own.alias("_own"))
+    ends = ends.withColumn("_tail", F.col("_own"))
+    if bounds is None:
+        bounds = slice_bounds(ends, [*CELL, *order])
+    for _ in range(reach - 1):
+        both = F.concat(F.coalesce("prev__tail", F.array().cast("array<string>")), "_own")
+        ends = previous_value(ends, CELL, order, ["_tail"], bounds=bounds).select(
+            *CELL, *order, "_head", "_own", F.slice(both, F.greatest(F.size(both) - (reach - 1), F.lit(1)), reach).alias("_tail")
+        )
+    follow = previous_value(ends, CELL, order, ["_tail"], bounds=bounds).where(F.col("prev__tail").isNotNull())
+    across = follow.select(*CELL, F.explode(_spanning(F.col("prev__tail"), F.col("_head"), low, high)).alias("term"))
+    return inside.unionByName(across)
+
+
 def _pairs(tokens: Column) -> Column:
     """Neighbouring tokens joined by a space; none for fewer than two tokens."""
     return F.zip_with(
@@ -44,11 +101,13 @@ def post_terms(
 ) -> DataFrame:
     """(asset, week_start, term, n) from cleaned posts.
 
-    Equal to counting in the weekly text: word pairs that span two posts are counted too.
-    For these only the first and last token of each post are ordered, in slices, so the
+    Equal to counting in the weekly text: word pairs that span two posts are counted too, and longer
+    runs that span several. For these only the first and last tokens of each post are ordered, in slices, so the
     texts themselves are never collected or sorted. Counts combine before the shuffle.
     """
     singles, pairs = _check_range(ngram_range)
+    if ngram_range[1] > 2:
+        return _long_terms(cleaned, *ngram_range, bounds).groupBy(*CELL, "term").agg(F.count("*").alias("n"))
     tokenised = cleaned.select(*CELL, word_tokens(F.col("clean_text")).alias("_tokens"))
     terms = _counts(tokenised, "_tokens", singles, pairs)
     if pairs:
@@ -70,6 +129,9 @@ def text_terms(panel: DataFrame, ngram_range: tuple[int, int] = (1, 2)) -> DataF
     """The same counts from a ``weekly_text`` column."""
     singles, pairs = _check_range(ngram_range)
     tokenised = panel.select(*CELL, word_tokens(F.col("weekly_text")).alias("_tokens"))
+    if ngram_range[1] > 2:
+        long = tokenised.where(F.size("_tokens") > 0).select(*CELL, F.explode(_ngrams(F.col("_tokens"), *ngram_range)).alias("term"))
+        return long.groupBy(*CELL, "term").agg(F.count("*").alias("n"))
     return _counts(tokenised, "_tokens", singles, pairs).groupBy(*CELL, "term").agg(
         F.count("*").alias("n")
     )

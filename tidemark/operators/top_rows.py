@@ -55,9 +55,10 @@ def top_per_group(
 
 
 def first_rows(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, descending: Sequence[str] = (), bounds: Bounds | None = None
+    df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, descending: Sequence[str] = (), bounds: Bounds | None = None,
+    ties: Sequence[Column] = (),
 ) -> DataFrame:
-    """The first ``n`` rows of every group by the columns ``order`` (together total), for any ``n``.
+    """The first ``n`` rows of every group by the columns ``order``, then ``ties`` (together total), for any ``n``.
 
     No group is ever sorted. The full order is cut at sampled bounds into slices of bounded size, and rows are
     counted per (group, slice), before any shuffle. A running sum over the slices names each group's
@@ -70,6 +71,7 @@ def first_rows(
     if any(turned) and not all(turned):
         raise ValueError("descending columns have to be all of the order; negate numbers for a mixed one")
     ranks = [F.col(c).desc_nulls_last() if t else F.col(c).asc_nulls_first() for c, t in zip(order, turned)]
+    ranks += list(ties)
     if n <= MAP_SIDE_ROWS:
         return top_per_group(df, group, ranks, n)
     if bounds is None:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.estimators import NAIVE, enabled_models, uses
 from tidemark.operators.fold_terms import span_vocabularies
 from tidemark.operators.folds import fold_list, holdout_start
+from tidemark.operators.boosting import boost
 from tidemark.operators.forest import Forest, bin_edges, grow_forest, row_key, score_forest
 from tidemark.operators.linear_fits import Design, Fit, fit_linear, numeric_design, score_linear
 from tidemark.operators.metrics import COUNTS, METRICS, classification_metrics
@@ -73,8 +74,8 @@ def _tasks(spark, rows: int) -> int:
     return max(1, min(spark.sparkContext.defaultParallelism, rows // 100), rows // ROWS_PER_TASK)
 
 
-def _studies(counts: Sequence, settings: StudySettings, test_weeks: Mapping[str, int]) -> list[Study]:
-    """Folds, holdout and class weights of each group, from its (week, label, rows)."""
+def _studies(counts: Sequence, settings: StudySettings, test_weeks: Mapping[str, int], with_folds: bool) -> list[Study]:
+    """Folds (or none), holdout and class weights of each group, from its (week, label, rows)."""
     by_group: dict[str, dict[datetime, list[int]]] = {}
     for r in counts:
         by_group.setdefault(r["group"], {}).setdefault(r["week_start"], [0, 0])[int(r["target_up"])] += r["n"]
@@ -86,7 +87,7 @@ def _studies(counts: Sequence, settings: StudySettings, test_weeks: Mapping[str,
         folds = fold_list(before, v.train_min_weeks, v.val_weeks, v.step_weeks)
         if not folds:
             raise ValueError("the validation windows leave no fold; check the week settings")
-        spans = [(f.fold_id, _micros(f.val_start), _micros(f.val_start), _micros(f.val_end) + 1) for f in folds]
+        spans = [(f.fold_id, _micros(f.val_start), _micros(f.val_start), _micros(f.val_end) + 1) for f in folds if with_folds]
         spans.append((0, _micros(start), _micros(start), FAR))
         trained = [np.sum([n for w, n in by_group[group].items() if _micros(w) < end], axis=0) for _, end, _, _ in spans]
         if any((t == 0).any() for t in trained):
@@ -118,7 +119,7 @@ def _text(rows: DataFrame, terms: DataFrame, studies: list[Study], settings: Stu
     return joined.withColumns(empty), idf
 
 
-def _prepared(panel: DataFrame, settings: StudySettings, columns: Sequence[str], group: str | None, test_weeks: Mapping[str, int]) -> tuple[DataFrame, int, list[Study]]:
+def _prepared(panel: DataFrame, settings: StudySettings, columns: Sequence[str], group: str | None, test_weeks: Mapping[str, int], folds: bool) -> tuple[DataFrame, int, list[Study]]:
     """The labelled rows of all groups, kept, how many there are, and each group's spans."""
     key = F.col(group).cast("string") if group else F.lit("all")
     rows = keep_table(
@@ -130,41 +131,48 @@ def _prepared(panel: DataFrame, settings: StudySettings, columns: Sequence[str],
     counts = rows.groupBy("group", "week_start", "target_up").agg(F.count("*").alias("n")).limit(MAX_GROUP_WEEKS + 1).collect()
     if len(counts) > MAX_GROUP_WEEKS:
         raise ValueError(f"more than {MAX_GROUP_WEEKS} (group, week) cells: pass fewer groups at once")
-    return rows, sum(r["n"] for r in counts), _studies(counts, settings, test_weeks)
+    return rows, sum(r["n"] for r in counts), _studies(counts, settings, test_weeks, folds)
 
 
 def _narrow(rows: DataFrame, columns: Sequence[str], *more) -> DataFrame:
     return rows.select("group", "asset", "week_start", "week", "target_up", *more, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x"))
 
 
-def grow_forests(
+def grow_trees(
     panel: DataFrame, settings: StudySettings = StudySettings(), group: str | None = None, folds: bool = True
 ) -> tuple[Forest, DataFrame, list[str]]:
-    """The forests of all folds and holdouts (or, without ``folds``, of the holdouts alone), their predictions, and the columns.
+    """The trees of all folds and holdouts (or, without ``folds``, of the holdouts alone), their predictions, and the columns.
 
-    Trees, depth and least leaf are those of the study's ``random_forest``.
+    The settings are those of the study's ``random_forest`` or ``boosted_trees``, whichever it has.
     """
     spark = use_utc(panel.sparkSession)
     columns = [c for c in numeric_columns(panel) if c != group]
-    (model,) = [m for m in settings.models if m.name == "random_forest"]
-    rows, counts, studies = _prepared(panel, settings, columns, group, {})
-    spans = [(s, i) for s in studies for i in range(len(s.spans)) if folds or s.spans[i][0] == 0]
+    (model,) = [m for m in settings.models if m.name in ("random_forest", "boosted_trees")]
+    rows, counts, studies = _prepared(panel, settings, columns, group, {}, folds)
+    spans = [(s, i) for s in studies for i in range(len(s.spans))]
     fits = [Fit(s.group, *s.spans[i], model.name) for s, i in spans]
     table = spark.createDataFrame([(at, f.group, f.end) for at, f in enumerate(fits)], "fit int, group string, end long")
     medians, edges = bin_edges(rows, columns, table, len(fits), max(s.n_train[i] for s, i in spans))
     base = keep_table(_narrow(rows, columns, row_key("asset", "week").alias("key")).repartition(_tasks(spark, counts)))
-    depth = int(model.params.get("max_depth", 8))
-    forest = grow_forest(base, fits, medians, edges, int(model.params.get("n_trees", 300)), depth, int(model.params.get("min_leaf", 8)))
+    p = model.params
+    if model.name == "boosted_trees":
+        forest, scored = boost(
+            base, fits, medians, edges, int(p.get("n_rounds", 400)), int(p.get("max_depth", 4)), float(p.get("learning_rate", 0.05)),
+            float(p.get("row_share", 0.8)), float(p.get("column_share", 0.8)),
+        )
+        return forest, scored, columns
+    depth = int(p.get("max_depth", 8))
+    forest = grow_forest(base, fits, medians, edges, int(p.get("n_trees", 300)), depth, int(p.get("min_leaf", 8)))
     return forest, score_forest(base, forest, depth), columns
 
 
 def evaluate_many(
     panel: DataFrame, settings: StudySettings = StudySettings(), terms: DataFrame | None = None, group: str | None = None,
-    test_weeks: Mapping[str, int] | None = None,
+    test_weeks: Mapping[str, int] | None = None, folds: bool = True,
 ) -> ManyRuns:
     """Expanding-window validation, refit and holdout of the naive and the linear models, for each value of ``group``.
 
-    ``test_weeks`` may give groups their own holdout. Models other than the linear ones are refused; use
+    ``test_weeks`` may give groups their own holdout; without ``folds`` only the holdout's fits are made. Models other than the linear ones are refused; use
     ``plans.training``. Rows without label, week or group take no part. A group without a fold, with too few
     weeks or with a single class before a span's end raises, as a single study does.
     """
@@ -179,7 +187,7 @@ def evaluate_many(
     with_text = [m for m in models if uses(m.name)[0]]
     if with_text and terms is None:
         raise ValueError("text models need the weekly terms")
-    rows, counts, studies = _prepared(panel, settings, columns, group, test_weeks or {})
+    rows, counts, studies = _prepared(panel, settings, columns, group, test_weeks or {}, folds)
     spans = [(s, i) for s in studies for i in range(len(s.spans))]
     table = spark.createDataFrame([(at, s.group, s.spans[i][1]) for at, (s, i) in enumerate(spans)], "fit int, group string, end long")
     most = max((s.n_train[i] for s, i in spans), default=0)
@@ -202,16 +210,16 @@ def evaluate_many(
         names = np.count_nonzero(design.idf, axis=1)
         about += [(f.group, f.model, f.fold, s.n_train[i], s.n_val[i], int(n), float(g), theta[k, idf.shape[1] :].tolist())
                   for k, (f, (_, _, s, i), n, g) in enumerate(zip(fits, at, names, slopes))]
-    folds = F.broadcast(spark.createDataFrame([(s.group, s.spans[i][0], s.spans[i][2], s.spans[i][3], s.n_train[i], s.n_val[i]) for s, i in spans],
+    blocks = F.broadcast(spark.createDataFrame([(s.group, s.spans[i][0], s.spans[i][2], s.spans[i][3], s.n_train[i], s.n_val[i]) for s, i in spans],
                                               "group string, fold int, low long, high long, n_train long, n_val long"))
     signal = F.col("naive_persistence_signal")
-    naive = rows.join(folds, "group").where((F.col("week") >= F.col("low")) & (F.col("week") < F.col("high"))).select(
+    naive = rows.join(blocks, "group").where((F.col("week") >= F.col("low")) & (F.col("week") < F.col("high"))).select(
         "group", "asset", "week_start", "target_up", F.lit(NAIVE).alias("model"), "fold", signal.cast("int").alias("y_pred"), signal.cast("double").alias("y_score")
     )
     for part in predictions:
         naive = naive.unionByName(part)
     predicted = keep_table(naive)
-    metrics = keep_table(classification_metrics(predicted, ["group", "model", "fold"]).join(folds.drop("low", "high"), ["group", "fold"]))
+    metrics = keep_table(classification_metrics(predicted, ["group", "model", "fold"]).join(blocks.drop("low", "high"), ["group", "fold"]))
     cv = metrics.where("fold > 0").select("group", *METRICS, *COUNTS, "model", "fold", "n_train", "n_val")
     summary = cv.groupBy("group", "model").agg(F.avg("balanced_accuracy").alias("cv_balanced_accuracy_mean"))
     fits_table = spark.createDataFrame(about, "group string, model string, fold int, n_train long, n_val long, n_terms long, gradient double, parameters array<double>")

@@ -43,6 +43,11 @@ def keep_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names, for tables and stream states that outlive a job."""
+    return f"{_checkpoint_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def _checkpoint_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and spark.sparkContext.master.startswith("local"):

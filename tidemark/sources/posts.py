@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import epoch_seconds
 from tidemark.functions.text import SPACE
-from tidemark.operators.top_rows import first_per_key, top_per_group
+from tidemark.operators.slices import constant_strings, place_of
+from tidemark.operators.top_rows import MAP_SIDE_ROWS, first_per_key, first_rows, top_per_group
 from tidemark.schemas import POSTS
 from tidemark.session import use_utc
 from tidemark.settings import AssetQuery, PostSettings
 
 MAX_BROADCAST_QUERIES = 100_000
+#: Queries from which on keywords are looked up by their rarest piece, characters of a piece, and queries of one index.
+INDEX_FROM = 200
+GRAM = 3
+INDEX_QUERIES = 50_000
 QUERY = ("asset", "channel", "keyword")
 
 
@@ -76,11 +81,13 @@ def match_posts(posts: DataFrame, queries: Sequence[AssetQuery]) -> DataFrame:
     """One row per post and query whose channel is the post's and whose keyword its title holds.
 
     Letters match in either case. A post may meet several queries. The number of queries is
-    known here, so their table is broadcast up to ``MAX_BROADCAST_QUERIES`` rows and a busy
-    channel is never shuffled; beyond that the join is left to Spark. The title, which the
-    text repeats, is not carried on.
+    known here, so the table of a few is broadcast and a busy channel is never shuffled. From
+    ``INDEX_FROM`` queries on they are looked up inside the row, see :func:`match_by_grams`. The
+    title, which the text repeats, is not carried on.
     """
     size = sum(len(q.channels) * len(q.keywords) for q in queries)
+    if size >= INDEX_FROM:
+        return match_by_grams(posts, queries)
     table = query_table(posts.sparkSession, queries).withColumn("_keyword", F.lower("keyword"))
     if size <= MAX_BROADCAST_QUERIES:
         table = F.broadcast(table)
@@ -92,11 +99,92 @@ def match_posts(posts: DataFrame, queries: Sequence[AssetQuery]) -> DataFrame:
     )
 
 
+def _grams(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
+
+
+def gram_index(keywords: Sequence[str]) -> dict[str, list[str]]:
+    """Keywords by their rarest piece of ``GRAM`` characters, shorter keywords by themselves.
+
+    Rare is what few keywords hold; ties go to the smaller piece. Each keyword stands under one piece, so
+    that a title that holds it meets it once.
+    """
+    held: dict[str, int] = {}
+    for word in keywords:
+        for gram in _grams(word):
+            held[gram] = held.get(gram, 0) + 1
+    index: dict[str, list[str]] = {}
+    for word in sorted(keywords):
+        index.setdefault(min(_grams(word), key=lambda g: (held[g], g)), []).append(word)
+    return index
+
+
+def _title_grams(title: Column, lengths: Sequence[int]) -> Column:
+    """The different pieces of the given lengths, in time linear in the title."""
+
+    def cut(letters: Column, n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        starts = F.when(F.size(letters) >= n, F.sequence(F.lit(0), F.size(letters) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.get(letters, i + j) for j in range(n)]))
+
+    # Split once: inside the lambda the letters are a variable.
+    return F.transform(F.array(F.split(title, "")), lambda letters: F.array_distinct(F.concat(*[cut(letters, n) for n in lengths])))[0]
+
+
+def match_by_grams(posts: DataFrame, queries: Sequence[AssetQuery]) -> DataFrame:
+    """:func:`match_posts` for many queries: an inverted index from pieces of keywords, looked up inside the row.
+
+    A title's different pieces are searched for, by halving, in the sorted pieces of the index, a literal of the plan; only
+    keywords under a piece that the title holds, and of its channel, are held against it. Nothing is
+    shuffled or broadcast, and the work does not grow with the keywords but for the halving. More than
+    ``INDEX_QUERIES`` queries are searched for in several indexes one after the other.
+    """
+    spark = posts.sparkSession
+    rows = [(q.asset, c, k, i, ci, ki) for i, q in enumerate(queries) for ci, c in enumerate(q.channels) for ki, k in enumerate(q.keywords)]
+    lowered = {}
+    words = sorted({r[2] for r in rows})
+    for r in spark.createDataFrame([(w,) for w in words], "word string").select("word", F.lower("word").alias("low")).collect():
+        lowered[r["word"]] = r["low"]
+    titled = posts.withColumn("_title", F.lower("title")).drop("title")
+    out = None
+    for start in range(0, len(rows), INDEX_QUERIES):
+        part = rows[start : start + INDEX_QUERIES]
+        asked: dict[str, list] = {}
+        for row in part:
+            asked.setdefault(lowered[row[2]], []).append(row)
+        index = gram_index(list(asked))
+        grams = sorted(index, key=lambda g: g.encode())
+        entries, begins = [], [0]
+        for gram in grams:
+            entries += [(*row, word) for word in index[gram] for row in asked[word]]
+            begins.append(len(entries))
+        asset, channel, keyword, position, c, k, low = ([str(e[i]) for e in entries] for i in range(7))
+        begin = constant_strings([str(b) for b in begins]).cast("array<int>")
+        found = F.transform(_title_grams(F.col("_title"), sorted({len(g) for g in grams})), lambda g: place_of(g, grams))
+        near = F.flatten(F.transform(F.filter(found, lambda at: at >= 0), lambda at: F.sequence(F.get(begin, at), F.get(begin, at + 1) - 1)))
+        met = F.filter(near, lambda e: (F.get(constant_strings(channel), e) == F.col("channel")) & F.contains(F.col("_title"), F.get(constant_strings(low), e)))
+        numbers = [F.get(constant_strings(v).cast("array<int>"), F.col("_met")).alias(n) for v, n in ((position, "position"), (c, "c"), (k, "k"))]
+        hits = titled.withColumn("_met", F.explode(met)).select(
+            *[c for c in titled.columns if c != "_title"], F.get(constant_strings(asset), F.col("_met")).alias("asset"),
+            F.get(constant_strings(keyword), F.col("_met")).alias("keyword"), F.struct(*numbers).alias("query_no"),
+        )
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def cap_per_query(matched: DataFrame, n: int, newest: bool = False) -> DataFrame:
-    """At most ``n`` posts per (asset, channel, keyword): the earliest, or the newest."""
+    """At most ``n`` posts per (asset, channel, keyword): the earliest, or the newest.
+
+    Caps beyond ``MAP_SIDE_ROWS`` are found by a threshold, so that no query's posts are ever sorted.
+    """
     at = F.col("created_utc").desc() if newest else F.col("created_utc").asc()
     # Repeated ids are settled by the remaining columns, so that a retried task keeps the same rows.
     rest = [F.col(c) for c in matched.columns if c not in (*QUERY, "created_utc", "source_id")]
+    if n > MAP_SIDE_ROWS:
+        micros = F.unix_micros("created_utc")
+        timed = matched.withColumn("_at", -micros if newest else micros)
+        return first_rows(timed, QUERY, ["_at", "source_id"], n, ties=rest).drop("_at")
     return top_per_group(matched, QUERY, [at, F.col("source_id"), *rest], n)
 
 
