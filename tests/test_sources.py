@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +148,88 @@ def test_streamed_files_land_by_week(spark, tmp_path):
     assert landed.count() == 12
     assert landed.where(F.col("source_id").endswith("b")).count() == 6
     assert landed.select("week").distinct().count() == 2
+
+
+@pytest.mark.parametrize("at_once", [50_000, 7])
+def test_many_queries_by_pieces_of_their_keywords(spark, monkeypatch, at_once):
+    monkeypatch.setattr(P, "INDEX_QUERIES", at_once)
+    words = ["moon", "Moon", "MOONS", "oo", "o", "", "été", "ÉTÉ", "no", "noon", "on the", "aaaa", "zzz", "東京", "京", "coin coin"]
+    queries = [AssetQuery(f"A{i % 3}", ("x", "y")[: 1 + i % 2], tuple(words[i:] + words[:i])) for i in range(3)]
+    titles = ["To the MOON and moons", "noon on the moon", "aaa", "aaaaa", "Été à 東京", "", "coin  coin coin", None, "o", "zz z"]
+    rows = [(f"p{i}", c, t, i) for i, t in enumerate(titles) for c in ("x", "y", "z")]
+    posts = spark.createDataFrame(rows, "source_id string, channel string, title string, at int")
+    expected = sorted(
+        (s, c, a, q.asset, k, (i, ci, ki)) for s, c, t, a in rows for i, q in enumerate(queries) for ci, ch in enumerate(q.channels)
+        for ki, k in enumerate(q.keywords) if ch == c and t is not None and k.lower() in t.lower()
+    )
+    found = P.match_by_grams(posts, queries)
+    assert sorted((r["source_id"], r["channel"], r["at"], r["asset"], r["keyword"], tuple(r["query_no"])) for r in found.collect()) == expected
+    joined = P.match_posts(posts, queries)
+    assert sorted((r["source_id"], r["channel"], r["at"], r["asset"], r["keyword"], tuple(r["query_no"])) for r in joined.collect()) == expected
+    monkeypatch.setattr(P, "INDEX_FROM", 1)
+    assert P.match_posts(posts, queries).count() == len(expected)
+
+
+def test_each_keyword_stands_under_its_rarest_piece():
+    index = P.gram_index(["abcd", "abce", "abc", "x", ""])
+    assert index == {"bcd": ["abcd"], "bce": ["abce"], "abc": ["abc"], "x": ["x"], "": [""]}
+
+
+def test_large_caps_keep_the_same_posts(spark, monkeypatch):
+    rows = [("A", "c", "k" if i % 5 else "l", f"p{i % 900}", datetime(2024, 1, 1 + i % 20), i) for i in range(1_500)]
+    matched = spark.createDataFrame(rows, "asset string, channel string, keyword string, source_id string, created_utc timestamp, score long")
+    plain = {(n, new): sorted(tuple(r) for r in P.cap_per_query(matched, n, new).collect()) for n in (7, 400) for new in (False, True)}
+    monkeypatch.setattr(P, "MAP_SIDE_ROWS", 1)
+    monkeypatch.setattr("tidemark.operators.top_rows.MAP_SIDE_ROWS", 1)
+    monkeypatch.setattr("tidemark.operators.slices.slice_bounds.__defaults__", (100,))
+    for (n, new), expected in plain.items():
+        got = P.cap_per_query(matched, n, new)
+        assert got.columns == matched.columns and sorted(tuple(r) for r in got.collect()) == expected
+
+
+def test_sorted_tables_are_ranges_of_their_order(spark, tmp_path):
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("id"), (F.col("id") % 3).cast("string").alias("asset")).repartition(6)
+    save_table(df, str(tmp_path / "t.parquet"), ["asset", "id"])
+    files = {}
+    for r in read_table(spark, str(tmp_path / "t.parquet")).select("asset", "id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect():
+        files.setdefault(r["file_name"], []).append((r["asset"], r["id"]))
+    assert sum(map(len, files.values())) == 5_000 and all(rows == sorted(rows) for rows in files.values())
+    ranges = sorted((rows[0], rows[-1]) for rows in files.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_sketches_of_weeks_merge_to_those_of_spans(spark):
+    from tidemark.operators.weekly_text import author_sketches, authors_in_spans
+
+    rows = [("A" if i % 2 else "B", datetime(2024, 1, 1 + 7 * (i % 4)), f"u{i * i % 9_001}" if i % 7 else None) for i in range(30_000)]
+    posts = spark.createDataFrame(rows, "asset string, week_start timestamp, author string")
+    whole = authors_in_spans(author_sketches(posts), F.trunc("week_start", "month")).collect()
+    direct = {r["asset"]: r["n"] for r in posts.groupBy("asset").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.coalesce("author", F.lit("[unknown]")), 12)).alias("n")).collect()}
+    exact = {a: len({r[2] for r in rows if r[0] == a}) for a in "AB"}
+    for r in whole:
+        assert r["authors"] == direct[r["asset"]] and abs(r["authors"] / exact[r["asset"]] - 1) < 4 * 1.04 / 64
+
+
+def test_streamed_volume_equals_the_batch(spark, tmp_path):
+    """Files in the order of time, with repeated and with late posts; only those beyond the delay are left out.
+
+    Spark judges lateness by the watermark that the batch before the last one gave.
+    """
+    from tidemark.schemas import POSTS
+    from tidemark.streaming.landing import land_volume, landed_volume, weekly_volume
+
+    def post(i, day, asset="A"):
+        return (asset, "ch", "submission", f"p{i}", datetime(2024, 1, day), "u", 1, 1, "text", "k")
+
+    files = [[post(1, 2), post(2, 3), post(1, 2, "B")], [post(2, 3), post(3, 9), post(4, 2)], [post(3, 9), post(5, 30)], [post(8, 31)], [post(6, 29), post(7, 2)]]
+    folder = tmp_path / "posts"
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, POSTS).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(POSTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    land_volume(weekly_volume(stream, "10 days"), str(tmp_path / "volume"), str(tmp_path / "state")).awaitTermination()
+    kept = {(p[0], p[3]): p[4] for rows in files for p in rows if p[3] != "p7"}
+    expected = {}
+    for (asset, _), at in kept.items():
+        week = (at.date() - timedelta(days=at.weekday()), asset)
+        expected[week] = expected.get(week, 0) + 1
+    assert {(r["week_start"].date(), r["asset"]): r["posts"] for r in landed_volume(spark, str(tmp_path / "volume")).collect()} == expected

@@ -56,8 +56,29 @@ def test_ngram_ranges(spark):
     singles = {r["term"] for r in T.post_terms(df, (1, 1)).collect()}
     pairs = {r["term"] for r in T.post_terms(df, (2, 2)).collect()}
     assert all(" " not in t for t in singles) and all(t.count(" ") == 1 for t in pairs)
-    with pytest.raises(ValueError):
-        T.post_terms(df, (1, 3))
+    for wrong in ((0, 1), (3, 2), (1, T.LONGEST + 1)):
+        with pytest.raises(ValueError):
+            T.post_terms(df, wrong)
+
+
+@pytest.mark.parametrize("low, high", [(1, 3), (3, 3), (2, 5)])
+def test_long_runs_span_several_short_posts(spark, low, high):
+    """Posts of one and two words, so that a run covers up to five of them."""
+    texts = ["one", "two two", "?!", "three", "one two", "x", "four five six seven", "one", "one", "two", "eight nine"]
+    rows = [(a, f"2024-01-0{2 + i % 5}", t, f"id{i:02d}", "c") for a in "AB" for i, t in enumerate(texts if a == "A" else texts[::-1])]
+    df = clean_posts(spark.createDataFrame(rows, "asset string, created_utc string, text string, source_id string, channel string"), 1)
+    whole = weekly_text(df)
+    expected = Counter()
+    for r in whole.collect():
+        words = re.findall(r"\b\w\w+\b", r["weekly_text"])
+        for n in range(low, high + 1):
+            for i in range(len(words) - n + 1):
+                expected[r["asset"], r["week_start"], " ".join(words[i : i + n])] += 1
+    order = [F.unix_micros("created_utc").alias("_at"), "source_id", F.xxhash64("clean_text").alias("_tie")]
+    some = sorted(tuple(r) for r in df.select("asset", "week_start", *order).collect())
+    for bounds in (None, some[1::3], some):
+        assert {(r["asset"], r["week_start"], r["term"]): r["n"] for r in T.post_terms(df, (low, high), bounds).collect()} == expected
+    assert {(r["asset"], r["week_start"], r["term"]): r["n"] for r in T.text_terms(whole, (low, high)).collect()} == expected
 
 
 def test_tfidf_vectors(spark):
