@@ -15,6 +15,7 @@ and ids. The units beyond them are joined by value and brought to their document
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from sentencepiece import sentencepiece_model_pb2 as model_files
 
 from tidemark.llm.shared import POWERS, U64, keep, mix, pick, pieces, small
 
@@ -39,6 +39,9 @@ class Model:
     """The piece table of a model file: normal pieces with scores, byte pieces and the unknown piece."""
 
     def __init__(self, path: str) -> None:
+        # Only the driver reads the file, so only it loads the library.
+        from sentencepiece import sentencepiece_model_pb2 as model_files
+
         proto = model_files.ModelProto()
         with open(path, "rb") as file:
             proto.ParseFromString(file.read())
@@ -81,6 +84,12 @@ class Model:
                 out.append((piece, i, own))
         return out
 
+    def for_tasks(self) -> Model:
+        """What tasks need to write ids: byte pieces, the unknown piece, and the lengths of pieces."""
+        slim = Model.__new__(Model)
+        slim.bytes, slim.unknown, slim.length = self.bytes, self.unknown, self.length
+        return slim
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.useful, "piece string, id int, score double")
 
@@ -127,7 +136,15 @@ def code_hashes(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return mix(hashes ^ np.diff(edges).astype(U64))
 
 
-def _some_rows(column: pa.Array, limit: int = 700_000) -> Iterator[tuple[int, list[str]]]:
+def _give_back() -> None:
+    """Returns freed memory of a worker to the system; idle workers stay alive beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _some_rows(column: pa.Array, limit: int = 300_000) -> Iterator[tuple[int, list[str]]]:
     sizes = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))]).astype(np.int64)
     for first, last in pieces(sizes, limit):
         yield first, [t or "" for t in column.slice(first, last - first).to_pylist()]
@@ -143,6 +160,7 @@ def count_units(texts: DataFrame, cutter: Cutter) -> DataFrame:
                 _, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 units = [whole[a:b] for a, b in zip(edges[first].tolist(), edges[first + 1].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(n.astype(np.int64))], ["unit", "n"])
+            _give_back()
 
     return texts.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -257,7 +275,7 @@ def encode(docs: DataFrame, model_path: str, common: int = COMMON, id_column: st
         least = found
     shown = least.select("unit", "ids").toArrow()
     table = spark.sparkContext.broadcast(Common(model, shown["unit"].to_pylist(), shown["ids"].to_pylist()))
-    tools = spark.sparkContext.broadcast((cutter, model))
+    tools = spark.sparkContext.broadcast((cutter, model.for_tasks()))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = tools.value[0], table.value
@@ -270,12 +288,14 @@ def encode(docs: DataFrame, model_path: str, common: int = COMMON, id_column: st
                 left = left[once]
                 units = [whole[a:b] for a, b in zip(edges[left].tolist(), edges[left + 1].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row[left])), pa.array(units, pa.string())], ["key", "unit"])
+            _give_back()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for part in small(batches, ROWS):
             packed = [None if t is None else len(b := t.encode()).to_bytes(8, "little") + codec.compress(b, asbytes=True) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["key", "doc_id", "packed"])
+        _give_back()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (cutter, model), known, codec = tools.value, table.value, pa.Codec("zstd")
@@ -300,6 +320,7 @@ def encode(docs: DataFrame, model_path: str, common: int = COMMON, id_column: st
                 flat = ids[np.repeat(start[place], each) + inside]
                 ends = np.concatenate([[0], np.cumsum(each)])[begins]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+            _give_back()
 
     keyed = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "doc_id", "text")
     packed = keyed.mapInArrow(pack, "key long, doc_id long, packed binary")
@@ -336,5 +357,6 @@ def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids") -> Data
                     first = a + 1 if prefix and whole[a : a + 1] == b" " and b > a else a
                     texts.append(whole[first:b].decode("utf-8", "replace") if given else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+        _give_back()
 
     return rest.mapInArrow(read, schema)
