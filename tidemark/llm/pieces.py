@@ -325,10 +325,12 @@ def encode(docs: DataFrame, model_path: str, common: int = COMMON, id_column: st
     keyed = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "doc_id", "text")
     packed = keyed.mapInArrow(pack, "key long, doc_id long, packed binary")
     if total <= common:
-        return packed.select("doc_id", "packed", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>").alias("extra")).mapInArrow(write, "doc_id long, ids array<int>")
+        packed = packed.select("doc_id", "packed", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>").alias("extra"))
+        return keep(packed.mapInArrow(write, "doc_id long, ids array<int>"), "encoded")
     asked = keyed.select("key", "text").mapInArrow(rare, "key long, unit string")
     extra = asked.join(found.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("extra"))
-    return packed.join(extra, "key", "left").select("doc_id", "packed", "extra").mapInArrow(write, "doc_id long, ids array<int>")
+    # Written here, so that no task runs this step's worker beside one of the next step.
+    return keep(packed.join(extra, "key", "left").select("doc_id", "packed", "extra").mapInArrow(write, "doc_id long, ids array<int>"), "encoded")
 
 
 def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids") -> DataFrame:
