@@ -198,6 +198,20 @@ def test_words_agree_with_the_library(make):
         assert sum(scores[i] for i in r["ids"]) == pytest.approx(sum(scores[i] for i in best))
 
 
+def test_long_units_reach_the_best_sum(make):
+    """Runs without a place to cut, longer than a part: every part border lies inside a unit."""
+    model = Model(PIECES)
+    scores = {i: s for _, i, s in model.normal}
+    texts = ["-" * 255, "-" * 257, "=" * 1000, "-" * 20_000, "international" * 400, "ab-" * 300 + "é" * 600]
+    out = decode(encode(make([(i, t, None, None, 0) for i, t in enumerate(texts)]), PIECES), PIECES).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        text = texts[r["doc_id"]]
+        assert r["text"] == text
+        assert all(i in scores for i in r["ids"])
+        assert sum(scores[i] for i in r["ids"]) == pytest.approx(best_score(model, text), abs=1e-3)
+
+
 def test_piece_edge_rows(make):
     assert encode(make(EDGE), PIECES).count() == len(EDGE)
     assert decode(encode(make([]), PIECES), PIECES).count() == 0

@@ -30,6 +30,8 @@ from tidemark.llm.shared import POWERS, U64, keep, mix, pick, pieces, small
 COMMON = 1 << 18
 #: Rows of a batch that are unpacked at once.
 ROWS = 256
+#: Longer units (in characters) are cut into parts of this size while their substrings are exploded.
+LONG = 256
 SPACE = "▁"
 #: The penalty below the smallest score for a character without piece, a fixed value of the format.
 UNKNOWN_PENALTY = 10.0
@@ -165,12 +167,12 @@ def count_units(texts: DataFrame, cutter: Cutter) -> DataFrame:
     return texts.mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, ids): the best segmentation of each distinct unit; -1 stands for a character without piece.
+def _segment(parts: DataFrame, model: Model) -> DataFrame:
+    """(key, n, ids) of units given in parts: key, n, part, base (where the part begins) and left (characters from there on).
 
-    Of equal sums the one whose last piece is longest wins, at every end.
+    A part covers the places of its first ``LONG`` characters and holds what pieces from there may reach.
     """
-    spark = units.sparkSession
+    spark = parts.sparkSession
     table = F.broadcast(model.table(spark))  # as many rows as the model file has pieces
     # Lengths worth trying from a place: three, or as far as pieces go that begin with its three characters.
     reach: dict[str, int] = {}
@@ -178,40 +180,57 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
         if len(piece) > 3:
             reach[piece[:3]] = max(reach.get(piece[:3], 0), len(piece))
     ahead = F.broadcast(spark.createDataFrame(list(reach.items()), "ahead string, reach int"))
-    size = F.length("unit")
-    begun = units.repartition("unit").select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    begun = begun.withColumn("ahead", F.expr("substring(unit, start + 1, 3)")).join(ahead, "ahead", "left")
-    lengths = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(3)), size - F.col("start")))
-    spans = begun.select("unit", "n", "start", F.explode(lengths).alias("long"))
-    keyed = spans.withColumn("piece", F.expr("substring(unit, start + 1, long)"))
+    places = F.sequence(F.lit(0), F.least(F.col("left"), F.lit(LONG)) - 1)
+    begun = parts.repartition("key").select("*", F.explode(places).alias("at"))
+    begun = begun.withColumn("ahead", F.expr("substring(part, at + 1, 3)")).join(ahead, "ahead", "left")
+    lengths = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(3)), F.col("left") - F.col("at")))
+    spans = begun.select("key", "n", "part", "at", (F.col("base") + F.col("at")).alias("start"), F.explode(lengths).alias("long"))
+    keyed = spans.withColumn("piece", F.expr("substring(part, at + 1, long)"))
     edges = keyed.join(table, "piece", "left").where("id is not null or long = 1")
     # An edge is known by its end, then its start, so that sorting brings them in the order of the fold.
     edge = F.struct(
         (F.col("start") + F.col("long")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("score")
     )
-    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy("key", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
-    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<double>").alias("best"), F.array().cast("array<bigint>").alias("back"), F.lit(0.0).alias("top"), F.lit(0).cast("long").alias("way"))
+    # ``done``: the best sum and last edge of every end before ``end``; ``here``: those of ``end`` so far.
+    first = F.struct(F.lit(0.0).alias("top"), F.lit(0).cast("long").alias("way"))
+    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<top:double,way:bigint>>").alias("done"), first.alias("here"))
 
     def extend(s, e):
-        total = F.when(e["start"] == s["end"], s["top"]).otherwise(F.get(s["best"], e["start"])) + e["score"]
-        way = e["start"].cast("long") * (1 << 24) + (e["id"] + 1)
-        fresh = F.struct(
-            e["end"].alias("end"), F.concat(s["best"], F.array(s["top"])).alias("best"), F.concat(s["back"], F.array(s["way"])).alias("back"), total.alias("top"), way.alias("way")
-        )
-        better = F.struct(s["end"].alias("end"), s["best"].alias("best"), s["back"].alias("back"), total.alias("top"), way.alias("way"))
-        return F.when(e["end"] > s["end"], fresh).when(total > s["top"], better).otherwise(s)
-
-    folded = grouped.select("unit", "n", F.aggregate("edges", begin, extend, lambda s: F.concat(s["back"], F.array(s["way"]))).alias("back"))
+        total = F.when(e["start"] == s["end"], s["here"]["top"]).otherwise(F.get(s["done"], e["start"])["top"]) + e["score"]
+        here = F.struct(total.alias("top"), (e["start"].cast("long") * (1 << 24) + (e["id"] + 1)).alias("way")).alias("here")
+        fresh = F.struct(e["end"].alias("end"), F.concat(s["done"], F.array(s["here"])).alias("done"), here)
+        better = F.struct(s["end"].alias("end"), s["done"].alias("done"), here)
+        return F.when(e["end"] > s["end"], fresh).when(total > s["here"]["top"], better).otherwise(s)
+
+    folded = grouped.select("key", "n", F.aggregate("edges", begin, extend, lambda s: F.concat(s["done"], F.array(s["here"]))).alias("best"))
+
     def step(s, way):
-        here = F.struct(F.floor(way / (1 << 24)).cast("int").alias("at"), F.concat(F.array((F.pmod(way, F.lit(1 << 24)) - 1).cast("int")), s["ids"]).alias("ids"))
-        return here
+        id_ = (F.pmod(way, F.lit(1 << 24)) - 1).cast("int")
+        return F.struct(F.floor(way / (1 << 24)).cast("int").alias("at"), F.concat(s["ids"], F.array(id_)).alias("ids"))
 
     # Ways are read from the end; those that the best path skips leave the state as it is.
-    numbered = F.reverse(F.transform("back", lambda way, i: F.struct(i.alias("end"), way.alias("way"))))
-    walk = F.struct((F.size("back") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    ids = F.aggregate(numbered, walk, lambda s, w: F.when((w["end"] == s["at"]) & (w["end"] > 0), step(s, w["way"])).otherwise(s), lambda s: s["ids"])
-    return folded.select("unit", "n", ids.alias("ids"))
+    numbered = F.reverse(F.transform("best", lambda best, i: F.struct(i.alias("end"), best["way"].alias("way"))))
+    walk = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
+    ids = F.aggregate(numbered, walk, lambda s, w: F.when((w["end"] == s["at"]) & (w["end"] > 0), step(s, w["way"])).otherwise(s), lambda s: F.reverse(s["ids"]))
+    return folded.select("key", "n", ids.alias("ids"))
+
+
+def lattice(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, n, ids): the best segmentation of each distinct unit; -1 stands for a character without piece.
+
+    Of equal sums the one whose last piece is longest wins, at every end. Rows of units longer than ``LONG``
+    characters carry a digest and a part of the unit; the unit itself comes back by a join.
+    """
+    size = F.length("unit")
+    usual = units.where(size <= LONG).select(F.col("unit").alias("key"), "n", F.col("unit").alias("part"), F.lit(0).alias("base"), size.alias("left"))
+    large = units.where(size > LONG).withColumn("key", F.sha2(F.col("unit").cast("binary"), 256))
+    parts = large.select("key", "n", "unit", F.explode(F.sequence(F.lit(0), size - 1, F.lit(LONG))).alias("base")).select(
+        "key", "n", F.expr(f"substring(unit, base + 1, {LONG + model.longest})").alias("part"), "base", (size - F.col("base")).alias("left")
+    )
+    found = _segment(parts, model).select("key", "ids").join(large, "key").select("unit", "n", "ids")
+    return _segment(usual, model).withColumnRenamed("key", "unit").unionByName(found)
 
 
 class Common:
