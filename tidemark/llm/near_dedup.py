@@ -57,6 +57,13 @@ def shingle_sets(body: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.n
     return row[fresh], value[fresh]
 
 
+def _node(value: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A fingerprint of each set of shingle hashes, given where the sets start and how large they are; none is empty."""
+    one = np.add.reduceat(mix(value), starts)
+    two = np.add.reduceat(mix(value ^ U64(0x5851F42D4C957F2D)), starts)
+    return mix(one ^ (two << U64(1)) ^ sizes.astype(U64)).view(np.int64)
+
+
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = seeds(COORDINATES + MORE, 11) | U64(1), seeds(COORDINATES + MORE, 12)
@@ -67,19 +74,17 @@ def _signer(width: int):
                 sizes = np.bincount(row, minlength=last - first)
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
-                marks = np.zeros((last - first, 2), dtype=U64)
+                node = np.zeros(last - first, dtype=np.int64)
                 signature = np.zeros((last - first, COORDINATES), dtype=np.int32)
                 further = np.zeros((last - first, MORE), dtype=np.int8)
                 if len(full):
-                    marks[full, 0] = np.add.reduceat(mix(value), starts)
-                    marks[full, 1] = np.add.reduceat(mix(value ^ U64(0x5851F42D4C957F2D)), starts)
+                    node[full] = _node(value, starts, sizes[full])
                     for j in range(COORDINATES + MORE):
                         low = np.minimum.reduceat(((value * factors[j] + shifts[j]) >> U64(32)).astype(np.uint32), starts)
                         if j < COORDINATES:
                             signature[full, j] = low.view(np.int32)
                         else:
                             further[full, j - COORDINATES] = low.astype(np.uint8).view(np.int8)
-                node = mix(marks[:, 0] ^ (marks[:, 1] << U64(1)) ^ sizes.astype(U64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
@@ -95,16 +100,22 @@ def _signer(width: int):
 
 
 def _sets_maker(width: int):
+    """Sets of the asked nodes; a text under the same id that is not of the node is passed over."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             body, bounds = as_bytes(batch.column(1))
             for first, last in pieces(bounds):
                 row, value = shingle_sets(body[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], width)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=last - first))])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))],
-                    ["node", "shingles"],
-                )
+                sizes = np.bincount(row, minlength=last - first)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                asked = batch.column(0).slice(first, last - first)
+                made = pa.RecordBatch.from_arrays([asked, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))], ["node", "shingles"])
+                full = np.flatnonzero(sizes)
+                right = np.zeros(last - first, bool)
+                if len(full):
+                    right[full] = _node(value, ends[full], sizes[full]) == asked.to_numpy()[full]
+                yield made if right.all() else made.filter(pa.array(right))
 
     return make
 
@@ -255,8 +266,8 @@ def near_duplicates(
 
     Words are runs without white space, A-Z lower-cased. A text with fewer than ``width`` words is one
     shingle; null and blank texts have an empty set, link with nothing and stay. component_id is the
-    smallest id reachable over links, kept tells doc_id = component_id. Ids name documents: rows
-    repeated with one id share a decision. A row without id takes no part, stays, and has a null
+    smallest id reachable over links, kept tells doc_id = component_id. Rows repeated
+    with one id and text share a decision; of several texts under one id each has its own set and component. A row without id takes no part, stays, and has a null
     component. Other columns are ignored; an empty table gives an empty result.
     """
     rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -277,7 +288,7 @@ def near_duplicates(
             wanted = wanted.join(known, "node", "left_anti")
         texts = rows.join(classes.join(wanted, "node").select("node", F.col("smallest").alias("doc_id")), "doc_id")
         made = texts.select("node", "text").mapInArrow(_sets_maker(width), "node long, shingles array<bigint>")
-        # A repeated id brings its node once more.
+        # A repeated row brings its node once more.
         return keep(made.dropDuplicates(["node"]), name)
 
     def close(pairs: DataFrame) -> DataFrame:
