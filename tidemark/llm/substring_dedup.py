@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.shared import NOT_SPACE, U64, Words, as_bytes, keep, mix, pick, pieces, rolling
 
@@ -100,6 +101,11 @@ def _candidates(words: Words, width: int, lows_in: tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(whole & found), hashes
 
 
+def _placed(turn: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A start and, before it, the turn of its text among those of one id, as one number."""
+    return (turn.astype(np.int64) << 32) + start
+
+
 def _indexed(width: int):
     """(key1, key2, doc_id, start) of every candidate window."""
 
@@ -111,12 +117,13 @@ def _indexed(width: int):
                 if not len(at):
                     continue
                 row = words.row[at]
+                turns = batch.column(3).to_numpy(zero_copy_only=False)[first:]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rolling(hashes, width, stream=32)[at].view(np.int64)),
                         pa.array(rolling(mix(hashes), width, stream=33)[at].view(np.int64)),
                         pa.array(ids[first:][row].astype(np.int64)),
-                        pa.array((at - words.first[row]).astype(np.int32)),
+                        pa.array(_placed(turns[row], at - words.first[row])),
                     ],
                     ["key1", "key2", "doc_id", "start"],
                 )
@@ -138,7 +145,8 @@ def _parser(width: int):
             for first, last, words in _parts(batch, 1):
                 at, _ = _candidates(words, width, _listed(batch.column(2), first, last))
                 new, new_rows = _listed(batch.column(3), first, last)
-                starts = at - words.first[words.row[at]]
+                turns = batch.column(4).to_numpy(zero_copy_only=False)[first:]
+                starts = _placed(turns[words.row[at]], at - words.first[words.row[at]])
                 earlier = np.zeros(len(words.starts) + 1, bool)
                 earlier[at[~_known(words.row[at], starts, new_rows, new)]] = True
                 begins, stops = _factors(earlier, width)
@@ -176,8 +184,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_column: str = "doc_id",
 
     A window is ``width`` consecutive words (runs without white space, unchanged). Every word covered by
     a window whose words also start earlier (smaller doc_id, or same document and earlier place) goes;
-    windows are judged on the input. Null and blank texts have no words. Ids name documents: rows
-    repeated with one id and text are one document, returned as often as given. A row without id is
+    windows are judged on the input. Null and blank texts have no words. Rows
+    repeated with one id and text are one document, returned as often as given; of several texts under one
+    id, each is a document of its own, the one with the smaller 64-bit hash the earlier. A row without id is
     returned whole and is no reference. Other columns are ignored; an empty table gives an empty result.
     """
     rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -185,10 +194,17 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_column: str = "doc_id",
     lows = named.mapInArrow(_runs(width), "low long, doc_id long")
     twice = lows.groupBy("low").agg(F.count("*").alias("often")).where("often > 1").select("low")
     repeated = keep(lows.join(twice, "low").groupBy("doc_id").agg(F.collect_set("low").alias("lows")), "repeated")
-    windows = named.join(repeated, "doc_id").mapInArrow(_indexed(width), "key1 long, key2 long, doc_id long, start int")
+    several = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if several.isEmpty():
+        turned = rows.withColumn("turn", F.lit(0))
+    else:
+        marks = named.join(several, "doc_id").select("doc_id", F.xxhash64("text").alias("mark")).distinct()
+        turns = keep(marks.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("mark")) - 1).where("turn > 0"), "turns")
+        turned = rows.withColumn("mark", F.xxhash64("text")).join(turns, ["doc_id", "mark"], "left").select("doc_id", "text", F.coalesce("turn", F.lit(0)).alias("turn"))
+    windows = turned.join(repeated, "doc_id").select("doc_id", "text", "lows", "turn").mapInArrow(_indexed(width), "key1 long, key2 long, doc_id long, start long")
     first = windows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     firsts = keep(first.groupBy("first.doc_id").agg(F.collect_list("first.start").alias("firsts")), "firsts")
     known = repeated.join(firsts, "doc_id", "left")
-    return rows.join(known, "doc_id", "left").select("doc_id", "text", "lows", "firsts").mapInArrow(
+    return turned.join(known, "doc_id", "left").select("doc_id", "text", "lows", "firsts", "turn").mapInArrow(
         _parser(width), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
     )
