@@ -36,6 +36,12 @@ def document_hash(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(parts), 1, 15), 16, 10).cast("long")
 
 
+def _hash_of(doc_id: Column, source: Column, text: Column) -> Column:
+    """Rows with an id are told apart by id and source, rows without one by their text and source."""
+    nameless = F.concat(F.lit("\x00"), F.coalesce(text.cast("string"), F.lit("\x00")))
+    return document_hash(F.coalesce(doc_id.cast("string"), nameless), source)
+
+
 def _numbered(sources: DataFrame) -> DataFrame:
     """Place of every source by code point, null last, without bringing all sources into one task."""
     ranged = keep(
@@ -124,7 +130,7 @@ def _measured(docs: DataFrame, id_column: str, text_column: str, source_column:
     """(doc_id, source, size, hash): all that the mix needs to know of a document, written once."""
     rows = pick(docs, doc_id=id_column, source=source_column, text=text_column)
     return keep(
-        rows.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("source")).alias("hash")),
+        rows.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _hash_of(F.col("doc_id"), F.col("source"), F.col("text")).alias("hash")),
         "sizes",
     )
 
@@ -149,7 +155,7 @@ def mix_sources(
     """One row per document: doc_id, source, size, source_size, target, taken (words with repeats) and copies.
 
     A null text has size 0; a null source is a source of its own, the last one. Rows repeated with
-    the same id and source share one hash and are taken together. A document of size 0 is taken as
+    the same id and source, or without id the same text and source, share one hash and are taken together. A document of size 0 is taken as
     often as others but adds no words. An empty table gives an empty result, other columns are ignored.
     """
     rows = _measured(docs, id_column, text_column, source_column)
@@ -167,7 +173,7 @@ def take_mix(
     plan = mix_plan(_measured(docs, id_column, text_column, source_column), weights, most)
     copy = fresh(docs, "mix_copy")
     source = docs[source_column].cast("string")
-    copies = _copies(document_hash(docs[id_column], source), plan["passes"], plan["below"])
+    copies = _copies(_hash_of(docs[id_column], source, docs[text_column]), plan["passes"], plan["below"])
     joined = docs.join(plan, source.eqNullSafe(plan["name"]))
     repeated = joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias(copy))
     return repeated.select(*docs.columns)

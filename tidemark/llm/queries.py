@@ -130,7 +130,7 @@ SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component
 FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""",
     "op5_mix_sources": rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS size,
-             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0)) || chr(31) || coalesce(source, chr(0))), 1, 15))::BIGINT AS hash
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0) || coalesce(text, chr(0))) || chr(31) || coalesce(source, chr(0))), 1, 15))::BIGINT AS hash
            FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
