@@ -402,3 +402,37 @@ def test_repeat_edge_rows(make):
     assert by_id[1]["n_removed"] == 0 and by_id[None]["n_removed"] == 0
     assert [(s["start"], s["end"]) for s in by_id[5]["spans"]] == [(1, 30_000)]
     assert remove_repeats(make([])).count() == 0
+
+
+A_TEXT = " ".join(f"a{i}" for i in range(25))
+B_TEXT = " ".join(f"b{i}" for i in range(25))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_several_texts_under_one_id_are_linked_each_by_its_own_set(make, turned):
+    rows = [(1, A_TEXT, None, None, 0), (1, B_TEXT, None, None, 0), (2, A_TEXT + " more", None, None, 0), (3, B_TEXT + " more", None, None, 0)]
+    out = near_duplicates(make(rows[::-1] if turned else rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_several_texts_under_one_id_lose_what_an_earlier_document_says(make, turned):
+    rows = [(1, A_TEXT, None, None, 0), (5, B_TEXT, None, None, 0), (5, A_TEXT, None, None, 0), (7, B_TEXT, None, None, 0), (7, B_TEXT, None, None, 0)]
+    out = remove_repeats(make(rows[::-1] if turned else rows), width=20).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in out) == [(1, 0, A_TEXT), (5, 0, B_TEXT), (5, 25, ""), (7, 25, ""), (7, 25, "")]
+
+
+def test_equal_texts_in_the_texts_of_one_id_stay_once(make):
+    rows = [(5, A_TEXT + " x", None, None, 0), (5, A_TEXT + " y", None, None, 0)]
+    out = remove_repeats(make(rows), width=20).collect()
+    assert sorted(r["n_removed"] for r in out) == [0, 25]
+
+
+def test_rows_without_id_are_taken_apart(make):
+    rows = [(None, f"text {i} of ten words that nobody gave an id", None, "a", 0) for i in range(200)]
+    rows += [(i, "one two three four five six seven eight nine ten", None, "b", 0) for i in range(300)]
+    docs = make(rows)
+    out = mix_sources(docs).collect()
+    first = [r for r in out if r["source"] == "a"]
+    assert sum(r["taken"] for r in first) == pytest.approx(first[0]["target"], abs=10)
+    assert sum(r["taken"] for r in out) == take_mix(docs).count() * 10
