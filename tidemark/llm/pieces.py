@@ -16,6 +16,7 @@ and ids. The units beyond them are joined by value and brought to their document
 from __future__ import annotations
 
 import ctypes
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,69 +169,83 @@ def count_units(texts: DataFrame, cutter: Cutter) -> DataFrame:
 
 
 def _segment(parts: DataFrame, model: Model) -> DataFrame:
-    """(key, n, ids) of units given in parts: key, n, part, base (where the part begins) and left (characters from there on).
+    """(key, part, n, ids) of units given in parts: key, n, part, base (where the part begins) and left (characters from there on).
 
-    A part covers the places of its first ``LONG`` characters and holds what pieces from there may reach.
+    A part covers the places of its first ``LONG`` characters and holds what pieces from there may reach;
+    of several parts any one is returned.
     """
     spark = parts.sparkSession
-    table = F.broadcast(model.table(spark))  # as many rows as the model file has pieces
-    # Lengths worth trying from a place: three, or as far as pieces go that begin with its three characters.
-    reach: dict[str, int] = {}
+    table = F.broadcast(model.table(spark).select("piece", "id"))  # as many rows as the model file has pieces
+    # Lengths worth trying from a place: those of the pieces that begin with its three characters, else one and two.
+    reach: dict[str, set[int]] = {}
     for piece, _, _ in model.useful:
-        if len(piece) > 3:
-            reach[piece[:3]] = max(reach.get(piece[:3], 0), len(piece))
-    ahead = F.broadcast(spark.createDataFrame(list(reach.items()), "ahead string, reach int"))
+        if len(piece) >= 3:
+            reach.setdefault(piece[:3], {1, 2}).add(len(piece))
+    ahead = F.broadcast(spark.createDataFrame([(k, sorted(v)) for k, v in reach.items()], "ahead string, lengths array<int>"))
     places = F.sequence(F.lit(0), F.least(F.col("left"), F.lit(LONG)) - 1)
     begun = parts.repartition("key").select("*", F.explode(places).alias("at"))
     begun = begun.withColumn("ahead", F.expr("substring(part, at + 1, 3)")).join(ahead, "ahead", "left")
-    lengths = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(3)), F.col("left") - F.col("at")))
-    spans = begun.select("key", "n", "part", "at", (F.col("base") + F.col("at")).alias("start"), F.explode(lengths).alias("long"))
+    lengths = F.coalesce("lengths", F.array(F.lit(1), F.lit(2)))
+    spans = begun.select("key", "n", "part", "base", "left", "at", F.explode(lengths).alias("long")).where(F.col("long") <= F.col("left") - F.col("at"))
     keyed = spans.withColumn("piece", F.expr("substring(part, at + 1, long)"))
     edges = keyed.join(table, "piece", "left").where("id is not null or long = 1")
-    # An edge is known by its end, then its start, so that sorting brings them in the order of the fold.
-    edge = F.struct(
-        (F.col("start") + F.col("long")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("score")
-    )
-    grouped = edges.groupBy("key", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-    # ``done``: the best sum and last edge of every end before ``end``; ``here``: those of ``end`` so far.
-    first = F.struct(F.lit(0.0).alias("top"), F.lit(0).cast("long").alias("way"))
-    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<top:double,way:bigint>>").alias("done"), first.alias("here"))
+    # An edge is one number: its end, what its length lacks to 255, and its id from 1 (0: no piece). Sorting
+    # brings edges in the order of the fold, by end and then by start, and rows of numbers are small to group.
+    end = (F.col("base") + F.col("at") + F.col("long")).cast("long")
+    edge = end * (1 << 32) + (255 - F.col("long")).cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    grouped = edges.groupBy("key").agg(F.first("part").alias("part"), F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+
+    # Scores by id from 1 as one JSON literal, so that planning does not depend on the number of pieces.
+    by_id = [model.unknown_score] * (max((i for _, i, _ in model.useful), default=-1) + 2)
+    for _, i, own in model.useful:
+        by_id[i + 1] = own
+    scores = F.from_json(F.lit(json.dumps(by_id)), "array<double>")
+
+    # ``tops`` and ``ways``: the best sum and the last edge (its length and id) of every end so far, the current one in front
+    # as ``top`` and ``way``; ``end`` is the current one.
+    nothing = F.array().cast("array<double>").alias("tops"), F.array().cast("array<bigint>").alias("ways")
+    begin = F.struct(F.lit(0).cast("long").alias("end"), *nothing, F.lit(0.0).alias("top"), F.lit(0).cast("long").alias("way"))
 
     def extend(s, e):
-        total = F.when(e["start"] == s["end"], s["here"]["top"]).otherwise(F.get(s["done"], e["start"])["top"]) + e["score"]
-        here = F.struct(total.alias("top"), (e["start"].cast("long") * (1 << 24) + (e["id"] + 1)).alias("way")).alias("here")
-        fresh = F.struct(e["end"].alias("end"), F.concat(s["done"], F.array(s["here"])).alias("done"), here)
-        better = F.struct(s["end"].alias("end"), s["done"].alias("done"), here)
-        return F.when(e["end"] > s["end"], fresh).when(total > s["here"]["top"], better).otherwise(s)
-
-    folded = grouped.select("key", "n", F.aggregate("edges", begin, extend, lambda s: F.concat(s["done"], F.array(s["here"]))).alias("best"))
-
-    def step(s, way):
-        id_ = (F.pmod(way, F.lit(1 << 24)) - 1).cast("int")
-        return F.struct(F.floor(way / (1 << 24)).cast("int").alias("at"), F.concat(s["ids"], F.array(id_)).alias("ids"))
+        here, way = F.shiftright(e, 32), e.bitwiseAND((1 << 32) - 1)
+        start = (here - 255 + F.shiftright(way, 24)).cast("int")
+        total = F.when(start == s["end"], s["top"]).otherwise(F.get(s["tops"], start)) + F.get(scores, e.bitwiseAND((1 << 24) - 1).cast("int"))
+        fresh = F.struct(
+            here.alias("end"), F.concat(s["tops"], F.array(s["top"])).alias("tops"), F.concat(s["ways"], F.array(s["way"])).alias("ways"), total.alias("top"), way.alias("way")
+        )
+        better = F.struct(s["end"].alias("end"), s["tops"].alias("tops"), s["ways"].alias("ways"), total.alias("top"), way.alias("way"))
+        return F.when(here > s["end"], fresh).when(total > s["top"], better).otherwise(s)
+
+    folded = grouped.select("key", "part", "n", F.aggregate("edges", begin, extend, lambda s: F.concat(s["ways"], F.array(s["way"]))).alias("best"))
+
+    # From the last end to the beginning of its edge, and so on; once at 0 the state stays as it is.
+    def step(s):
+        way = F.get("best", s["at"])
+        id_ = (way.bitwiseAND((1 << 24) - 1) - 1).cast("int")
+        return F.struct((s["at"] - 255 + F.shiftright(way, 24)).cast("int").alias("at"), F.concat(s["ids"], F.array(id_)).alias("ids"))
 
-    # Ways are read from the end; those that the best path skips leave the state as it is.
-    numbered = F.reverse(F.transform("best", lambda best, i: F.struct(i.alias("end"), best["way"].alias("way"))))
     walk = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-    ids = F.aggregate(numbered, walk, lambda s, w: F.when((w["end"] == s["at"]) & (w["end"] > 0), step(s, w["way"])).otherwise(s), lambda s: F.reverse(s["ids"]))
-    return folded.select("key", "n", ids.alias("ids"))
+    ids = F.aggregate("best", walk, lambda s, _: F.when(s["at"] > 0, step(s)).otherwise(s), lambda s: F.reverse(s["ids"]))
+    return folded.select("key", "part", "n", ids.alias("ids"))
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, ids): the best segmentation of each distinct unit; -1 stands for a character without piece.
+    """(unit, n, ids): the best segmentation of each distinct unit of a stored table; -1 stands for a character without piece.
 
-    Of equal sums the one whose last piece is longest wins, at every end. Rows of units longer than ``LONG``
-    characters carry a digest and a part of the unit; the unit itself comes back by a join.
+    Of equal sums the one whose last piece is longest wins, at every end. Units are numbered, so that edges are
+    grouped by a number. Rows of units longer than ``LONG`` characters carry a digest and a part of the unit; the
+    unit itself comes back by a join.
     """
+    if model.longest > 255:
+        raise ValueError("pieces are longer than 255 characters")
     size = F.length("unit")
-    usual = units.where(size <= LONG).select(F.col("unit").alias("key"), "n", F.col("unit").alias("part"), F.lit(0).alias("base"), size.alias("left"))
+    usual = units.where(size <= LONG).select(F.monotonically_increasing_id().alias("key"), "n", F.col("unit").alias("part"), F.lit(0).alias("base"), size.alias("left"))
     large = units.where(size > LONG).withColumn("key", F.sha2(F.col("unit").cast("binary"), 256))
     parts = large.select("key", "n", "unit", F.explode(F.sequence(F.lit(0), size - 1, F.lit(LONG))).alias("base")).select(
         "key", "n", F.expr(f"substring(unit, base + 1, {LONG + model.longest})").alias("part"), "base", (size - F.col("base")).alias("left")
     )
     found = _segment(parts, model).select("key", "ids").join(large, "key").select("unit", "n", "ids")
-    return _segment(usual, model).withColumnRenamed("key", "unit").unionByName(found)
+    return _segment(usual, model).select(F.col("part").alias("unit"), "n", "ids").unionByName(found)
 
 
 class Common:
