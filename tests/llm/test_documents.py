@@ -335,6 +335,25 @@ def test_candidates_without_digits_short_ones_and_ends_of_long_ones(make):
     assert not any("password" in x for x in found.values())
 
 
+def test_keys_of_other_shapes_planted_in_the_given_texts(spark):
+    """The texts hold findings of one shape; 200 keys of others, without an announcing word, are found nevertheless."""
+    rng = np.random.default_rng(12)
+    both = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    draw = lambda n, letters: "".join(rng.choice(letters, n))
+    shapes = (lambda: draw(32, both), lambda: "ghp_" + draw(36, both), lambda: draw(20, both[:26] + both[52:]), lambda: draw(24, list("0123456789abcdef")))
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    keys, at = {}, rng.permutation([i for i, t in enumerate(texts) if 20 < len(t) < 5_000])[:200]
+    for k, i in enumerate(at.tolist()):
+        words = texts[i].split(" ")
+        keys[i] = shapes[k % len(shapes)]()
+        words.insert(int(rng.integers(0, len(words) + 1)), keys[i])
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 3} for r in find_secrets(docs).collect()}
+    assert sum(key in found[i] for i, key in keys.items()) >= 180
+    assert sum(len(x - {keys.get(i)}) for i, x in found.items()) <= 0.05 * len(texts)
+
+
 def test_look_ups_equal_the_convolution():
     rng, network = np.random.default_rng(10), secret_scan.Network()
     windows = rng.choice(secret_scan._CODES, (40, secret_scan.WIDTH)).astype(np.uint8)
