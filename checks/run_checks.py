@@ -15,7 +15,7 @@ from tidemark.operators.estimators import top_importance
 from tidemark.operators.metrics import classification_metrics
 from tidemark.operators.numeric_prep import numeric_columns
 from tidemark.operators.panel import join_text
-from tidemark.operators.terms import CELL, post_terms, shared_terms
+from tidemark.operators.terms import CELL, post_terms, shared_terms, term_tasks, text_size
 from tidemark.operators.weekly_text import clean_posts
 from tidemark.plans.experiments import VARIANTS
 from tidemark.plans.many_runs import evaluate_many, grow_trees, study_assets, study_variants
@@ -32,8 +32,14 @@ def _panel(spark, folder, drop_neutral=True):
     return join_text(market_panel(spark, folder, drop_neutral), weekly_text(spark, folder))
 
 
+def _cells_and_terms(spark, folder):
+    """Every text is cleaned once; the cells that hold posts, and the counts of terms that several share."""
+    cleaned = keep_table(clean_posts(posts(spark, folder)).select(*CELL, "created_utc", "source_id", "clean_text"))
+    return cleaned.select(*CELL).distinct(), shared_terms(post_terms(cleaned), tasks=term_tasks(text_size(cleaned)))
+
+
 def _terms(spark, folder):
-    return keep_table(shared_terms(post_terms(clean_posts(posts(spark, folder)))))
+    return keep_table(_cells_and_terms(spark, folder)[1])
 
 
 def temporal_cv(spark, folder):
@@ -66,8 +72,7 @@ def text_fits(spark, folder):
 
 def fold_vocabulary(spark, folder):
     """The vocabularies of nested spans: all cells with posts up to the end of each quarter."""
-    terms = _terms(spark, folder)
-    cells = clean_posts(posts(spark, folder)).select(*CELL).distinct()
+    cells, terms = _cells_and_terms(spark, folder)
     span = F.months_between(F.trunc("week_start", "quarter"), F.lit("1994-10-01").cast("date")).cast("int") / 3
     cells = keep_table(cells.select(F.lit("all").alias("group"), *CELL, span.cast("int").alias("span")))
     last = cells.agg(F.max("span") + 1).first()[0]

@@ -61,10 +61,11 @@ vocab AS (
   FROM kept, docs)"""
 
 
-def _vocabulary(spark, folder):
+def _vocabulary(spark, folder, again=False):
     cleaned = _cleaned(spark, folder)
     # A term that a single cell holds is in no vocabulary; most pairs are such terms.
-    terms = keep_table(T.shared_terms(T.post_terms(cleaned)))
+    terms = T.shared_terms(T.post_terms(cleaned), tasks=T.term_tasks(T.text_size(cleaned)))
+    terms = keep_table(terms) if again else terms
     return terms, T.vocabulary(terms, cleaned.select(*T.CELL).distinct().count())
 
 
@@ -74,7 +75,7 @@ def vocabulary(spark, folder):
 
 
 def tfidf(spark, folder):
-    terms, vocab = _vocabulary(spark, folder)
+    terms, vocab = _vocabulary(spark, folder, again=True)
     weights = T.tfidf_weights(terms, vocab)
     return rounded(dated(weights.select(*T.CELL, "term", "weight")))
 

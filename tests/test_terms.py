@@ -108,3 +108,27 @@ def test_vocabulary_sees_training_weeks_only(spark):
     first_week = df.where(F.dayofmonth("week_start") == 1).select("asset", "week_start").distinct()
     fitted = T.fit_text_vectors(T.post_terms(df), first_week, 2, max_features=100, min_df=1)
     assert "omega" not in fitted.terms and "delta" in fitted.terms
+
+
+def test_terms_are_counted_where_the_posts_of_a_cell_arrive(spark):
+    df = cleaned(spark)
+    expected = brute_counts(spark)
+    for ngrams in ((1, 2), (1, 3)):
+        plan = T.post_terms(df, ngrams)._jdf.queryExecution().executedPlan().toString()
+        shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert shuffles and not any("term" in line for line in shuffles)
+    # Cells of more characters than a task takes are dealt among several, and added up.
+    for chars in (1, 20, 40):
+        split = T.post_terms(df, cell_chars=chars)
+        assert {(r["asset"], r["week_start"], r["term"]): r["n"] for r in split.collect()} == expected
+
+
+def test_shared_terms_of_any_number_of_cells(spark):
+    terms = T.post_terms(cleaned(spark))
+    rows = [tuple(r) for r in terms.collect()]
+    held = Counter(term for _, _, term, _ in rows)
+    for least in (1, 2, 3, 4):
+        found = T.shared_terms(terms, least, tasks=3)
+        assert Counter(tuple(r) for r in found.collect()) == Counter(r for r in rows if held[r[2]] >= least)
+        plan = found.groupBy("term").count()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(term") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -15,6 +16,11 @@ CELL = ("asset", "week_start")
 
 
 LONGEST = 10
+#: Characters of text whose terms one task counts, about, and tasks at most (beyond, tasks get more text).
+TASK_CHARS, MOST_TASKS = 8_000_000, 20_000
+SMALL_CHARS, SMALL_TASKS = 500_000, 16
+#: A cell with more characters is counted in several parts.
+CELL_CHARS = 32_000_000
 
 
 def _check_range(ngram_range: tuple[int, int]) -> tuple[bool, bool]:
@@ -49,20 +55,16 @@ def _spanning(tail: Column, head: Column, low: int, high: int) -> Column:
     return F.concat(*[runs(n) for n in range(max(low, 2), high + 1)])
 
 
-def _long_terms(cleaned: DataFrame, low: int, high: int, bounds: Bounds | None) -> DataFrame:
-    """Term rows for runs of more than two tokens, which may span several short posts.
+def _long_spanning(cleaned: DataFrame, low: int, high: int, bounds: Bounds | None) -> DataFrame:
+    """(cell, order, _more): runs of more than two tokens may span several short posts; those that end in a post.
 
     The last ``high - 1`` tokens before a post are a border: those of a run of posts follow from the border of the
     run without its last post and that post's own tokens, so ``high - 2`` steps to the post before reach far
     enough, as each post with a token gives at least one.
     """
     reach = high - 1
-    tokens = word_tokens(F.col("clean_text"))
-    rows = cleaned.select(
-        *CELL, F.unix_micros("created_utc").alias("_at"), "source_id", F.xxhash64("clean_text").alias("_tie"), tokens.alias("_tokens")
-    ).where(F.size("_tokens") > 0)
-    inside = rows.select(*CELL, F.explode(_ngrams(F.col("_tokens"), low, high)).alias("term"))
-    order = ["_at", "source_id", "_tie"]
+    rows = cleaned.select(*CELL, *_order(), word_tokens(F.col("clean_text")).alias("_tokens")).where(F.size("_tokens") > 0)
+    order = list(ORDER)
     own = F.slice("_tokens", F.greatest(F.size("_tokens") - (reach - 1), F.lit(1)), reach)
     ends = rows.select(*CELL, *order, F.slice("_tokens", 1, reach).alias("_head"), own.alias("_own"))
     ends = ends.withColumn("_tail", F.col("_own"))
@@ -74,8 +76,7 @@ def _long_terms(cleaned: DataFrame, low: int, high: int, bounds: Bounds | None)
             *CELL, *order, "_head", "_own", F.slice(both, F.greatest(F.size(both) - (reach - 1), F.lit(1)), reach).alias("_tail")
         )
     follow = previous_value(ends, CELL, order, ["_tail"], bounds=bounds).where(F.col("prev__tail").isNotNull())
-    across = follow.select(*CELL, F.explode(_spanning(F.col("prev__tail"), F.col("_head"), low, high)).alias("term"))
-    return inside.unionByName(across)
+    return follow.select(*CELL, *order, _spanning(F.col("prev__tail"), F.col("_head"), low, high).alias("_more"))
 
 
 def _pairs(tokens: Column) -> Column:
@@ -87,42 +88,84 @@ def _pairs(tokens: Column) -> Column:
     )
 
 
-def _counts(rows: DataFrame, tokens: str, singles: bool, pairs: bool) -> DataFrame:
+def _counts(rows: DataFrame, tokens: str, singles: bool, pairs: bool, keep: str | None = None, more: str | None = None) -> DataFrame:
     terms = []
     if singles:
         terms.append(F.col(tokens))
     if pairs:
         terms.append(_pairs(F.col(tokens)))
-    return rows.select(*CELL, F.explode(F.concat(*terms)).alias("term"))
+    if more:
+        terms.append(F.col(more))
+    return rows.select(*CELL, *([keep] if keep else []), F.explode(F.concat(*terms)).alias("term"))
+
+
+ORDER = ("_at", "source_id", "_tie")
+
+
+def _order() -> list[Column]:
+    """What orders the posts of a cell."""
+    return [F.unix_micros("created_utc").alias("_at"), F.col("source_id"), F.xxhash64("clean_text").alias("_tie")]
+
+
+def _spanning_pairs(cleaned: DataFrame, bounds: Bounds | None) -> DataFrame:
+    """(cell, order, _more): the word pair that ends in a post and begins in the one before."""
+    first, last = outer_tokens(F.col("clean_text"))
+    ends = cleaned.select(*CELL, *_order(), first.alias("_first"), last.alias("_last")).where(F.col("_first") != "")
+    follow = previous_value(ends, CELL, list(ORDER), ["_last"], bounds=bounds).where(F.col("prev__last").isNotNull())
+    return follow.select(*CELL, *ORDER, F.array(F.concat_ws(" ", "prev__last", "_first")).alias("_more"))
+
+
+def term_tasks(chars: int | None) -> int:
+    """Tasks among which the terms of so much text are dealt; a small text is spread as well."""
+    chars = chars or 0
+    return max(1, min(SMALL_TASKS, chars // SMALL_CHARS), min(MOST_TASKS, math.ceil(chars / TASK_CHARS)))
+
+
+def text_size(cleaned: DataFrame) -> int:
+    """Characters of all posts; give a table that is cheap to read twice."""
+    return cleaned.agg(F.sum(F.length("clean_text"))).first()[0] or 0
 
 
 def post_terms(
-    cleaned: DataFrame, ngram_range: tuple[int, int] = (1, 2), bounds: Bounds | None = None
+    cleaned: DataFrame, ngram_range: tuple[int, int] = (1, 2), bounds: Bounds | None = None, cell_chars: int = CELL_CHARS
 ) -> DataFrame:
     """(asset, week_start, term, n) from cleaned posts.
 
     Equal to counting in the weekly text: word pairs that span two posts are counted too, and longer
     runs that span several. For these only the first and last tokens of each post are ordered, in slices, so the
-    texts themselves are never collected or sorted. Counts combine before the shuffle.
+    texts themselves are never collected or sorted. The posts are shuffled by their cell, each once, and counted where
+    they arrive, so that no term is shuffled: a cell has far more rows of terms than bytes of text. Cells of more than
+    ``cell_chars`` characters are dealt among several tasks, and only their counts are added up by a second shuffle.
+    The sizes of the cells are read here: give a table that is cheap to read twice.
     """
+    low, high = ngram_range
     singles, pairs = _check_range(ngram_range)
-    if ngram_range[1] > 2:
-        return _long_terms(cleaned, *ngram_range, bounds).groupBy(*CELL, "term").agg(F.count("*").alias("n"))
-    tokenised = cleaned.select(*CELL, word_tokens(F.col("clean_text")).alias("_tokens"))
-    terms = _counts(tokenised, "_tokens", singles, pairs)
-    if pairs:
-        first, last = outer_tokens(F.col("clean_text"))
-        ends = cleaned.select(
-            *CELL, F.unix_micros("created_utc").alias("_at"), "source_id",
-            F.xxhash64("clean_text").alias("_tie"), first.alias("_first"), last.alias("_last"),
-        ).where(F.col("_first") != "")
-        follow = previous_value(ends, CELL, ["_at", "source_id", "_tie"], ["_last"], bounds=bounds)
-        terms = terms.unionByName(
-            follow.where(F.col("prev__last").isNotNull()).select(
-                *CELL, F.concat_ws(" ", "prev__last", "_first").alias("term")
-            )
+    sizes = cleaned.groupBy(*CELL).agg(F.sum(F.length("clean_text")).alias("_chars"))
+    chars, most = sizes.agg(F.sum("_chars"), F.max("_chars")).first()
+    rows = cleaned.select(*CELL, *_order(), "clean_text", F.array().cast("array<string>").alias("_more"))
+    if high > 1:
+        across = _long_spanning(cleaned, low, high, bounds) if high > 2 else _spanning_pairs(cleaned, bounds)
+        rows = rows.unionByName(across.withColumn("clean_text", F.lit("")))
+    part = F.lit(0)
+    if (most or 0) > cell_chars:
+        large = sizes.where(F.col("_chars") > cell_chars).select(
+            *[F.col(c).alias(f"_{c}") for c in CELL], F.ceil(F.col("_chars") / cell_chars).cast("int").alias("_parts")
         )
-    return terms.groupBy(*CELL, "term").agg(F.count("*").alias("n"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CELL]
+        rows = rows.join(F.broadcast(large), same, "left")
+        part = F.coalesce(F.lit(1) + F.pmod(F.xxhash64(*ORDER), F.col("_parts")).cast("int"), F.lit(0))
+    placed = rows.select(*CELL, part.alias("_part"), "clean_text", "_more").repartition(term_tasks(chars), *CELL, "_part")
+    tokens = word_tokens(F.col("clean_text"))
+    if high > 2:
+        own = placed.select(*CELL, "_part", tokens.alias("_tokens"), "_more").withColumn("_own", _ngrams(F.col("_tokens"), low, high))
+        terms = own.select(*CELL, "_part", F.explode(F.concat("_own", "_more")).alias("term"))
+    else:
+        terms = _counts(placed.select(*CELL, "_part", tokens.alias("_tokens"), "_more"), "_tokens", singles, pairs, "_part", "_more")
+    counted = terms.groupBy(*CELL, "_part", "term").agg(F.count("*").alias("n"))
+    if (most or 0) <= cell_chars:
+        return counted.drop("_part")
+    merged = counted.where("_part > 0").groupBy(*CELL, "term").agg(F.sum("n").alias("n"))
+    return counted.where("_part = 0").drop("_part").unionByName(merged)
 
 
 def text_terms(panel: DataFrame, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
@@ -137,14 +180,17 @@ def text_terms(panel: DataFrame, ngram_range: tuple[int, int] = (1, 2)) -> DataF
     )
 
 
-def shared_terms(terms: DataFrame, min_df: int = 2) -> DataFrame:
+def shared_terms(terms: DataFrame, min_df: int = 2, tasks: int | None = None) -> DataFrame:
     """The counts of terms that at least ``min_df`` cells hold.
 
     No part of the cells holds a term more often than all do, so a vocabulary of any part, such as
-    a training block, loses nothing.
+    a training block, loses nothing. The rows are shuffled once, by the term (into ``tasks``, else as many as the
+    session says). A term has one row per cell; a row looks ``min_df - 1`` rows back and ahead among those of its term,
+    sorted by hash, as numbers compare faster. Terms stay together, so that counting by term needs no further shuffle.
     """
-    found = terms.groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") >= min_df)
-    return terms.join(found.select("term"), "term", "left_semi").select(*terms.columns)
+    placed = (terms.repartition(tasks, "term") if tasks else terms.repartition("term")).withColumn("_hash", F.xxhash64("term"))
+    near = Window.partitionBy("_hash", "term").orderBy("_hash").rowsBetween(1 - min_df, min_df - 1)
+    return placed.withColumn("_near", F.count("*").over(near)).where(F.col("_near") >= min_df).select(*terms.columns)
 
 
 def vocabulary(
