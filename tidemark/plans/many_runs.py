@@ -103,7 +103,8 @@ def _text(rows: DataFrame, terms: DataFrame, studies: list[Study], settings: Stu
     spark = rows.sparkSession
     ends = [(s.group, i, end, s.n_train[i]) for s in studies for i, (_, end, _, _) in enumerate(s.spans)]
     table = F.broadcast(spark.createDataFrame(ends, "group string, span int, end long, n_train long"))
-    cells = rows.join(table, "group").where(F.col("week") < F.col("end")).groupBy("group", *CELL).agg(F.min("span").alias("span"))
+    # Kept, so that its size is known and the terms are not shuffled to meet it.
+    cells = keep_table(rows.join(table, "group").where(F.col("week") < F.col("end")).groupBy("group", *CELL).agg(F.min("span").alias("span")))
     sizes = spark.createDataFrame([(s.group, len(s.spans)) for s in studies], "group string, spans int")
     found = keep_table(span_vocabularies(terms, cells, F.broadcast(sizes), table.select("group", "span", "n_train"), settings.text.max_features, settings.text.min_df))
     words = [r["term"] for r in found.select("term").distinct().orderBy("term").collect()]
