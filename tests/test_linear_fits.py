@@ -4,6 +4,7 @@ from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,58 @@ def test_refusals(panel):
         evaluate_many(panel.withColumn("target_up", F.lit(1)), replace(STUDY, models=STUDY.models[:1]))
     with pytest.raises(ValueError, match="names"):
         study_variants(panel, STUDY, variants=(X.VARIANTS[0], X.VARIANTS[0]))
+
+
+def test_spans_vocabularies_meet_no_shuffle_by_group_and_settle_ties_by_the_term(spark):
+    rows = [("a", w, f"t{i:02d}", 1 + (i + w) % 3) for w in range(6) for i in range(12) if (i * w) % 5 != 3]
+    table = spark.createDataFrame(rows, "asset string, week_start int, term string, n long")
+    cells = spark.createDataFrame([("all", "a", w, w // 2) for w in range(6)], "group string, asset string, week_start int, span int")
+    spans = spark.createDataFrame([("all", 3)], "group string, spans int")
+    n_train = spark.createDataFrame([("all", s, 2 * s + 2) for s in range(3)], "group string, span int, n_train int")
+    plan = span_terms(table, cells, spans)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [group#" in plan
+    for most in (1, 4, 7, 100):
+        expected = set()
+        for span in range(3):
+            seen = [r for r in rows if r[1] // 2 <= span]
+            total = {t: (sum(r[2] == t for r in seen), sum(r[3] for r in seen if r[2] == t)) for t in {r[2] for r in seen}}
+            kept = sorted((t for t in total if total[t][0] >= 2), key=lambda t: (-total[t][1], t))[:most]
+            expected |= {(span, t, *total[t]) for t in kept}
+        found = span_vocabularies(table, cells, spans, n_train, most).collect()
+        assert len(found) == len(expected) and {(r["span"], r["term"], r["df"], r["cf"]) for r in found} == expected
+
+
+def test_text_sums_of_all_fits_come_from_one_matrix_of_counts():
+    rng = np.random.default_rng(5)
+    n, terms = 9, 6
+    counts = rng.integers(0, 3, (n, terms)) * (rng.random((n, terms)) < 0.5)
+    counts[4] = 0
+    idx = [np.flatnonzero(c).tolist() for c in counts]
+    batch = pa.RecordBatch.from_pydict({
+        "group": ["g"] * n, "week": pa.array(range(n), pa.int64()), "target_up": pa.array([i % 2 for i in range(n)], pa.int32()),
+        "x": pa.array(rng.random((n, 2)).tolist(), pa.list_(pa.float64())), "idx": pa.array(idx, pa.list_(pa.int32())),
+        "tf": pa.array([c[i].astype(float).tolist() for c, i in zip(counts, idx)], pa.list_(pa.float64())),
+    })
+    fits = [L.Fit("g", k, end, 0, 0, "m", loss, text=text) for k, (end, loss, text) in enumerate([(4, "logistic", True), (9, "squared_hinge", True), (7, "logistic", False)])]
+    design = L.Design(np.zeros((3, 2)), np.zeros((3, 2)), np.ones((3, 2)), rng.random((3, terms)) + 0.5, np.ones((3, 2)))
+    theta, along = rng.normal(size=(3, terms + 3)), rng.normal(size=(3, terms + 3))
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    whole = L._Batch(batch, {"g": 0}, True)
+    assert (whole.term_counts(terms) == counts).all()
+    for mode in ("slope", "product"):
+        (out,) = L._sums(Held((fits, {"g": 0}, design)), Held(([0, 1, 2], theta, along)), mode)([batch])
+        for fit, sums in zip(out.column("fit").to_pylist(), out.column("sums").to_pylist()):
+            kind = fits[fit]
+            raw = counts[: kind.end] * design.idf[fit] * kind.text
+            length = np.linalg.norm(raw, axis=1)
+            full = np.hstack([raw / np.where(length > 0, length, 1.0)[:, None], whole.x[: kind.end], np.ones((kind.end, 1))])
+            loss, first, second = L._loss(kind, full @ theta[fit], whole.y[: kind.end], np.ones(kind.end))
+            pull = second * (full @ along[fit]) if mode == "product" else first
+            got = np.array(sums)
+            assert np.allclose(got[: terms + 3] if mode == "product" else got[1 : terms + 4], full.T @ pull)
+            if mode == "slope":
+                assert np.isclose(got[0], loss.sum())

@@ -30,8 +30,8 @@ from tidemark.operators.numeric_prep import SMALL_BLOCK, exact_medians
 
 #: Numbers of all parameters (of Gram matrices, where those are used) that one block of fits may have.
 BLOCK_NUMBERS = 2_000_000
-#: Rows of a batch that are unpacked at once.
-ROWS_AT_ONCE = 1024
+#: Rows of a batch that are unpacked at once, and numbers of their dense matrix of term counts.
+ROWS_AT_ONCE, DENSE_NUMBERS = 1024, 4_000_000
 MAX_STEPS, MAX_PRODUCTS = 100, 400
 
 
@@ -126,17 +126,29 @@ class _Batch:
         start = first if low is None else first + int(np.searchsorted(self.weeks[first:last], low))
         return slice(start, first + int(np.searchsorted(self.weeks[first:last], high)))
 
+    def term_counts(self, terms: int) -> np.ndarray:
+        """The rows' term counts as one matrix, which all fits share."""
+        out = np.zeros((len(self.y), terms))
+        out[np.repeat(np.arange(len(self.y)), np.diff(self.at)), self.idx] = self.tf
+        return out
+
     def features(self, part: slice, design: Design, fit: int, kind: Fit) -> _Features:
         return _Features(self, part, design, fit, kind)
 
 
+def _numbers(batch: _Batch, part: slice, design: Design, fit: int, kind: Fit) -> np.ndarray:
+    """One fit's scaled numbers of some rows, and a one."""
+    x = batch.x[part]
+    numbers = (np.where(np.isnan(x), design.medians[fit], x) - design.means[fit]) / design.deviations[fit]
+    return np.concatenate([numbers if kind.numeric else numbers * 0.0, np.ones((len(x), 1))], axis=1)
+
+
 class _Features:
     """One fit's features of some rows: sparse unit vectors of term weights, scaled numbers, and a one."""
 
     def __init__(self, batch: _Batch, part: slice, design: Design, fit: int, kind: Fit) -> None:
         x = batch.x[part]
-        numbers = (np.where(np.isnan(x), design.medians[fit], x) - design.means[fit]) / design.deviations[fit]
-        self.dense = np.concatenate([numbers if kind.numeric else numbers * 0.0, np.ones((len(x), 1))], axis=1)
+        self.dense = _numbers(batch, part, design, fit, kind)
         self.terms, self.count = design.idf.shape[1], len(x)
         low, high = batch.at[part.start], batch.at[part.stop]
         if kind.text and high > low:
@@ -153,10 +165,6 @@ class _Features:
         out = self.dense @ theta[self.terms :]
         return out + np.bincount(self.row, self.value * theta[self.idx], minlength=self.count) if len(self.row) else out
 
-    def transposed(self, r: np.ndarray) -> np.ndarray:
-        text = np.bincount(self.idx, self.value * r[self.row], minlength=self.terms) if len(self.row) else np.zeros(self.terms)
-        return np.concatenate([text, self.dense.T @ r])
-
 
 def _loss(kind: Fit, margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Loss, its first and its second derivative by the margin, per row."""
@@ -174,24 +182,49 @@ def _sums(fixed, moving, mode: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits, groups, design = fixed.value
         some, theta, along = moving.value
+        terms = design.idf.shape[1]
+        at_once = max(1, min(ROWS_AT_ONCE, DENSE_NUMBERS // max(1, terms)))
+        idf = design.idf[some] * np.array([[float(fits[fit].text)] for fit in some]) if terms else None
         total: dict[int, np.ndarray] = {}
         for whole in batches:
-            for low in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = _Batch(whole.slice(low, ROWS_AT_ONCE), groups, design.idf.shape[1] > 0)
+            for low in range(0, whole.num_rows, at_once):
+                batch = _Batch(whole.slice(low, at_once), groups, terms > 0)
+                # The text of all fits by matrix products: unit vectors are counts times idf over their length.
+                margins = bends = pulls = None
+                if terms:
+                    counts = batch.term_counts(terms)
+                    lengths = np.sqrt((counts * counts) @ (idf * idf).T)
+                    lengths[lengths == 0] = 1.0
+                    margins = counts @ (idf * theta[:, :terms]).T / lengths
+                    bends = counts @ (idf * along[:, :terms]).T / lengths if mode == "product" else None
+                    pulls = np.zeros_like(margins)
+                found: dict[int, tuple] = {}
                 for place, fit in enumerate(some):
                     kind = fits[fit]
                     part = batch.rows(groups[kind.group], None, kind.end)
                     if part.stop <= part.start:
                         continue
-                    features = batch.features(part, design, fit, kind)
+                    dense = _numbers(batch, part, design, fit, kind)
+                    margin = dense @ theta[place, terms:]
+                    if terms:
+                        margin += margins[part, place]
                     y = batch.y[part]
                     weight = kind.c * design.weights[fit][y.astype(np.int64)]
-                    loss, first, second = _loss(kind, features.times(theta[place]), y, weight)
+                    loss, first, second = _loss(kind, margin, y, weight)
                     if mode == "product":
-                        out = features.transposed(second * features.times(along[place]))
+                        bend = dense @ along[place, terms:]
+                        pull = second * (bend + bends[part, place] if terms else bend)
+                        before, after = [], []
                     else:
-                        gram = (features.dense * second[:, None]).T @ features.dense
-                        out = np.concatenate([[loss.sum()], features.transposed(first), gram.ravel()])
+                        pull = first
+                        before, after = [loss.sum()], ((dense * second[:, None]).T @ dense).ravel()
+                    if terms:
+                        pulls[part, place] = pull
+                    found[place] = before, dense.T @ pull, after
+                text = (pulls / lengths).T @ counts * idf if terms else np.zeros((len(some), 0))
+                for place, (before, numbers, after) in found.items():
+                    out = np.concatenate([before, text[place], numbers, after])
+                    fit = some[place]
                     total[fit] = total[fit] + out if fit in total else out
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], ["fit", "sums"])
