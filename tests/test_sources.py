@@ -233,3 +233,21 @@ def test_streamed_volume_equals_the_batch(spark, tmp_path):
         week = (at.date() - timedelta(days=at.weekday()), asset)
         expected[week] = expected.get(week, 0) + 1
     assert {(r["week_start"].date(), r["asset"]): r["posts"] for r in landed_volume(spark, str(tmp_path / "volume")).collect()} == expected
+
+
+def test_pieces_of_a_title_are_taken_in_one_native_pass(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import posts as P
+
+    titles = ["abcabd", "a\nb😀cd", "ab", "", "ééx abc", None]
+    grams = sorted(["abc", "b😀c", "😀cd", "ab", "éx ", "zzz"], key=lambda g: g.encode())
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    plan = df.select(P._title_grams(F.col("t"), [2, 3]))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan and "lambda" not in plan
+    for row in df.select("t", P._held(F.col("t"), grams).alias("found")).collect():
+        if row["t"] is None:
+            assert row["found"] is None
+            continue
+        own = {row["t"][i : i + n] for n in (2, 3) for i in range(len(row["t"]) - n + 1)}
+        assert sorted(row["found"]) == sorted(own & set(grams))

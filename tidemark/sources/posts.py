@@ -20,6 +20,8 @@ MAX_BROADCAST_QUERIES = 100_000
 INDEX_FROM = 200
 GRAM = 3
 INDEX_QUERIES = 50_000
+#: Pieces of an index up to which a title's own are held against all of them at once.
+INTERSECT_GRAMS = 2_000
 QUERY = ("asset", "channel", "keyword")
 
 
@@ -120,22 +122,25 @@ def gram_index(keywords: Sequence[str]) -> dict[str, list[str]]:
 
 
 def _title_grams(title: Column, lengths: Sequence[int]) -> Column:
-    """The different pieces of the given lengths, in time linear in the title."""
+    """The pieces of the given lengths: one native pass over the title for each length."""
 
-    def cut(letters: Column, n: int) -> Column:
-        if n == 0:
-            return F.array(F.lit(""))
-        starts = F.when(F.size(letters) >= n, F.sequence(F.lit(0), F.size(letters) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(*[F.get(letters, i + j) for j in range(n)]))
+    def cut(n: int) -> Column:
+        # Looking ahead takes a piece from every place; each match is empty, so the next one is one place on.
+        return F.regexp_extract_all(title, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit(""))
 
-    # Split once: inside the lambda the letters are a variable.
-    return F.transform(F.array(F.split(title, "")), lambda letters: F.array_distinct(F.concat(*[cut(letters, n) for n in lengths])))[0]
+    return F.concat(*[cut(n) for n in lengths])
+
+
+def _held(title: Column, grams: Sequence[str]) -> Column:
+    """The different pieces of the title that may be among ``grams``: for not too many of these, just those that are."""
+    own = _title_grams(title, sorted({len(g) for g in grams}))
+    return F.array_intersect(own, constant_strings(grams)) if len(grams) <= INTERSECT_GRAMS else F.array_distinct(own)
 
 
 def match_by_grams(posts: DataFrame, queries: Sequence[AssetQuery]) -> DataFrame:
     """:func:`match_posts` for many queries: an inverted index from pieces of keywords, looked up inside the row.
 
-    A title's different pieces are searched for, by halving, in the sorted pieces of the index, a literal of the plan; only
+    Of a title's pieces those of the index, a literal of the plan, are kept by hash and searched for by halving; only
     keywords under a piece that the title holds, and of its channel, are held against it. Nothing is
     shuffled or broadcast, and the work does not grow with the keywords but for the halving. More than
     ``INDEX_QUERIES`` queries are searched for in several indexes one after the other.
@@ -161,7 +166,7 @@ def match_by_grams(posts: DataFrame, queries: Sequence[AssetQuery]) -> DataFrame
             begins.append(len(entries))
         asset, channel, keyword, position, c, k, low = ([str(e[i]) for e in entries] for i in range(7))
         begin = constant_strings([str(b) for b in begins]).cast("array<int>")
-        found = F.transform(_title_grams(F.col("_title"), sorted({len(g) for g in grams})), lambda g: place_of(g, grams))
+        found = F.transform(_held(F.col("_title"), grams), lambda g: place_of(g, grams))
         near = F.flatten(F.transform(F.filter(found, lambda at: at >= 0), lambda at: F.sequence(F.get(begin, at), F.get(begin, at + 1) - 1)))
         met = F.filter(near, lambda e: (F.get(constant_strings(channel), e) == F.col("channel")) & F.contains(F.col("_title"), F.get(constant_strings(low), e)))
         numbers = [F.get(constant_strings(v).cast("array<int>"), F.col("_met")).alias(n) for v, n in ((position, "position"), (c, "c"), (k, "k"))]
