@@ -12,6 +12,7 @@ from tests.llm.conftest import EDGE, SMALL
 from tidemark.llm import ann_search, topk_search
 from tidemark.llm.ann_search import nearest
 from tidemark.llm.components import components
+from tidemark.llm import pieces
 from tidemark.llm.pieces import Model, decode, encode
 from tidemark.llm.preference_format import END, HEAD, NECK, format_preferences, neighbour_pairs
 from tidemark.llm.queries import PIECES
@@ -269,6 +270,25 @@ def test_one_row_of_repeated_ids_and_of_copies_without_id_stays(spark, make):
     assert got == [(0, "")] * 3 + [(0, "c"), (0, "d"), (1, "a"), (2, "b"), (5, "e")]
 
 
+def test_no_step_of_the_encoder_shuffles_all_texts(spark, make, small, monkeypatch):
+    """Documents are put together in slices, and shuffle files go after each; the session's settings come back."""
+    steps, own = [], pieces.keep
+
+    def keep(df, name, **how):
+        stored = own(df, name, **how)
+        steps.append((name, stored.count(), [spark.conf.get(x) for x in pieces.SETTINGS]))
+        return stored
+
+    monkeypatch.setattr(pieces, "keep", keep)
+    before = [spark.conf.get(x) for x in pieces.SETTINGS]
+    rows = [tuple(r) for r in small("documents").select("doc_id", "text", "lang", "source", "n_chars").limit(200).collect()]
+    assert encode(make(rows), PIECES, common=1).count() == len(rows)
+    counts = [n for name, n, _ in steps if name == "encoded"]
+    assert sum(counts) == len(rows) and max(counts) < len(rows) / 2
+    assert all(values == list(pieces.SETTINGS.values()) for _, _, values in steps)
+    assert [spark.conf.get(x) for x in pieces.SETTINGS] == before
+
+
 def test_the_last_stage_decodes_what_it_encodes(spark, make):
     import corpus_pipeline as pipeline
 
