@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,6 +356,57 @@ def test_keys_of_other_shapes_planted_in_the_given_texts(spark):
     assert sum(len(x - {keys.get(i)}) for i, x in found.items()) <= 0.05 * len(texts)
 
 
+def test_every_document_takes_part_in_the_fit(spark, monkeypatch, tmp_path):
+    """Each of 4,000 documents is learnt from in both passes, or else used for calibration; no row is left out of its document."""
+
+    def seen(name, own):
+        def wrapped(*given):
+            inner = own(*given)
+
+            def task(batches):
+                def counted():
+                    for batch in batches:
+                        (tmp_path / f"{name}-{uuid.uuid4().hex}").write_text(str(batch.num_rows))
+                        yield batch
+
+                yield from inner(counted())
+
+            return task
+
+        return wrapped
+
+    for name in ("_learner", "_measurer"):
+        monkeypatch.setattr(secret_scan, name, seen(name, getattr(secret_scan, name)))
+    monkeypatch.setattr(secret_scan, "SEEN", 1)
+    rows = [(i, f"some ordinary words number{i} password=k{i}x9y8z7w6 behind it") for i in range(4_000)]
+    network = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    learnt, held = (sum(int(f.read_text()) for f in tmp_path.glob(f"{name}-*")) for name in ("_learner", "_measurer"))
+    assert network is not None and 800 < held < 1_200 and learnt == 2 * (4_000 - held)
+
+    texts = pa.array([t for _, t in rows[:50]] + ["", "word", "anothers longestword password=abcdefgh1234 token=abcdefgh5678"])
+    for _, _, scan in secret_scan._scans(pa.RecordBatch.from_arrays([pa.array(range(53)), texts], ["doc_id", "text"])):
+        examples = secret_scan.Examples(scan)
+        assert len(examples.at) == (scan.kind != secret_scan.BESIDE).sum()
+        each = {}
+        for row, kind, weight in zip(scan.row[examples.at].tolist(), examples.kind.tolist(), examples.weight.tolist()):
+            each[row, kind] = each.get((row, kind), 0) + weight
+        assert all(w == pytest.approx(1) for w in each.values())
+
+
+def test_calibration_takes_all_margins(spark):
+    rng = np.random.default_rng(3)
+    z = np.concatenate([rng.normal(2, 1.5, 3_000), rng.normal(-2, 1.5, 3_000)]).astype(np.float32)
+    rows = [(i < 3_000, 1.0, float(x)) for i, x in enumerate(z)]
+    margins = spark.createDataFrame(rows, secret_scan.MARGINS)
+    network = secret_scan.Network()
+    secret_scan._calibrate(network, margins, 0.95)
+    p = 1 / (1 + np.exp(-(network.slope * z + network.shift)))
+    wanted = np.where(np.arange(len(z)) < 3_000, 3_001 / 3_002, 1 / 3_002)
+    assert abs((p - wanted).sum()) < 1 and abs(((p - wanted) * z).sum()) < 1
+    assert secret_scan._ranked(margins.where("positive").select("z"), 150) == np.sort(z[:3_000])[150]
+    assert network.threshold == pytest.approx(min(0.5, np.sort(p[:3_000])[150]), abs=1e-6)
+
+
 def test_look_ups_equal_the_convolution():
     rng, network = np.random.default_rng(10), secret_scan.Network()
     windows = rng.choice(secret_scan._CODES, (40, secret_scan.WIDTH)).astype(np.uint8)

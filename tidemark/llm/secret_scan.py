@@ -6,22 +6,24 @@ span. The network sees the characters
 around its start as small integers, and for a token longer than that window also those around its end
 (what lies further from both is not seen). Shorter tokens are no candidates.
 
-A first pass over the texts takes a bounded sample of candidates and of shorter words, with the base
-rules' spans as labels; a convolutional network is trained on it. Findings have few shapes (often one
+A convolutional network learns from every text, with the base rules' spans as labels: tasks take steps over their
+own documents, and after each round their networks are averaged. Of each kind of stretch (``FOUND`` to
+``WORD``) a document's rows weigh one together. Findings have few shapes (often one
 alphabet behind one announcing word), so they are varied as well: cuts and other cases of real ones, and runs drawn
 from other alphabets, with or without a short prefix, in the surroundings of ordinary words. Ordinary words are varied likewise into names,
-paths and numbers, as examples of what is no secret. The words that announce a secret are
+paths and numbers, as examples of what is no secret; every document with ordinary words adds one of each. The words that announce a secret are
 blanked in half of the examples, so that it has to look at the token too, and a candidate gets the best
-score of its looks. A candidate that the rules missed may well be a secret: such rows count little in a
-first fit, and those it takes for secrets are left out of the second. Outputs are calibrated on rows
-kept out of training, and the threshold is even odds, or less if that would not find the wanted share of the
-labelled and varied findings there. A second pass adds the candidates above it to the base spans. Training sees
-at most ``MOST_EXAMPLES`` rows of each kind; scoring covers every candidate.
+score of its looks. A candidate that the rules missed may well be a secret: such rows count little in the
+first pass over the table, and those that its network takes for secrets are left out of the second. A quarter of the
+documents is kept out of training; outputs are calibrated on all rows of these, and the threshold is even odds, or less if that would
+not find the wanted share of the labelled and varied findings there. A last pass adds the candidates above it to the base spans.
+Of equal tables split otherwise the networks differ, as their steps do.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, as_bytes, keep, mix, pick, pieces, small, word_table
+from tidemark.llm.shared import Words, as_bytes, keep, pick, pieces, small, word_table
 
 #: Fixed values of the base rules, in the order of the kinds.
 KINDS = ("assign", "access", "hex", "network")
@@ -48,8 +50,14 @@ WIDTH = BEFORE + AFTER
 FOUND, DIGITS, PLAIN, WORD, BESIDE = 1, 0, 2, -1, 3
 #: Kinds of examples made from those: varied findings, and ordinary words varied into names, paths and numbers.
 VARIED, NAME = 4, 5
-#: Most rows of each kind that a fit takes (a documented bound, chosen by hash).
-MOST_EXAMPLES = 1500
+#: Rounds of the first pass and of the second (or of a pass again): shares of the documents (of ``SHARES``, by hash). Early rounds are
+#: short, so that the networks of the tasks are averaged before they grow apart.
+SHARES, FIRST, SECOND = 64, ((0, 4), (4, 16), (16, 64)), ((0, 16), (16, 64))
+#: Documents of a step, and how many documents a pass should see: those of a smaller table come several times, up to
+#: ``MOST_FIRST`` and ``MOST_SECOND``, and up to ``IN_ROUND`` of these between two averages.
+STEP, SEEN, MOST_FIRST, MOST_SECOND, IN_ROUND = 16, 40_000, 12, 12, 2
+#: A row whose probability is this close to its label gives no gradient.
+FLAT = 0.02
 RECALL = 0.95
 
 #: Characters as symbols: 0 outside, letters without case, digits, then signs; capitals are a second input.
@@ -117,7 +125,8 @@ def _characters(body: bytes, places: list[int]) -> dict[int, int]:
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])
-EXAMPLES = "label int, place long, window binary"
+SUMS = "part int, value long, documents long"
+MARGINS = "positive boolean, weight double, z double"
 
 
 class Scan:
@@ -181,34 +190,6 @@ def _scans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Scan]]:
         yield first, last, Scan(body[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
 
 
-def _examples(most: int):
-    """Of each kind the ``most`` rows with the smallest hash in a task: what the smallest of all are picked from."""
-
-    def least(place: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        return np.lexsort((*windows.T[::-1], place))[:most] if len(place) > most else np.arange(len(place))
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {kind: (np.zeros(0, np.int64), np.zeros((0, WIDTH), np.uint8)) for kind in (FOUND, DIGITS, PLAIN, WORD)}
-        for batch in small(batches):
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for first, _, scan in _scans(batch):
-                own = scan.edges[scan.row]
-                place = (mix(mix(ids[first + scan.row]) + (scan.look - own).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-                for kind, (places, windows) in held.items():
-                    at = np.flatnonzero(scan.kind == kind)
-                    if len(places) >= most:
-                        at = at[place[at] <= places.max()]
-                    if len(at):
-                        places, windows = np.concatenate([places, place[at]]), np.concatenate([windows, scan.windows(at)])
-                        best = least(places, windows)
-                        held[kind] = places[best], windows[best]
-        for kind, (places, windows) in held.items():
-            if len(places):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), kind, np.int32)), pa.array(places), pa.array([w.tobytes() for w in windows], pa.binary())], ["label", "place", "window"])
-
-    return sample
-
-
 #: The window codes that occur, and the number of each.
 _CODES = np.unique(_SYMBOL + _CAPITAL)
 _CODES = np.concatenate([[0], _CODES[_CODES > 0]]).astype(np.int64)
@@ -296,6 +277,17 @@ class Network:
         }
         self.slope, self.shift, self.threshold = 1.0, 0.0, 2.0
 
+    def values(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.parts.values()])
+
+    def with_values(self, values: np.ndarray) -> Network:
+        """A network of the same form with other numbers in it."""
+        out, at = Network(), 0
+        for name, own in self.parts.items():
+            out.parts[name] = values[at : at + own.size].reshape(own.shape).copy()
+            at += own.size
+        return out
+
     def _inputs(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         symbol = windows & 63
         place = np.broadcast_to((np.arange(WIDTH) >= BEFORE).astype(float), windows.shape)
@@ -312,7 +304,7 @@ class Network:
         out = np.maximum(x @ self.parts["conv"] + self.parts["conv_bias"], 0)
         best = [out[:, a:b].argmax(axis=1) + a for a, b in zip(self.CUTS, self.CUTS[1:])]
         pooled = np.concatenate([np.take_along_axis(out, b[:, None, :], 1)[:, 0] for b in best], axis=1)
-        return symbol, x, best, pooled, pooled @ self.parts["dense"] + self.parts["dense_bias"][0]
+        return symbol, x, best, pooled, np.einsum("ij,j->i", pooled, self.parts["dense"]) + self.parts["dense_bias"][0]
 
     def _tables(self) -> tuple:
         """The first convolution as look-ups: what two, two and one neighbouring codes add, and what the place does."""
@@ -358,87 +350,236 @@ class Network:
             out.append(np.maximum(*[np.maximum(np.concatenate(look, axis=1), 0) @ dense for look in looks]) + self.parts["dense_bias"][0])
         return np.concatenate(out)
 
+    def look(self, windows: np.ndarray) -> np.ndarray:
+        """The margin of the windows as they are, by the same look-ups."""
+        first, second, last, place = self._tables()
+        count, n, out = np.int32(len(_CODES)), WIDTH - self.REACH + 1, [np.zeros(0)]
+        for i in range(0, len(windows), 256):
+            codes = _CODE_OF[windows[i : i + 256]]
+            pair = codes[:, :-1] * count + codes[:, 1:]
+            seen = first.take(pair[:, :n], axis=0)
+            seen += second.take(pair[:, 2 : n + 2], axis=0)
+            seen += last.take(codes[:, 4:], axis=0)
+            seen += place
+            best = np.concatenate([seen[:, a:b].max(axis=1) for a, b in zip(self.CUTS, self.CUTS[1:])], axis=1)
+            out.append(np.einsum("ij,j->i", np.maximum(best, 0), self.parts["dense"]) + self.parts["dense_bias"][0])
+        return np.concatenate(out)
+
     def probability(self, windows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(windows) + self.shift, -30, 30)))
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 12, rate: float = 0.01, seed: int = 8) -> None:
-        rng = np.random.default_rng(seed)
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.parts.items()}
-        step, f, e = 0, self.FILTERS, self.SIZE
+        rng, state = np.random.default_rng(seed), Descent(self, rate)
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for i in range(0, len(order), 128):
                 at = order[i : i + 128]
-                shown = windows[at].copy()
-                shown[np.ix_(rng.random(len(at)) < 0.5, np.arange(BEFORE))] = 0
-                symbol, x, best, pooled, z = self._forward(shown)
-                dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[at]) / len(at)
-                dz *= 1.0 if weights is None else weights[at]
-                grad = {"dense": pooled.T @ dz, "dense_bias": np.array([dz.sum()])}
-                dout = np.zeros((len(at), x.shape[1], f))
-                dpool = dz[:, None] * self.parts["dense"][None, :] * (pooled > 0)
-                for part, b in enumerate(best):
-                    np.put_along_axis(dout, b[:, None, :], dpool[:, None, part * f : (part + 1) * f], 1)
-                grad["conv"] = np.tensordot(x, dout, ([0, 1], [0, 1]))
-                grad["conv_bias"] = dout.sum((0, 1))
-                dx = (dout @ self.parts["conv"].T).reshape(len(at), x.shape[1], self.REACH, e + 2)[..., :e]
-                grad["symbols"] = np.zeros_like(self.parts["symbols"])
-                for r in range(self.REACH):
-                    np.add.at(grad["symbols"], symbol[:, r : r + x.shape[1]], dx[:, :, r])
-                step += 1
-                for k, g in grad.items():
-                    m, v = moments[k]
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    self.parts[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-
-    def calibrate(self, windows: np.ndarray, labels: np.ndarray, recall: float) -> None:
-        """Platt's line through the margins, then a threshold that keeps the wanted recall."""
-        z = self.margin(windows)
-        spread = z.std() or 1.0
-        a, b = 1.0 / spread, 0.0
-        for _ in range(200):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            a -= 0.5 / spread * ((p - labels) * z / spread).mean()
-            b -= 0.5 * (p - labels).mean()
-        self.slope, self.shift = a, b
-        found = np.sort(self.probability(windows[labels == 1]))
+                state.step(half_blanked(windows[at], rng), labels[at], (1.0 if weights is None else weights[at]) / len(at))
+
+
+def half_blanked(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The windows, half of them without the characters before the token."""
+    shown = windows.copy()
+    shown[np.ix_(rng.random(len(shown)) < 0.5, np.arange(BEFORE))] = 0
+    return shown
+
+
+class Descent:
+    """Steps of a network along its gradient, with moments (Adam)."""
+
+    def __init__(self, network: Network, rate: float) -> None:
+        self.network, self.rate, self.count = network, rate, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.parts.items()}
+
+    def step(self, shown: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        network, f, e = self.network, Network.FILTERS, Network.SIZE
+        symbol, x, best, pooled, z = network._forward(shown)
+        dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weights
+        # Products of one window each, and none of BLAS beyond them, start no threads beside the other tasks.
+        grad = {"dense": np.einsum("ij,i->j", pooled, dz), "dense_bias": np.array([dz.sum()])}
+        dout = np.zeros((len(shown), x.shape[1], f))
+        dpool = dz[:, None] * network.parts["dense"][None, :] * (pooled > 0)
+        for part, b in enumerate(best):
+            np.put_along_axis(dout, b[:, None, :], dpool[:, None, part * f : (part + 1) * f], 1)
+        grad["conv"] = np.matmul(x.transpose(0, 2, 1), dout).sum(0)
+        grad["conv_bias"] = dout.sum((0, 1))
+        dx = (dout @ network.parts["conv"].T).reshape(len(shown), x.shape[1], Network.REACH, e + 2)[..., :e]
+        grad["symbols"] = np.zeros_like(network.parts["symbols"])
+        for r in range(Network.REACH):
+            flat, each = symbol[:, r : r + x.shape[1]].ravel(), dx[:, :, r].reshape(-1, e)
+            for j in range(e):
+                grad["symbols"][:, j] += np.bincount(flat, each[:, j], SYMBOLS)
+        self.count += 1
+        for k, g in grad.items():
+            m, v = self.moments[k]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            network.parts[k] -= self.rate * (m / (1 - 0.9**self.count)) / (np.sqrt(v / (1 - 0.999**self.count)) + 1e-8)
+
+
+class Examples:
+    """All rows of a scan to learn from, by document: its stretches, one varied finding and one varied name."""
+
+    def __init__(self, scan: Scan) -> None:
+        self.scan = scan
+        at = np.flatnonzero(scan.kind != BESIDE)
+        self.at = at[np.argsort(scan.row[at], kind="stable")]
+        row, kind = scan.row[self.at], scan.kind[self.at]
+        _, group, sizes = np.unique(row * 8 + kind + 1, return_inverse=True, return_counts=True)
+        self.weight, self.kind = 1.0 / sizes[group], kind
+        self.rows, self.first = np.unique(row, return_index=True)
+        self.first = np.append(self.first, len(row))
+        # A shorter word and a longer one of each document are what is varied.
+        usual = np.flatnonzero((kind == PLAIN) | (kind == WORD))
+        _, some = np.unique(row[usual] * 2 + (kind[usual] == WORD), return_index=True)
+        usual = usual[some]
+        self.varied = self.named = np.zeros((0, WIDTH), np.uint8)
+        if len(usual):
+            draw = Variations(scan.windows(self.at[usual]), scan.windows(self.at[kind == FOUND]), zlib.crc32(scan.raw))
+            n = len(np.unique(row[usual]))
+            self.varied, self.named = (np.array([one() for _ in range(n)]) for one in (draw.finding, draw.ordinary_name))
+
+    def of(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(windows, kinds, weights) of the documents from ``low`` to ``high``, of those with rows."""
+        part = slice(self.first[low], self.first[min(high, len(self.rows))])
+        varied, named = self.varied[low:high], self.named[low:high]
+        windows = np.concatenate([self.scan.windows(self.at[part]), varied, named])
+        kinds = np.concatenate([self.kind[part], np.full(len(varied), VARIED), np.full(len(named), NAME)])
+        return windows, kinds, np.concatenate([self.weight[part], np.ones(len(varied) + len(named))])
+
+
+def _learner(begin: Network, first_pass: Network | None, turns: int, rate: float):
+    """Sums over tasks of the network's numbers (in 2^-24, times documents) after steps over all rows; parts -1 and -2 count findings and other rows."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, documents, counts = begin.with_values(begin.values()), 0, [0, 0]
+        state = Descent(network, rate)
+        for batch in small(batches):
+            for _, _, scan in _scans(batch):
+                examples = Examples(scan)
+                rng = np.random.default_rng(zlib.crc32(scan.raw))
+                documents += len(examples.rows)
+                counts[0] += int((examples.kind == FOUND).sum())
+                counts[1] += int((examples.kind != FOUND).sum())
+                steps = range(0, len(examples.rows), STEP)
+                for low in (low for _ in range(turns) for low in rng.permutation(steps).tolist()):
+                    windows, kinds, weights = examples.of(low, low + STEP)
+                    unsure, labels = (kinds == DIGITS) | (kinds == PLAIN), ((kinds == FOUND) | (kinds == VARIED)).astype(float)
+                    if first_pass is None:
+                        weights = np.where(unsure, 0.1, 1.0) * weights
+                    shown = half_blanked(windows, rng)
+                    error = np.abs(1 / (1 + np.exp(-np.clip(network.look(shown), -30, 30))) - labels)
+                    use = error > FLAT
+                    if first_pass is not None:
+                        asked = np.flatnonzero(use & unsure)
+                        use[asked[first_pass.margin(windows[asked]) >= 0]] = False
+                    if use.any():
+                        state.step(shown[use], labels[use], weights[use] / weights.sum())
+        if documents:
+            values = np.round(network.values() * (1 << 24)).astype(np.int64) * documents
+            part = np.concatenate([np.arange(len(values)), [-1, -2]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.concatenate([values, counts])), pa.array(np.full(len(part), documents))], ["part", "value", "documents"])
+
+    return learn
+
+
+def _measurer(network: Network, first_pass: Network):
+    """(positive, weight, z) of all rows, but unsure ones that the first pass and the network take for secrets."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            for _, _, scan in _scans(batch):
+                examples = Examples(scan)
+                for low in range(0, len(examples.rows), 8 * STEP):
+                    windows, kinds, weights = examples.of(low, low + 8 * STEP)
+                    z = network.margin(windows)
+                    unsure = ((kinds == DIGITS) | (kinds == PLAIN)) & (1 / (1 + np.exp(-np.clip(z, -30, 30))) > FLAT)
+                    clear, asked = np.ones(len(z), bool), np.flatnonzero(unsure)
+                    clear[asked[first_pass.margin(windows[asked]) >= 0]] = False
+                    positive = (kinds == FOUND) | (kinds == VARIED)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[clear]) for x in (positive, weights, z)], ["positive", "weight", "z"])
+
+    return measure
+
+
+def _calibrate(network: Network, margins: DataFrame, recall: float) -> None:
+    """Platt's line through all margins by Newton's steps, then a threshold that keeps the wanted recall."""
+    sides = {r["positive"]: (r["n"], r["w"]) for r in margins.groupBy("positive").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    n, above = sides.get(True, (0, 0.0))
+    target = F.when(F.col("positive"), (above + 1) / (above + 2)).otherwise(1 / (sides.get(False, (0, 0.0))[1] + 2))
+
+    def sums(a: float, b: float) -> list[float]:
+        line = F.col("z") * a + b
+        p = 1 / (1 + F.exp(-line))
+        # log(1 + e^line) - target * line, without overflow
+        loss = F.greatest(line, F.lit(0.0)) + F.log1p(F.exp(-F.abs(line))) - target * line
+        off, bend = p - target, p * (1 - p)
+        return list(margins.agg(*[F.sum(F.col("weight") * x) for x in (loss, off * F.col("z"), off, bend * F.col("z") ** 2, bend * F.col("z"), bend)]).first())
+
+    line, least = np.array([1.0, 0.0]), None
+    move = np.zeros(2)
+    for _ in range(20):
+        loss, *rest = sums(*(line + move).tolist())
+        if least is not None and loss > least:
+            move = move / 2
+            continue
+        done = least is not None and least - loss <= 1e-6 * least
+        line, least = line + move, loss
+        if done:
+            break
+        ga, gb, aa, ab, bb = rest
+        move = -np.linalg.solve(np.array([[aa, ab], [ab, bb]]) + 1e-9 * (1 + aa + bb) * np.eye(2), [ga, gb])
+    network.slope, network.shift = line.tolist()
+    if n:
         # Even odds, or lower where that would miss more of the labelled findings than allowed.
-        self.threshold = min(0.5, float(found[int(np.floor((1 - recall) * len(found)))])) if len(found) else 2.0
-
-
-def train(rows: DataFrame, most: int = MOST_EXAMPLES, recall: float = RECALL) -> Network | None:
-    """Fit on at most ``most`` rows of each kind of (doc_id, text) rows; None where the rules find nothing in them."""
-    examples = keep(rows.mapInArrow(_examples(most), EXAMPLES), "examples")
-    picked = []
-    for kind in (FOUND, DIGITS, PLAIN, WORD):
-        picked += [(kind, bytes(r["window"])) for r in examples.where(F.col("label") == kind).orderBy("place", "window").limit(most).collect()]
-    if not any(kind == FOUND for kind, _ in picked) or all(kind == FOUND for kind, _ in picked):
+        cut = _ranked(margins.where("positive").select("z"), int(np.floor((1 - recall) * n)))
+        network.threshold = min(0.5, float(1 / (1 + np.exp(-np.clip(network.slope * cut + network.shift, -30, 30)))))
+
+
+def _ranked(values: DataFrame, rank: int) -> float:
+    """The value ``z`` at a place (from 0) in their order, to 2^-24, by counts in ever smaller bins."""
+    for scale in (1 << 4, 1 << 14, 1 << 24):
+        place = F.floor(F.col("z") * scale)
+        for at, count in sorted(tuple(r) for r in values.groupBy(place.alias("at")).count().collect()):
+            if rank < count:
+                break
+            rank -= count
+        values = values.where(place == at)
+    return float(values.agg(F.min("z")).first()[0])
+
+
+def train(rows: DataFrame, recall: float = RECALL) -> Network | None:
+    """Fit on all (doc_id, text) rows; None where the rules find nothing in them, or nothing else is there."""
+    total = rows.count()
+    if not total:
+        return None
+    turns = max(1, round(SEEN / total))
+    rounds = []
+    for most, second in ((MOST_FIRST, False), (MOST_SECOND, True)):
+        often = min(turns, most)
+        for cycle in range(-(-often // IN_ROUND)):
+            rounds += [(*part, min(often, IN_ROUND), second) for part in (SECOND if second or cycle else FIRST)]
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * SHARES))
+    held, share = F.pmod(slot, F.lit(4)) == 0, F.floor(slot / 4)
+    if total < 4 * SHARES:  # too few to keep some out, or to go by shares
+        held, share = F.lit(True), F.lit(SHARES - 1)
+    network, first_pass, counts = Network(), None, np.zeros(2)
+    for number, (low, high, often, second) in enumerate(rounds):
+        if second and first_pass is None:
+            first_pass = network
+        some = rows.where(share.between(low, high - 1))
+        if total >= 4 * SHARES:
+            some = some.where(~held)
+        learn = _learner(network, first_pass, often, 0.003 if number == len(rounds) - 1 else 0.01)
+        sums = some.mapInArrow(learn, SUMS).groupBy("part").agg(F.sum("value").alias("value"), F.sum("documents").alias("documents")).orderBy("part").collect()
+        if sums:
+            if not second:
+                counts += [sums[1]["value"], sums[0]["value"]]
+            network = network.with_values(np.array([r["value"] / r["documents"] / (1 << 24) for r in sums[2:]]))
+    margins = keep(rows.where(held).mapInArrow(_measurer(network, first_pass), MARGINS), "margins")
+    if not counts.all():
         return None
-    return fit_network(picked, recall)
-
-
-def fit_network(picked: list[tuple[int, bytes]], recall: float = RECALL) -> Network:
-    """The network of (kind, window) examples; varied findings and varied names join them, at most ``MOST_EXAMPLES`` of each."""
-    windows = np.frombuffer(b"".join(w for _, w in picked), dtype=np.uint8).reshape(-1, WIDTH)
-    kinds = np.array([kind for kind, _ in picked])
-    ordinary = windows[(kinds == PLAIN) | (kinds == WORD)]
-    if len(ordinary):
-        draw, some = Variations(ordinary, windows[kinds == FOUND]), min(len(ordinary), MOST_EXAMPLES)
-        windows = np.concatenate([windows, [draw.finding() for _ in range(some)], [draw.ordinary_name() for _ in range(some)]])
-        kinds = np.concatenate([kinds, np.full(some, VARIED), np.full(some, NAME)])
-    labels = ((kinds == FOUND) | (kinds == VARIED)).astype(float)
-    held = np.zeros(len(labels), bool)
-    held[::4] = len(labels) >= 8
-    network = Network()
-    unsure = (kinds == DIGITS) | (kinds == PLAIN)
-    network.fit(windows[~held], labels[~held], np.where(unsure, 0.1, 1.0)[~held], epochs=6)
-    clear = ~unsure | (network.probability(windows) < 0.5)
-    windows, labels, held, kinds = windows[clear], labels[clear], held[clear], kinds[clear]
-    network = Network()
-    network.fit(windows[~held], labels[~held])
-    seen = held if held.any() else np.ones(len(labels), bool)
-    network.calibrate(windows[seen], labels[seen], recall)
+    _calibrate(network, margins, recall)
     return network
 
 
@@ -484,8 +625,8 @@ def find_secrets(docs: DataFrame, recall: float = RECALL, id_column: str = "doc_
 
     A null text counts as empty and has no spans; repeated rows and rows without id are scanned like
     all others and returned as often as given. Other columns are ignored. Where the base rules find
-    nothing in the whole table there is nothing to learn from, and no span is added. Texts are read
-    twice (once for training) and never shuffled.
+    nothing in the documents to learn from, no span is added. Texts are read for the count, for every round of
+    training (a share each), for calibration (a quarter) and for the scan, and never shuffled.
     """
     rows = _rows(docs, id_column, text_column)
     return rows.mapInArrow(_scorer(train(rows, recall=recall)), SPANS)
@@ -500,7 +641,7 @@ def joined_spans(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The same rows and columns with every secret in the text replaced; overlapping spans become one mark.
 
-    Texts are read twice (once for training, once to write) and never shuffled.
+    Texts are read for training, as in ``find_secrets``, and once to write, and never shuffled.
     """
     network = train(_rows(docs, id_column, text_column))
     place = docs.columns.index(text_column)
