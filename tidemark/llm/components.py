@@ -14,6 +14,12 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return pairs.join(lows, "u")
 
 
+def _tangled(pairs: DataFrame) -> bool:
+    """Whether pairs (u, v), v the smaller, are no stars yet: some u has several v or is one itself."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in ``links`` (a, b longs): component is the smallest node reachable.
 
@@ -21,16 +27,11 @@ def components(links: DataFrame) -> DataFrame:
     chain. Null ends and self links add nothing; an empty table gives an empty result.
     """
     now = keep(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    while True:
+    while _tangled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = large.union(now).where("u != v").distinct()
         small = _smallest(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         pairs = small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v")))
         now = keep(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
-        if mark == before:
-            break
-        before = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

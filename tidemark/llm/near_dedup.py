@@ -308,37 +308,46 @@ def near_duplicates(
     links = keep(_linked(pairs, sets, percent), "links1")
     joined = keep(components(links), "joined")
 
-    def open_lists(parts: DataFrame, name: str) -> DataFrame:
+    # Members of lists, known where their full set is at hand.
+    members = keep(active.select("pair", "node", "n").join(sets.select("node", F.lit(True).alias("known")), "node", "left"), "members")
+
+    def open_lists(parts: DataFrame) -> DataFrame:
         """Members of lists that hold several components, each list with its largest component."""
-        placed = active.select("pair", "node", "n").join(parts, "node", "left").select("pair", "node", "n", F.coalesce("component", "node").alias("component"))
+        placed = members.join(parts, "node", "left").select("pair", "node", "n", "known", F.coalesce("component", "node").alias("component"))
         counted = placed.groupBy("pair", "component").agg(F.count("*").alias("size"))
         mixed = counted.groupBy("pair").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        return keep(placed.join(mixed.select("pair", F.col("main.component").alias("main")), "pair"), name)
+        return keep(placed.join(mixed.select("pair", F.col("main.component").alias("main")), "pair"), "open")
+
+    def join_more(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after further links: what is joined already goes in as stars."""
+        return keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "joined")
 
     # Further turns: members outside the largest component of their lists meet one member of it per
     # list, another one each turn, and the best of them is tried. So large groups grow together by as
     # many pairs as they have members.
-    have = sets.select("node")
+    still = open_lists(joined)
     for turn in range(EARLY_TURNS):
-        still = open_lists(joined, f"open{turn}")
-        partner = still.where("component = main").groupBy("pair").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n")).alias("p"))
-        asked = still.where("component != main").join(partner, "pair").where(_similar_sizes(F.col("n"), F.col("p.n"), percent))
+        partner = still.where("component = main").groupBy("pair").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "known")).alias("p"))
+        asked = still.where("component != main and known").join(partner.where("p.known"), "pair").where(_similar_sizes(F.col("n"), F.col("p.n"), percent))
         asked = asked.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
-        asked = asked.join(have.withColumnRenamed("node", "a"), "a", "left_semi").join(have.withColumnRenamed("node", "b"), "b", "left_semi")
         best = close(asked).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b")
-        links = keep(links.union(_linked(best, sets, percent)), f"early{turn}")
-        joined = keep(components(links), "joined")
+        links = keep(_linked(best, sets, percent), f"early{turn}")
+        if not links.isEmpty():
+            joined = join_more(joined, links)
+            still = open_lists(joined)
 
     # Round two settles what is left in lists that still hold several components. Members outside a
     # list's largest component are attached to it, and compared inside a cell with it and each other.
     # Cells are cut into blocks; pairs never become rows: a first pass over signatures names the classes
     # with a partner in reach, a second one over their full sets gives one link per component met.
-    cells = _cells(open_lists(joined, "open"), classes)
-    near = keep(cells.mapInArrow(_near(percent), _CELL), "near")
-    sets = sets.union(sets_of(near.select(F.col("node").alias("a"), F.col("node").alias("b")), "sets2", sets))
-    solved = _gathered(near.join(sets, "node").select("cell", "i", "j", "role", "node", "part", "shingles")).mapInArrow(_solve(percent), "a long, b long")
-    links = links.union(keep(solved.distinct(), "links2"))
-    whole = keep(components(links), "whole")
+    near = keep(_cells(still, classes).mapInArrow(_near(percent), _CELL), "near")
+    whole = joined
+    if not near.isEmpty():
+        sets = sets.union(sets_of(near.select(F.col("node").alias("a"), F.col("node").alias("b")), "sets2", sets))
+        solved = _gathered(near.join(sets, "node").select("cell", "i", "j", "role", "node", "part", "shingles")).mapInArrow(_solve(percent), "a long, b long")
+        links = keep(solved.distinct(), "links2")
+        if not links.isEmpty():
+            whole = join_more(joined, links)
 
     named = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count("*").alias("parts"), F.sum("copies").alias("copies"))
