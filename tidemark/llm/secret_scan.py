@@ -56,6 +56,8 @@ SHARES, FIRST, SECOND = 64, ((0, 4), (4, 16), (16, 64)), ((0, 16), (16, 64))
 #: Documents of a step, and how many documents a pass should see: those of a smaller table come several times, up to
 #: ``MOST_FIRST`` and ``MOST_SECOND``, and up to ``IN_ROUND`` of these between two averages.
 STEP, SEEN, MOST_FIRST, MOST_SECOND, IN_ROUND = 16, 40_000, 12, 12, 2
+#: Windows whose answers are held at once, so that they stay in a core's cache.
+HELD = 64
 #: A row whose probability is this close to its label gives no gradient.
 FLAT = 0.02
 RECALL = 0.95
@@ -77,6 +79,7 @@ for _code in range(256):
 SYMBOLS = 40
 _CAPITAL = np.zeros(256, dtype=np.uint8)
 _CAPITAL[ord("A") : ord("Z") + 1] = 64
+_LOOKS = _SYMBOL + _CAPITAL
 
 
 def base_spans(body: bytes, text: str | None = None) -> list[tuple[int, int, int, int]]:
@@ -97,12 +100,13 @@ def base_spans(body: bytes, text: str | None = None) -> list[tuple[int, int, int
     return found
 
 
-def _windows(body: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Symbols from ``BEFORE`` bytes before each start to ``AFTER`` after it, 0 outside the document."""
-    at = starts[:, None] + np.arange(-BEFORE, AFTER)
-    inside = (at >= low[:, None]) & (at < high[:, None])
-    codes = body[np.where(inside, at, 0)] if len(body) else np.zeros(at.shape, np.uint8)
-    return np.where(inside, _SYMBOL[codes] + _CAPITAL[codes], 0).astype(np.uint8)
+def _windows(codes: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Symbols from ``BEFORE`` bytes before each start to ``AFTER`` after it, 0 outside the document; ``codes`` has as many zeros around."""
+    windows = np.lib.stride_tricks.sliding_window_view(codes, WIDTH)[starts]
+    edge = np.flatnonzero((starts - BEFORE < low) | (starts + AFTER > high))
+    at = starts[edge, None] + np.arange(-BEFORE, AFTER)
+    windows[edge] *= (at >= low[edge, None]) & (at < high[edge, None])
+    return windows
 
 
 def _overlaps(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -138,6 +142,7 @@ class Scan:
 
     def __init__(self, part: np.ndarray, edges: np.ndarray) -> None:
         self.part, self.edges, self.raw = part, edges, part.tobytes()
+        self.codes = np.concatenate([np.zeros(BEFORE, np.uint8), _LOOKS[part], np.zeros(AFTER, np.uint8)])
         hexes, tokens = Words(part, edges, _HEX), Words(part, edges, _TOKEN)
         self.spans: dict[int, list] = {}
         for k in np.flatnonzero(hexes.ends - hexes.starts >= LEAST_HEX).tolist():
@@ -181,7 +186,7 @@ class Scan:
 
     def windows(self, at: np.ndarray) -> np.ndarray:
         row = self.row[at]
-        return _windows(self.part, self.look[at], self.edges[row], self.edges[row + 1])
+        return _windows(self.codes, self.look[at], self.edges[row], self.edges[row + 1])
 
 
 def _scans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Scan]]:
@@ -204,8 +209,18 @@ SHORTEST_VARIED, LONGEST_VARIED = 16, 48
 
 
 def _codes(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    return _SYMBOL[raw] + _CAPITAL[raw]
+    return _LOOKS[np.frombuffer(text.encode(), dtype=np.uint8)]
+
+
+#: The codes of what variations draw from.
+_ALPHABET_CODES = [_codes(a) for a in ALPHABETS]
+_LOWER_CODES, _TEN_CODES, _SPACE_CODE = _codes(_LOWERS), _codes(_TENS), _codes(" ")
+_JOIN_CODES = [_codes(c) for c in "_-/"]
+_NO_CODES = np.zeros(0, np.uint8)
+
+
+def _drawn(rng: np.random.Generator, codes: np.ndarray, size: int) -> np.ndarray:
+    return codes[rng.integers(0, len(codes), size)]
 
 
 class Variations:
@@ -226,8 +241,7 @@ class Variations:
     def _placed(self, token: np.ndarray) -> np.ndarray:
         """The token in a window, between what stands before two ordinary tokens."""
         before, after, more = self.ordinary[self.rng.integers(0, len(self.ordinary), 3)]
-        tail = np.concatenate([token, _codes(" "), after[:BEFORE], more[:BEFORE]])
-        return np.concatenate([before[:BEFORE], tail[:AFTER], np.zeros(max(0, AFTER - len(tail)), np.uint8)]).astype(np.uint8)
+        return np.concatenate([before[:BEFORE], token, _SPACE_CODE, after[:BEFORE], more[:BEFORE]])[:WIDTH]
 
     def finding(self) -> np.ndarray:
         """In half of the cases a cut of a real finding, in its own case or another; else drawn from an alphabet."""
@@ -240,22 +254,22 @@ class Variations:
             # Letters alone keep their case: in one case they would be told from words by nothing but rarity.
             looks = (cut, np.where(letter, cut | 64, cut), np.where(letter, cut & 63, cut))
             return self._placed(looks[0 if letter.all() else rng.integers(3)].astype(np.uint8))
-        alphabet = np.array(list(ALPHABETS[rng.integers(len(ALPHABETS))]))
-        token = "".join(rng.choice(alphabet, rng.integers(SHORTEST_VARIED, LONGEST_VARIED + 1)))
+        alphabet = _ALPHABET_CODES[rng.integers(len(ALPHABETS))]
+        token = _drawn(rng, alphabet, rng.integers(SHORTEST_VARIED, LONGEST_VARIED + 1))
         if rng.random() < 0.25:
-            token = "".join(rng.choice(list(_LOWERS), rng.integers(2, 5))) + str(rng.choice(["_", "-"])) + token
-        return self._placed(_codes(token))
+            token = np.concatenate([_drawn(rng, _LOWER_CODES, rng.integers(2, 5)), _JOIN_CODES[rng.integers(2)], token])
+        return self._placed(token)
 
     def ordinary_name(self) -> np.ndarray:
         rng = self.rng
         kind = rng.integers(6)
-        number = _codes("".join(rng.choice(list(_TENS), rng.integers(1, 5) if kind else rng.integers(8, 25))))
+        number = _drawn(rng, _TEN_CODES, rng.integers(1, 5) if kind else rng.integers(8, 25))
         if kind == 0 or not self.words:
             return self._placed(number)
         words = [self.words[i] for i in rng.integers(0, len(self.words), rng.integers(1, 5))]
         if kind in (1, 2):
             words = [np.concatenate([w[:1] | 64, w[1:] | (64 if kind == 2 else 0)]) for w in words]
-        between = _codes(str(rng.choice(["_", "-", "/"]))) if kind > 1 else np.zeros(0, np.uint8)
+        between = _JOIN_CODES[rng.integers(3)] if kind > 1 else _NO_CODES
         token = np.concatenate([x for w in words for x in (w, between)][: 2 * len(words) - 1])
         return self._placed(np.concatenate([token, number]) if kind in (1, 3, 5) else token)
 
@@ -321,47 +335,51 @@ class Network:
         first, second, last, place = self._tables()
         dense, count = self.parts["dense"], np.int32(len(_CODES))
 
+        # Places come first, so that the largest answers are taken over whole rows of windows and filters.
         def answers(codes: np.ndarray, low: int) -> np.ndarray:
-            pair = codes[:, :-1] * count + codes[:, 1:]
-            n = codes.shape[1] - self.REACH + 1
-            out = first.take(pair[:, :n], axis=0)
-            out += second.take(pair[:, 2 : n + 2], axis=0)
-            out += last.take(codes[:, 4:], axis=0)
-            out += place[low : low + n]
+            pair = codes[:-1] * count + codes[1:]
+            n = len(codes) - self.REACH + 1
+            out = first.take(pair[:n], axis=0)
+            out += second.take(pair[2 : n + 2], axis=0)
+            out += last.take(codes[4:], axis=0)
+            out += place[low : low + n, None]
             return out
 
-        # Without the characters before it, a window differs only up to the last place that reaches back.
-        reach = BEFORE - self.REACH + 1
-        blank = answers(np.zeros((1, BEFORE), np.int32), 0).max(axis=1)
-        out = [np.zeros(0)]
-        for i in range(0, len(windows), 256):
-            codes = _CODE_OF[windows[i : i + 256]]
+        def pooled(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             seen = answers(codes, 0)
-            edge = codes[:, reach : BEFORE + self.REACH - 1].copy()
-            edge[:, : BEFORE - reach] = 0
+            edge = codes[reach : BEFORE + self.REACH - 1].copy()
+            edge[: BEFORE - reach] = 0
             alone = answers(edge, reach)
             low, middle = self.CUTS[1], self.CUTS[2]
-            rest = seen[:, middle:].max(axis=1)
-            near = seen[:, BEFORE:middle].max(axis=1)
-            looks = (
-                (seen[:, :low].max(axis=1), np.maximum(near, seen[:, low:BEFORE].max(axis=1)), rest),
-                (np.maximum(blank, alone[:, : low - reach].max(axis=1)), np.maximum(near, alone[:, low - reach :].max(axis=1)), rest),
+            rest = seen[middle:].max(axis=0)
+            near = seen[BEFORE:middle].max(axis=0)
+            return (
+                np.concatenate([seen[:low].max(axis=0), np.maximum(near, seen[low:BEFORE].max(axis=0)), rest], axis=1),
+                np.concatenate([np.maximum(blank, alone[: low - reach].max(axis=0)), np.maximum(near, alone[low - reach :].max(axis=0)), rest], axis=1),
             )
-            out.append(np.maximum(*[np.maximum(np.concatenate(look, axis=1), 0) @ dense for look in looks]) + self.parts["dense_bias"][0])
+
+        # Without the characters before it, a window differs only up to the last place that reaches back.
+        reach = BEFORE - self.REACH + 1
+        blank = answers(np.zeros((BEFORE, 1), np.int32), 0).max(axis=0)
+        out = [np.zeros(0)]
+        for i in range(0, len(windows), 256):
+            codes = _CODE_OF[windows[i : i + 256].T]
+            looks = zip(*[pooled(codes[:, k : k + HELD]) for k in range(0, codes.shape[1], HELD)])
+            out.append(np.maximum(*[np.maximum(np.concatenate(look), 0) @ dense for look in looks]) + self.parts["dense_bias"][0])
         return np.concatenate(out)
 
     def look(self, windows: np.ndarray) -> np.ndarray:
         """The margin of the windows as they are, by the same look-ups."""
         first, second, last, place = self._tables()
         count, n, out = np.int32(len(_CODES)), WIDTH - self.REACH + 1, [np.zeros(0)]
-        for i in range(0, len(windows), 256):
-            codes = _CODE_OF[windows[i : i + 256]]
-            pair = codes[:, :-1] * count + codes[:, 1:]
-            seen = first.take(pair[:, :n], axis=0)
-            seen += second.take(pair[:, 2 : n + 2], axis=0)
-            seen += last.take(codes[:, 4:], axis=0)
-            seen += place
-            best = np.concatenate([seen[:, a:b].max(axis=1) for a, b in zip(self.CUTS, self.CUTS[1:])], axis=1)
+        for i in range(0, len(windows), HELD):
+            codes = _CODE_OF[windows[i : i + HELD].T]
+            pair = codes[:-1] * count + codes[1:]
+            seen = first.take(pair[:n], axis=0)
+            seen += second.take(pair[2 : n + 2], axis=0)
+            seen += last.take(codes[4:], axis=0)
+            seen += place[:, None]
+            best = np.concatenate([seen[a:b].max(axis=0) for a, b in zip(self.CUTS, self.CUTS[1:])], axis=1)
             out.append(np.einsum("ij,j->i", np.maximum(best, 0), self.parts["dense"]) + self.parts["dense_bias"][0])
         return np.concatenate(out)
 
