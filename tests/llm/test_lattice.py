@@ -13,11 +13,14 @@ def test_frequent_units_from_a_table_in_parts():
     model = pieces.Model(PIECES)
     units = [f"▁unit{k}" for k in range(50)] + ["é"]
     ids = [[k, k + 1, k + 2][: 1 + k % 3] for k in range(50)] + [[-1]]
-    table = pa.table({"unit": units, "ids": pa.array(ids, pa.list_(pa.int32()))})
-    plain, parts = pieces.Common(model, units, ids), pieces.Common.of(model, table, rows=7)
+    units[7], ids[7] = "▁unité", [next(i for p, i, _ in model.normal if p == "▁unit"), -1]
+    columns = pa.array(units + units[:3]), pa.array(ids + ids[:3], pa.list_(pa.int32()))
+    plain, parts = pieces.Common(model, units, ids), pieces.Common.of(model, *columns, rows=7)
     for name in ("hashes", "ends", "ids"):
         assert getattr(plain, name).tolist() == getattr(parts, name).tolist()
-    assert len(pieces.Common.of(model, table[:0]).hashes) == 0
+    assert len(pieces.Common.of(model, *[c[:0] for c in columns]).hashes) == 0
+    asked = np.concatenate([plain.hashes[::-1], plain.hashes[:5] + np.uint64(1)])
+    assert pieces._lookup(parts, asked).tolist() == [*range(50, -1, -1), *[-1] * 5]
 
 
 def test_best_paths_equal_a_plain_fold():
