@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import NOT_SPACE, U64, Words, as_bytes, keep, mix, pick, pieces, rolling, seeds, small
+from tidemark.llm.shared import NOT_SPACE, STEPWISE, U64, Words, as_bytes, keep, mix, pick, pieces, rolling, seeds, settings, small
 
 COORDINATES, MATCHES = 32, 15
 #: Further coordinates, one byte each, settle most pairs before their full sets are fetched: of all 128
@@ -259,18 +259,8 @@ def _solve(percent: int):
     return solve
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per document; a link needs 100 * shared >= percent * union.
-
-    Words are runs without white space, A-Z lower-cased. A text with fewer than ``width`` words is one
-    shingle; null and blank texts have an empty set, link with nothing and stay. component_id is the
-    smallest id reachable over links, kept tells doc_id = component_id. Rows repeated
-    with one id and text share a decision; of several texts under one id each has its own set and component. A row without id takes no part, stays, and has a null
-    component. Other columns are ignored; an empty table gives an empty result.
-    """
-    rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _settled(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: the signed rows, and (node, component_id) of the classes that are linked or have copies."""
     signed = keep(rows.mapInArrow(_signer(width), "doc_id long, n_shingles long, node long, signature array<int>, further array<tinyint>"), "signed")
     classes = keep(
         signed.where("node is not null and doc_id is not null")
@@ -352,6 +342,23 @@ def near_duplicates(
     named = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count("*").alias("parts"), F.sum("copies").alias("copies"))
     linked = keep(named.join(firsts.where("parts > 1 or copies > 1").select("component", "component_id"), "component").select("node", "component_id"), "linked")
+    return signed, linked
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per document; a link needs 100 * shared >= percent * union.
+
+    Words are runs without white space, A-Z lower-cased. A text with fewer than ``width`` words is one
+    shingle; null and blank texts have an empty set, link with nothing and stay. component_id is the
+    smallest id reachable over links, kept tells doc_id = component_id. Rows repeated
+    with one id and text share a decision; of several texts under one id each has its own set and component. A row without id takes no part, stays, and has a null
+    component. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with settings(rows.sparkSession, STEPWISE):
+        signed, linked = _settled(rows, width, percent)
     found = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(linked, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select(
