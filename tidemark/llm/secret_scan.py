@@ -39,6 +39,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
+HEX = re.compile(rb"[0-9a-f]{%d,}" % LEAST_HEX)
 _HEX = word_table([b for b in range(256) if chr(b) not in "0123456789abcdef"])
 _TOKEN = word_table([b for b in range(256) if not (b < 128 and (chr(b).isalnum() or chr(b) in "+/_-"))])
 
@@ -56,8 +57,8 @@ SHARES, FIRST, SECOND = 64, ((0, 4), (4, 16), (16, 64)), ((0, 16), (16, 64))
 #: Documents of a step, and how many documents a pass should see: those of a smaller table come several times, up to
 #: ``MOST_FIRST`` and ``MOST_SECOND``, and up to ``IN_ROUND`` of these between two averages.
 STEP, SEEN, MOST_FIRST, MOST_SECOND, IN_ROUND = 16, 40_000, 12, 12, 2
-#: Windows whose answers are held at once, so that they stay in a core's cache.
-HELD = 64
+#: Windows whose answers are held at once, and whose gradients, so that they stay in a core's cache.
+HELD, STEPPED = 128, 64
 #: A row whose probability is this close to its label gives no gradient.
 FLAT = 0.02
 RECALL = 0.95
@@ -100,13 +101,18 @@ def base_spans(body: bytes, text: str | None = None) -> list[tuple[int, int, int
     return found
 
 
-def _windows(codes: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Symbols from ``BEFORE`` bytes before each start to ``AFTER`` after it, 0 outside the document; ``codes`` has as many zeros around."""
-    windows = np.lib.stride_tricks.sliding_window_view(codes, WIDTH)[starts]
-    edge = np.flatnonzero((starts - BEFORE < low) | (starts + AFTER > high))
-    at = starts[edge, None] + np.arange(-BEFORE, AFTER)
-    windows[edge] *= (at >= low[edge, None]) & (at < high[edge, None])
-    return windows
+def _windows(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Copies of the windows that begin at some places of an array of codes."""
+    return np.lib.stride_tricks.sliding_window_view(codes, WIDTH)[places]
+
+
+def _rows_with_hex(part: np.ndarray, edges: np.ndarray) -> list[int]:
+    """Rows that may hold a hex run: one of ``LEAST_HEX`` bytes holds whole steps of half as many, so few bytes tell where none is."""
+    step = LEAST_HEX // 2
+    at = np.arange(0, max(0, len(part) - step + 1), step)
+    for beyond in (0, step - 1, *range(1, step - 1)):
+        at = at[_HEX[part[at + beyond]]]
+    return np.unique(np.searchsorted(edges, at, side="right") - 1).tolist()
 
 
 def _overlaps(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -142,13 +148,17 @@ class Scan:
 
     def __init__(self, part: np.ndarray, edges: np.ndarray) -> None:
         self.part, self.edges, self.raw = part, edges, part.tobytes()
-        self.codes = np.concatenate([np.zeros(BEFORE, np.uint8), _LOOKS[part], np.zeros(AFTER, np.uint8)])
-        hexes, tokens = Words(part, edges, _HEX), Words(part, edges, _TOKEN)
+        # Zeros before and after each row, so that no window reaches from one into another.
+        self.codes = np.zeros(BEFORE + len(part) + AFTER * (len(edges) - 1), np.uint8)
+        for row, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            at = BEFORE + AFTER * row
+            _LOOKS.take(part[low:high], out=self.codes[at + low : at + high], mode="clip")
+        tokens = Words(part, edges, _TOKEN)
         self.spans: dict[int, list] = {}
-        for k in np.flatnonzero(hexes.ends - hexes.starts >= LEAST_HEX).tolist():
-            row = int(hexes.row[k])
-            start, end = int(hexes.starts[k] - edges[row]), int(hexes.ends[k] - edges[row])
-            self.spans.setdefault(row, []).append((start, end, 2, start))
+        for row in _rows_with_hex(part, edges):
+            for m in HEX.finditer(self.raw, int(edges[row]), int(edges[row + 1])):
+                start, end = m.start() - int(edges[row]), m.end() - int(edges[row])
+                self.spans.setdefault(row, []).append((start, end, 2, start))
         low = self.raw.lower()
         if b"AKIA" in self.raw or any(word in low for word in KEYWORDS):
             for row in range(len(edges) - 1):
@@ -164,7 +174,7 @@ class Scan:
         at = np.concatenate([chosen, long, words])
         self.starts, self.ends, self.row = tokens.starts[at], tokens.ends[at], tokens.row[at]
         self.look = np.concatenate([tokens.starts[chosen], tokens.ends[long] - AFTER, tokens.starts[words]])
-        digit = np.concatenate([[0], np.cumsum((part >= 48) & (part <= 57))])
+        digit = np.concatenate([np.zeros(1, np.int32), np.cumsum((part >= 48) & (part <= 57), dtype=np.int32)])
         self.kind = np.where(digit[self.ends] > digit[self.starts], DIGITS, PLAIN)
         self.kind[len(chosen) + len(long) :] = WORD
         whole = [(int(edges[row]) + s, int(edges[row]) + e) for row, spans in self.spans.items() for s, e, _, _ in spans]
@@ -183,10 +193,11 @@ class Scan:
         dropped = ~found & (covered | secret | (touched & (np.arange(len(at)) >= len(chosen) + len(long))))
         for name in ("starts", "ends", "row", "look", "kind"):
             setattr(self, name, getattr(self, name)[~dropped])
+        #: Where the windows begin in ``codes``.
+        self.place = self.look + AFTER * self.row
 
     def windows(self, at: np.ndarray) -> np.ndarray:
-        row = self.row[at]
-        return _windows(self.codes, self.look[at], self.edges[row], self.edges[row + 1])
+        return _windows(self.codes, self.place[at])
 
 
 def _scans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Scan]]:
@@ -198,7 +209,7 @@ def _scans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Scan]]:
 #: The window codes that occur, and the number of each.
 _CODES = np.unique(_SYMBOL + _CAPITAL)
 _CODES = np.concatenate([[0], _CODES[_CODES > 0]]).astype(np.int64)
-_CODE_OF = np.searchsorted(_CODES, np.arange(256)).astype(np.int32)
+_CODE_OF = np.searchsorted(_CODES, np.arange(256)).astype(np.int64)
 
 
 #: Alphabets of varied findings.
@@ -330,61 +341,60 @@ class Network:
         place = after.astype(float) @ conv[:, e + 1] + self.parts["conv_bias"]
         return first, second, one[4].astype(np.float32), place.astype(np.float32)
 
-    def margin(self, windows: np.ndarray) -> np.ndarray:
-        """The larger of two looks: with the characters before the token, and without them."""
-        first, second, last, place = self._tables()
-        dense, count = self.parts["dense"], np.int32(len(_CODES))
-
-        # Places come first, so that the largest answers are taken over whole rows of windows and filters.
-        def answers(codes: np.ndarray, low: int) -> np.ndarray:
-            pair = codes[:-1] * count + codes[1:]
-            n = len(codes) - self.REACH + 1
-            out = first.take(pair[:n], axis=0)
-            out += second.take(pair[2 : n + 2], axis=0)
-            out += last.take(codes[4:], axis=0)
-            out += place[low : low + n, None]
-            return out
-
-        def pooled(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            seen = answers(codes, 0)
-            edge = codes[reach : BEFORE + self.REACH - 1].copy()
-            edge[: BEFORE - reach] = 0
-            alone = answers(edge, reach)
-            low, middle = self.CUTS[1], self.CUTS[2]
-            rest = seen[middle:].max(axis=0)
-            near = seen[BEFORE:middle].max(axis=0)
-            return (
-                np.concatenate([seen[:low].max(axis=0), np.maximum(near, seen[low:BEFORE].max(axis=0)), rest], axis=1),
-                np.concatenate([np.maximum(blank, alone[: low - reach].max(axis=0)), np.maximum(near, alone[low - reach :].max(axis=0)), rest], axis=1),
-            )
-
+    def margins(self, codes: np.ndarray, places: np.ndarray, tables: tuple | None = None) -> np.ndarray:
+        """The larger of two looks at the windows at some places: with the characters before the token, and without them."""
+        answers, (*_, place) = _Answers(tables := tables or self._tables()), tables
+        dense, reach, low, middle = self.parts["dense"], BEFORE - self.REACH + 1, self.CUTS[1], self.CUTS[2]
         # Without the characters before it, a window differs only up to the last place that reaches back.
-        reach = BEFORE - self.REACH + 1
-        blank = answers(np.zeros((BEFORE, 1), np.int32), 0).max(axis=0)
+        blank = (answers.of(np.zeros((BEFORE, 1), np.int64)) + place[:reach, None]).max(axis=0)
+        looks = np.empty((2, min(256, len(places)), 3 * self.FILTERS), np.float32)
         out = [np.zeros(0)]
-        for i in range(0, len(windows), 256):
-            codes = _CODE_OF[windows[i : i + 256].T]
-            looks = zip(*[pooled(codes[:, k : k + HELD]) for k in range(0, codes.shape[1], HELD)])
-            out.append(np.maximum(*[np.maximum(np.concatenate(look), 0) @ dense for look in looks]) + self.parts["dense_bias"][0])
+        for i in range(0, len(places), 256):
+            own = places[i : i + 256]
+            for k in range(0, len(own), HELD):
+                code = _CODE_OF.take(_windows(codes, own[k : k + HELD]).T)
+                # Places come first, so that the largest answers are taken over whole rows of windows and filters. From one that reaches into the
+                # token on, and before, a place adds the same to all answers, so it is added to the largest.
+                seen = answers.of(code)
+                rest = seen[middle:].max(axis=0) + place[BEFORE]
+                near = seen[BEFORE:middle].max(axis=0) + place[BEFORE]
+                seen[reach:BEFORE] += place[reach:BEFORE, None]
+                before = np.maximum(seen[:reach].max(axis=0) + place[0], seen[reach:low].max(axis=0))
+                token = np.maximum(near, seen[low:BEFORE].max(axis=0))
+                edge = code[reach : BEFORE + self.REACH - 1]
+                edge[: BEFORE - reach] = 0
+                alone = answers.of(edge)
+                alone += place[reach:BEFORE, None]
+                looks[0, k : k + HELD][: len(rest)] = np.concatenate([before, token, rest], axis=1)
+                looks[1, k : k + HELD][: len(rest)] = np.concatenate([np.maximum(blank, alone[: low - reach].max(axis=0)), np.maximum(near, alone[low - reach :].max(axis=0)), rest], axis=1)
+            out.append(np.maximum(*[np.maximum(look[: len(own)], 0) @ dense for look in looks]) + self.parts["dense_bias"][0])
         return np.concatenate(out)
 
-    def look(self, windows: np.ndarray) -> np.ndarray:
-        """The margin of the windows as they are, by the same look-ups."""
-        first, second, last, place = self._tables()
-        count, n, out = np.int32(len(_CODES)), WIDTH - self.REACH + 1, [np.zeros(0)]
-        for i in range(0, len(windows), HELD):
-            codes = _CODE_OF[windows[i : i + HELD].T]
-            pair = codes[:-1] * count + codes[1:]
-            seen = first.take(pair[:n], axis=0)
-            seen += second.take(pair[2 : n + 2], axis=0)
-            seen += last.take(codes[4:], axis=0)
-            seen += place[:, None]
-            best = np.concatenate([seen[a:b].max(axis=0) for a, b in zip(self.CUTS, self.CUTS[1:])], axis=1)
+    def margin(self, windows: np.ndarray) -> np.ndarray:
+        return self.margins(windows.ravel(), np.arange(len(windows)) * WIDTH)
+
+    def look(self, codes: np.ndarray, places: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+        """The margin of the windows at some places, of those marked hidden without the characters before the token."""
+        answers, (*_, place) = _Answers(tables := self._tables()), tables
+        reach, low, middle = BEFORE - self.REACH + 1, self.CUTS[1], self.CUTS[2]
+        out = [np.zeros(0)]
+        for i in range(0, len(places), HELD):
+            windows = _windows(codes, places[i : i + HELD])
+            windows[hidden[i : i + HELD], :BEFORE] = 0
+            seen = answers.of(_CODE_OF.take(windows.T))
+            rest = seen[middle:].max(axis=0) + place[BEFORE]
+            near = seen[BEFORE:middle].max(axis=0) + place[BEFORE]
+            seen[reach:BEFORE] += place[reach:BEFORE, None]
+            before = np.maximum(seen[:reach].max(axis=0) + place[0], seen[reach:low].max(axis=0))
+            best = np.concatenate([before, np.maximum(near, seen[low:BEFORE].max(axis=0)), rest], axis=1)
             out.append(np.einsum("ij,j->i", np.maximum(best, 0), self.parts["dense"]) + self.parts["dense_bias"][0])
         return np.concatenate(out)
 
+    def chance(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
+
     def probability(self, windows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(windows) + self.shift, -30, 30)))
+        return self.chance(self.margin(windows))
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 12, rate: float = 0.01, seed: int = 8) -> None:
         rng, state = np.random.default_rng(seed), Descent(self, rate)
@@ -395,6 +405,25 @@ class Network:
                 state.step(half_blanked(windows[at], rng), labels[at], (1.0 if weights is None else weights[at]) / len(at))
 
 
+class _Answers:
+    """What the look-ups of the first convolution give, without what the place adds, in memory that is used again."""
+
+    def __init__(self, tables: tuple) -> None:
+        self.tables, self.held = tables[:3], np.empty((2, (WIDTH - Network.REACH + 1) * HELD * Network.FILTERS), np.float32)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """Answers (place, window, filter) for codes (place, window)."""
+        first, second, last = self.tables
+        n = len(code) - Network.REACH + 1
+        pair = code[:-1] * len(_CODES) + code[1:]
+        shape = (n, code.shape[1], Network.FILTERS)
+        out, more = (held[: shape[0] * shape[1] * shape[2]].reshape(shape) for held in (self.held if n > Network.REACH else np.empty((2, n * code.shape[1] * Network.FILTERS), np.float32)))
+        first.take(pair[:n], axis=0, out=out, mode="clip")
+        out += second.take(pair[2 : n + 2], axis=0, out=more, mode="clip")
+        out += last.take(code[4:], axis=0, out=more, mode="clip")
+        return out
+
+
 def half_blanked(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The windows, half of them without the characters before the token."""
     shown = windows.copy()
@@ -411,22 +440,35 @@ class Descent:
 
     def step(self, shown: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         network, f, e = self.network, Network.FILTERS, Network.SIZE
-        symbol, x, best, pooled, z = network._forward(shown)
-        dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weights
-        # Products of one window each, and none of BLAS beyond them, start no threads beside the other tasks.
-        grad = {"dense": np.einsum("ij,i->j", pooled, dz), "dense_bias": np.array([dz.sum()])}
-        dout = np.zeros((len(shown), x.shape[1], f))
-        dpool = dz[:, None] * network.parts["dense"][None, :] * (pooled > 0)
-        for part, b in enumerate(best):
-            np.put_along_axis(dout, b[:, None, :], dpool[:, None, part * f : (part + 1) * f], 1)
-        grad["conv"] = np.matmul(x.transpose(0, 2, 1), dout).sum(0)
-        grad["conv_bias"] = dout.sum((0, 1))
-        dx = (dout @ network.parts["conv"].T).reshape(len(shown), x.shape[1], Network.REACH, e + 2)[..., :e]
+        # Some windows at a time, whose arrays stay in a core's cache; sums go on from one to the next in the same order.
+        products, bias = np.zeros((min(STEPPED, len(shown)) + 1, Network.REACH * (e + 2), f)), np.zeros((1, f))
+        symbols = np.zeros((Network.REACH, e, SYMBOLS))
+        numbers, pools, offs = np.arange(SYMBOLS), [], []
+        for low in range(0, len(shown), STEPPED):
+            symbol, x, best, pooled, z = network._forward(shown[low : low + STEPPED])
+            dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[low : low + STEPPED]) * weights[low : low + STEPPED]
+            pools.append(pooled)
+            offs.append(dz)
+            dout = np.zeros((len(x), x.shape[1], f))
+            dpool = dz[:, None] * network.parts["dense"][None, :] * (pooled > 0)
+            for part, b in enumerate(best):
+                np.put_along_axis(dout, b[:, None, :], dpool[:, None, part * f : (part + 1) * f], 1)
+            # Products of one window each, and none of BLAS beyond them, start no threads beside the other tasks.
+            np.matmul(x.transpose(0, 2, 1), dout, out=products[1 : len(x) + 1])
+            products[0] = products[: len(x) + 1].sum(0)
+            bias = np.concatenate([bias, dout.reshape(-1, f)]).sum(0, keepdims=True)
+            dx = (dout @ network.parts["conv"].T).reshape(len(x), x.shape[1], Network.REACH, e + 2)[..., :e]
+            at = np.nonzero(dout.any(axis=2))  # elsewhere nothing is added
+            dx = np.ascontiguousarray(dx[at].transpose(1, 2, 0))
+            for r in range(Network.REACH):
+                flat = np.concatenate([numbers, symbol[at[0], at[1] + r]])
+                for j in range(e):
+                    symbols[r, j] = np.bincount(flat, np.concatenate([symbols[r, j], dx[r, j]]), SYMBOLS)
+        pooled, dz = np.concatenate(pools), np.concatenate(offs)
+        grad = {"dense": np.einsum("ij,i->j", pooled, dz), "dense_bias": np.array([dz.sum()]), "conv": products[0], "conv_bias": bias[0]}
         grad["symbols"] = np.zeros_like(network.parts["symbols"])
         for r in range(Network.REACH):
-            flat, each = symbol[:, r : r + x.shape[1]].ravel(), dx[:, :, r].reshape(-1, e)
-            for j in range(e):
-                grad["symbols"][:, j] += np.bincount(flat, each[:, j], SYMBOLS)
+            grad["symbols"] += symbols[r].T
         self.count += 1
         for k, g in grad.items():
             m, v = self.moments[k]
@@ -457,13 +499,16 @@ class Examples:
             n = len(np.unique(row[usual]))
             self.varied, self.named = (np.array([one() for _ in range(n)]) for one in (draw.finding, draw.ordinary_name))
 
-    def of(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(windows, kinds, weights) of the documents from ``low`` to ``high``, of those with rows."""
+    def of(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, places of the windows in them, kinds, weights) of the documents from ``low`` to ``high``, of those with rows."""
         part = slice(self.first[low], self.first[min(high, len(self.rows))])
         varied, named = self.varied[low:high], self.named[low:high]
-        windows = np.concatenate([self.scan.windows(self.at[part]), varied, named])
+        made, own = len(varied) + len(named), self.scan.place[self.at[part]]
+        begin, end = own.min(), own.max() + WIDTH
+        codes = np.concatenate([self.scan.codes[begin:end], varied.ravel(), named.ravel()])
+        places = np.concatenate([own - begin, end - begin + WIDTH * np.arange(made)])
         kinds = np.concatenate([self.kind[part], np.full(len(varied), VARIED), np.full(len(named), NAME)])
-        return windows, kinds, np.concatenate([self.weight[part], np.ones(len(varied) + len(named))])
+        return codes, places, kinds, np.concatenate([self.weight[part], np.ones(made)])
 
 
 def _learner(begin: Network, first_pass: Network | None, turns: int, rate: float):
@@ -472,6 +517,7 @@ def _learner(begin: Network, first_pass: Network | None, turns: int, rate: float
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, documents, counts = begin.with_values(begin.values()), 0, [0, 0]
         state = Descent(network, rate)
+        asking = None if first_pass is None else first_pass._tables()
         for batch in small(batches):
             for _, _, scan in _scans(batch):
                 examples = Examples(scan)
@@ -481,18 +527,20 @@ def _learner(begin: Network, first_pass: Network | None, turns: int, rate: float
                 counts[1] += int((examples.kind != FOUND).sum())
                 steps = range(0, len(examples.rows), STEP)
                 for low in (low for _ in range(turns) for low in rng.permutation(steps).tolist()):
-                    windows, kinds, weights = examples.of(low, low + STEP)
+                    codes, places, kinds, weights = examples.of(low, low + STEP)
                     unsure, labels = (kinds == DIGITS) | (kinds == PLAIN), ((kinds == FOUND) | (kinds == VARIED)).astype(float)
                     if first_pass is None:
                         weights = np.where(unsure, 0.1, 1.0) * weights
-                    shown = half_blanked(windows, rng)
-                    error = np.abs(1 / (1 + np.exp(-np.clip(network.look(shown), -30, 30))) - labels)
+                    hidden = rng.random(len(places)) < 0.5
+                    error = np.abs(1 / (1 + np.exp(-np.clip(network.look(codes, places, hidden), -30, 30))) - labels)
                     use = error > FLAT
                     if first_pass is not None:
                         asked = np.flatnonzero(use & unsure)
-                        use[asked[first_pass.margin(windows[asked]) >= 0]] = False
+                        use[asked[first_pass.margins(codes, places[asked], asking) >= 0]] = False
                     if use.any():
-                        state.step(shown[use], labels[use], weights[use] / weights.sum())
+                        shown = _windows(codes, places[use])
+                        shown[hidden[use], :BEFORE] = 0
+                        state.step(shown, labels[use], weights[use] / weights.sum())
         if documents:
             values = np.round(network.values() * (1 << 24)).astype(np.int64) * documents
             part = np.concatenate([np.arange(len(values)), [-1, -2]]).astype(np.int32)
@@ -509,11 +557,11 @@ def _measurer(network: Network, first_pass: Network):
             for _, _, scan in _scans(batch):
                 examples = Examples(scan)
                 for low in range(0, len(examples.rows), 8 * STEP):
-                    windows, kinds, weights = examples.of(low, low + 8 * STEP)
-                    z = network.margin(windows)
+                    codes, places, kinds, weights = examples.of(low, low + 8 * STEP)
+                    z = network.margins(codes, places)
                     unsure = ((kinds == DIGITS) | (kinds == PLAIN)) & (1 / (1 + np.exp(-np.clip(z, -30, 30))) > FLAT)
                     clear, asked = np.ones(len(z), bool), np.flatnonzero(unsure)
-                    clear[asked[first_pass.margin(windows[asked]) >= 0]] = False
+                    clear[asked[first_pass.margins(codes, places[asked]) >= 0]] = False
                     positive = (kinds == FOUND) | (kinds == VARIED)
                     yield pa.RecordBatch.from_arrays([pa.array(x[clear]) for x in (positive, weights, z)], ["positive", "weight", "z"])
 
@@ -611,7 +659,7 @@ def _scorer(network: Network | None):
                 asked = np.flatnonzero((scan.kind == DIGITS) | (scan.kind == PLAIN) | (scan.kind == BESIDE))
                 for at in range(0, len(asked) if network is not None else 0, 8192):
                     part = asked[at : at + 8192]
-                    chance = network.probability(scan.windows(part))
+                    chance = network.chance(network.margins(scan.codes, scan.place[part]))
                     for k in np.flatnonzero(chance >= network.threshold).tolist():
                         row, own = int(scan.row[part[k]]), int(scan.edges[scan.row[part[k]]])
                         span = int(scan.starts[part[k]]) - own, int(scan.ends[part[k]]) - own
