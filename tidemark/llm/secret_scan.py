@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,6 +116,17 @@ def _rows_with_hex(part: np.ndarray, edges: np.ndarray) -> list[int]:
     return np.unique(np.searchsorted(edges, at, side="right") - 1).tolist()
 
 
+def _rows_with_words(raw: bytes, edges: np.ndarray) -> list[int]:
+    """Rows that may hold a span of the rules assign and access, as they hold one of their words; each row is sought through up to its first."""
+    ends, rows, low = edges[1:].tolist(), set(), raw.lower()
+    for text, word in [(low, word) for word in KEYWORDS] + [(raw, b"AKIA")]:
+        at = text.find(word)
+        while at >= 0:
+            rows.add(row := bisect_right(ends, at))
+            at = text.find(word, ends[row])
+    return sorted(rows)
+
+
 def _overlaps(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which stretches touch one of the spans."""
     if not spans or not len(starts):
@@ -159,11 +171,9 @@ class Scan:
             for m in HEX.finditer(self.raw, int(edges[row]), int(edges[row + 1])):
                 start, end = m.start() - int(edges[row]), m.end() - int(edges[row])
                 self.spans.setdefault(row, []).append((start, end, 2, start))
-        low = self.raw.lower()
-        if b"AKIA" in self.raw or any(word in low for word in KEYWORDS):
-            for row in range(len(edges) - 1):
-                if more := base_spans(self.raw[edges[row] : edges[row + 1]]):
-                    self.spans.setdefault(row, []).extend(more)
+        for row in _rows_with_words(self.raw, edges):
+            if more := base_spans(self.raw[edges[row] : edges[row + 1]]):
+                self.spans.setdefault(row, []).extend(more)
         length = tokens.ends - tokens.starts
         chosen = np.flatnonzero(length >= LEAST_CANDIDATE)
         long = np.flatnonzero(length > AFTER)
@@ -252,7 +262,13 @@ class Variations:
     def _placed(self, token: np.ndarray) -> np.ndarray:
         """The token in a window, between what stands before two ordinary tokens."""
         before, after, more = self.ordinary[self.rng.integers(0, len(self.ordinary), 3)]
-        return np.concatenate([before[:BEFORE], token, _SPACE_CODE, after[:BEFORE], more[:BEFORE]])[:WIDTH]
+        out, at = np.empty(WIDTH + BEFORE, np.uint8), BEFORE + (size := min(len(token), AFTER))
+        out[:BEFORE], out[BEFORE:at] = before[:BEFORE], token[:size]
+        if at < WIDTH:
+            out[at], out[at + 1 : at + 1 + BEFORE] = _SPACE_CODE[0], after[:BEFORE]
+        if at + 1 + BEFORE < WIDTH:
+            out[at + 1 + BEFORE : WIDTH] = more[: WIDTH - at - 1 - BEFORE]
+        return out[:WIDTH]
 
     def finding(self) -> np.ndarray:
         """In half of the cases a cut of a real finding, in its own case or another; else drawn from an alphabet."""
@@ -336,7 +352,7 @@ class Network:
         f, r, e = self.FILTERS, self.REACH, self.SIZE
         conv = self.parts["conv"].reshape(r, e + 2, f)
         one = np.einsum("ce,ref->rcf", self.parts["symbols"][_CODES & 63], conv[:, :e]) + (_CODES >> 6)[None, :, None] * conv[:, e][:, None, :]
-        first, second = ((one[k][:, None] + one[k + 1][None]).reshape(-1, f).astype(np.float32) for k in (0, 2))
+        first, second = (np.add(one[k][:, None], one[k + 1][None], out=np.empty((len(_CODES), len(_CODES), f), np.float32), casting="same_kind").reshape(-1, f) for k in (0, 2))
         after = np.arange(WIDTH - r + 1)[:, None] + np.arange(r) >= BEFORE
         place = after.astype(float) @ conv[:, e + 1] + self.parts["conv_bias"]
         return first, second, one[4].astype(np.float32), place.astype(np.float32)
