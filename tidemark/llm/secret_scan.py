@@ -454,8 +454,9 @@ class Descent:
         self.network, self.rate, self.count = network, rate, 0
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.parts.items()}
 
-    def step(self, shown: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+    def step(self, shown: np.ndarray, labels: np.ndarray, weights: np.ndarray | float) -> None:
         network, f, e = self.network, Network.FILTERS, Network.SIZE
+        weights = np.broadcast_to(weights, len(shown))
         # Some windows at a time, whose arrays stay in a core's cache; sums go on from one to the next in the same order.
         products, bias = np.zeros((min(STEPPED, len(shown)) + 1, Network.REACH * (e + 2), f)), np.zeros((1, f))
         symbols = np.zeros((Network.REACH, e, SYMBOLS))
