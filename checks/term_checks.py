@@ -37,9 +37,11 @@ terms AS (SELECT asset, week_start, term, count(*) AS n FROM every GROUP BY ALL)
 
 def long_term_counts(spark, folder):
     """Runs of one to four words, also across posts."""
-    counts = T.post_terms(_cleaned(spark, folder), (1, 4))
-    width = F.size(F.split("term", " "))
-    return dated(counts.groupBy(*T.CELL, width.alias("width")).agg(F.count("*").alias("terms"), F.sum("n").alias("n"), F.min("term").alias("first_term"), F.max(F.struct("n", "term"))["term"].alias("most")))
+    counts = T.post_terms(_cleaned(spark, folder), (1, 4), listed=True)
+    # A list is summed up where it was made; only such rows are grouped.
+    most = F.array_max(F.arrays_zip("n", "term"))
+    lists = counts.select(*T.CELL, "width", F.size("term").alias("terms"), F.aggregate("n", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n"), F.array_min("term").alias("first_term"), most.alias("most"))
+    return dated(lists.groupBy(*T.CELL, "width").agg(F.sum("terms").alias("terms"), F.sum("n").alias("n"), F.min("first_term").alias("first_term"), F.max("most")["term"].alias("most")))
 
 
 _RUNS = " UNION ALL ".join(

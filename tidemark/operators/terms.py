@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import outer_tokens, word_tokens
+from tidemark.operators.run_counts import run_counter
 from tidemark.operators.slices import Bounds, previous_value, slice_bounds
 
 CELL = ("asset", "week_start")
@@ -42,25 +45,12 @@ def _ngrams(tokens: Column, low: int, high: int) -> Column:
     return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
-def _spanning(tail: Column, head: Column, low: int, high: int) -> Column:
-    """Runs of tokens that begin in ``tail`` and end in ``head``."""
-    both, before = F.concat(tail, head), F.size(tail)
-
-    def runs(n: int) -> Column:
-        first = F.greatest(F.lit(1), before - (n - 2))
-        last = F.least(before, F.size(both) - (n - 1))
-        starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(both, i, n), " "))
-
-    return F.concat(*[runs(n) for n in range(max(low, 2), high + 1)])
-
-
-def _long_spanning(cleaned: DataFrame, low: int, high: int, bounds: Bounds | None) -> DataFrame:
-    """(cell, order, _more): runs of more than two tokens may span several short posts; those that end in a post.
+def _long_spanning(cleaned: DataFrame, high: int, bounds: Bounds | None) -> DataFrame:
+    """(cell, order, cut, tokens): runs of more than two tokens may span several short posts; the borders that they cross.
 
     The last ``high - 1`` tokens before a post are a border: those of a run of posts follow from the border of the
     run without its last post and that post's own tokens, so ``high - 2`` steps to the post before reach far
-    enough, as each post with a token gives at least one.
+    enough, as each post with a token gives at least one. A row holds the border, of ``cut`` tokens, and the post's first ones.
     """
     reach = high - 1
     rows = cleaned.select(*CELL, *_order(), word_tokens(F.col("clean_text")).alias("_tokens")).where(F.size("_tokens") > 0)
@@ -76,7 +66,7 @@ def _long_spanning(cleaned: DataFrame, low: int, high: int, bounds: Bounds | Non
             *CELL, *order, "_head", "_own", F.slice(both, F.greatest(F.size(both) - (reach - 1), F.lit(1)), reach).alias("_tail")
         )
     follow = previous_value(ends, CELL, order, ["_tail"], bounds=bounds).where(F.col("prev__tail").isNotNull())
-    return follow.select(*CELL, *order, _spanning(F.col("prev__tail"), F.col("_head"), low, high).alias("_more"))
+    return follow.select(*CELL, *order, F.size("prev__tail").alias("cut"), F.concat("prev__tail", "_head").alias("tokens"))
 
 
 def _pairs(tokens: Column) -> Column:
@@ -88,15 +78,13 @@ def _pairs(tokens: Column) -> Column:
     )
 
 
-def _counts(rows: DataFrame, tokens: str, singles: bool, pairs: bool, keep: str | None = None, more: str | None = None) -> DataFrame:
+def _counts(rows: DataFrame, tokens: str, singles: bool, pairs: bool) -> DataFrame:
     terms = []
     if singles:
         terms.append(F.col(tokens))
     if pairs:
         terms.append(_pairs(F.col(tokens)))
-    if more:
-        terms.append(F.col(more))
-    return rows.select(*CELL, *([keep] if keep else []), F.explode(F.concat(*terms)).alias("term"))
+    return rows.select(*CELL, F.explode(F.concat(*terms)).alias("term"))
 
 
 ORDER = ("_at", "source_id", "_tie")
@@ -108,11 +96,11 @@ def _order() -> list[Column]:
 
 
 def _spanning_pairs(cleaned: DataFrame, bounds: Bounds | None) -> DataFrame:
-    """(cell, order, _more): the word pair that ends in a post and begins in the one before."""
+    """(cell, order, cut, tokens): the word pair that ends in a post and begins in the one before."""
     first, last = outer_tokens(F.col("clean_text"))
     ends = cleaned.select(*CELL, *_order(), first.alias("_first"), last.alias("_last")).where(F.col("_first") != "")
     follow = previous_value(ends, CELL, list(ORDER), ["_last"], bounds=bounds).where(F.col("prev__last").isNotNull())
-    return follow.select(*CELL, *ORDER, F.array(F.concat_ws(" ", "prev__last", "_first")).alias("_more"))
+    return follow.select(*CELL, *ORDER, F.lit(1).alias("cut"), F.array("prev__last", "_first").alias("tokens"))
 
 
 def term_tasks(chars: int | None) -> int:
@@ -127,45 +115,58 @@ def text_size(cleaned: DataFrame) -> int:
 
 
 def post_terms(
-    cleaned: DataFrame, ngram_range: tuple[int, int] = (1, 2), bounds: Bounds | None = None, cell_chars: int = CELL_CHARS
+    cleaned: DataFrame, ngram_range: tuple[int, int] = (1, 2), bounds: Bounds | None = None, cell_chars: int = CELL_CHARS,
+    listed: bool = False,
 ) -> DataFrame:
-    """(asset, week_start, term, n) from cleaned posts.
+    """(asset, week_start, term, n) from cleaned posts; ``listed``: (asset, week_start, width, term, n), in lists of bounded size.
 
-    Equal to counting in the weekly text: word pairs that span two posts are counted too, and longer
-    runs that span several. For these only the first and last tokens of each post are ordered, in slices, so the
-    texts themselves are never collected or sorted. The posts are shuffled by their cell, each once, and counted where
-    they arrive, so that no term is shuffled: a cell has far more rows of terms than bytes of text. Cells of more than
-    ``cell_chars`` characters are dealt among several tasks, and only their counts are added up by a second shuffle.
+    Equal to counting in the weekly text: runs that span posts are counted too. The posts are shuffled by their cell,
+    each once, ordered and counted where they arrive, as numbers (``operators.run_counts``), so that no term is shuffled: a
+    cell has far more rows of terms than bytes of text. The posts of a cell of more than ``cell_chars`` characters are
+    dealt among several tasks without their order; the runs that span them come from the first and last tokens of each post,
+    which are ordered in slices, and only the counts are added up by a second shuffle.
     The sizes of the cells are read here: give a table that is cheap to read twice.
     """
     low, high = ngram_range
-    singles, pairs = _check_range(ngram_range)
+    _check_range(ngram_range)
     sizes = cleaned.groupBy(*CELL).agg(F.sum(F.length("clean_text")).alias("_chars"))
     chars, most = sizes.agg(F.sum("_chars"), F.max("_chars")).first()
-    rows = cleaned.select(*CELL, *_order(), "clean_text", F.array().cast("array<string>").alias("_more"))
+    tasks = max(2, term_tasks(chars))
+    if (most or 0) <= cell_chars:
+        placed = cleaned.select(*CELL, *_order(), "clean_text").repartition(tasks, *CELL).sortWithinPartitions(*CELL, *ORDER)
+        return _run_counts(placed, CELL, F.lit(True), low, high, listed)
+    large = sizes.where(F.col("_chars") > cell_chars).select(
+        *[F.col(c).alias(f"_{c}") for c in CELL], F.ceil(F.col("_chars") / cell_chars).cast("int").alias("_parts")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CELL]
+    rows = cleaned.select(*CELL, *_order(), "clean_text")
+    small = rows.join(F.broadcast(large), same, "left_anti").repartition(tasks, *CELL).sortWithinPartitions(*CELL, *ORDER)
+    dealt = rows.withColumns({"cut": F.lit(0), "tokens": F.lit(None).cast("array<string>")})
     if high > 1:
-        across = _long_spanning(cleaned, low, high, bounds) if high > 2 else _spanning_pairs(cleaned, bounds)
-        rows = rows.unionByName(across.withColumn("clean_text", F.lit("")))
-    part = F.lit(0)
-    if (most or 0) > cell_chars:
-        large = sizes.where(F.col("_chars") > cell_chars).select(
-            *[F.col(c).alias(f"_{c}") for c in CELL], F.ceil(F.col("_chars") / cell_chars).cast("int").alias("_parts")
-        )
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CELL]
-        rows = rows.join(F.broadcast(large), same, "left")
-        part = F.coalesce(F.lit(1) + F.pmod(F.xxhash64(*ORDER), F.col("_parts")).cast("int"), F.lit(0))
-    placed = rows.select(*CELL, part.alias("_part"), "clean_text", "_more").repartition(term_tasks(chars), *CELL, "_part")
-    tokens = word_tokens(F.col("clean_text"))
-    if high > 2:
-        own = placed.select(*CELL, "_part", tokens.alias("_tokens"), "_more").withColumn("_own", _ngrams(F.col("_tokens"), low, high))
-        terms = own.select(*CELL, "_part", F.explode(F.concat("_own", "_more")).alias("term"))
+        hot = cleaned.join(F.broadcast(large), same, "left_semi")
+        across = _long_spanning(hot, high, bounds) if high > 2 else _spanning_pairs(hot, bounds)
+        dealt = dealt.unionByName(across.withColumn("clean_text", F.lit("")))
+    part = F.pmod(F.xxhash64(*ORDER), F.col("_parts")).cast("int")
+    dealt = dealt.join(F.broadcast(large), same).withColumn("_part", part).repartition(tasks, *CELL, "_part").sortWithinPartitions(*CELL, "_part")
+    parts = _run_counts(dealt, (*CELL, "_part"), F.lit(False), low, high)
+    merged = parts.groupBy(*CELL, "term").agg(F.sum("n").alias("n"))
+    if listed:
+        merged = merged.select(*CELL, F.size(F.split("term", " ")).alias("width"), F.array("term").alias("term"), F.array("n").alias("n"))
+    return _run_counts(small, CELL, F.lit(True), low, high, listed).unionByName(merged)
+
+
+def _run_counts(placed: DataFrame, group: Sequence[str], joined: Column, low: int, high: int, listed: bool = False) -> DataFrame:
+    """(group, term, n) of posts, or of borders between them, that lie beside those of their group."""
+    own = word_tokens(F.col("clean_text"))
+    border = "tokens" in placed.columns
+    tokens, cut = (F.coalesce("tokens", own), F.col("cut")) if border else (own, F.lit(0))
+    rows = placed.select(*group, joined.alias("joined"), cut.alias("cut"), tokens.alias("tokens"))
+    found = T.StructType([placed.schema[c] for c in group])
+    if listed:
+        found.add("width", T.IntegerType()).add("term", T.ArrayType(T.StringType())).add("n", T.ArrayType(T.LongType()))
     else:
-        terms = _counts(placed.select(*CELL, "_part", tokens.alias("_tokens"), "_more"), "_tokens", singles, pairs, "_part", "_more")
-    counted = terms.groupBy(*CELL, "_part", "term").agg(F.count("*").alias("n"))
-    if (most or 0) <= cell_chars:
-        return counted.drop("_part")
-    merged = counted.where("_part > 0").groupBy(*CELL, "term").agg(F.sum("n").alias("n"))
-    return counted.where("_part = 0").drop("_part").unionByName(merged)
+        found.add("term", T.StringType()).add("n", T.LongType())
+    return rows.mapInArrow(run_counter(group, low, high, listed), found)
 
 
 def text_terms(panel: DataFrame, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
