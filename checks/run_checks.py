@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from checks.market_checks import RETURNS, OHLCV, TEXT_NUMBERS, TEXT_STATS, market_panel, weekly_text
-from checks.stand_ins import METRIC_COLUMNS, WEEKLY, dated, metrics_sql, num, posts, rounded
+from checks.stand_ins import CHANNELS, KEYWORDS, METRIC_COLUMNS, WEEKLY, dated, metrics_sql, num, posts, rounded
 from checks.term_checks import TERMS
 from tidemark.operators.fold_terms import span_vocabularies
 from tidemark.operators.forest import BINS, POISSON, PRIME, ROOTS
@@ -16,7 +16,7 @@ from tidemark.operators.metrics import classification_metrics
 from tidemark.operators.numeric_prep import numeric_columns
 from tidemark.operators.panel import join_text
 from tidemark.operators.terms import CELL, post_terms, shared_terms, term_tasks, text_size
-from tidemark.operators.weekly_text import clean_posts
+from tidemark.operators.weekly_text import clean_posts, weekly_stats
 from tidemark.plans.experiments import VARIANTS
 from tidemark.plans.many_runs import evaluate_many, grow_trees, study_assets, study_variants
 from tidemark.session import keep_table
@@ -38,8 +38,11 @@ def _cells_and_terms(spark, folder):
     return cleaned.select(*CELL).distinct(), shared_terms(post_terms(cleaned), tasks=term_tasks(text_size(cleaned)))
 
 
-def _terms(spark, folder):
-    return keep_table(_cells_and_terms(spark, folder)[1])
+def _panel_and_terms(spark, folder):
+    """Every text is cleaned once, for the weekly numbers and for the terms."""
+    cleaned = keep_table(clean_posts(posts(spark, folder)))
+    panel = join_text(market_panel(spark, folder), weekly_stats(cleaned, KEYWORDS, CHANNELS))
+    return panel, keep_table(shared_terms(post_terms(cleaned), tasks=term_tasks(text_size(cleaned))))
 
 
 def temporal_cv(spark, folder):
@@ -66,7 +69,8 @@ def robustness(spark, folder):
 
 def text_fits(spark, folder):
     """The text models' fits of all folds: rows, vocabulary, and the gradient that is left of each loss, rounded."""
-    fits = evaluate_many(_panel(spark, folder), ON_TEXT, _terms(spark, folder)).fits
+    panel, terms = _panel_and_terms(spark, folder)
+    fits = evaluate_many(panel, ON_TEXT, terms).fits
     return fits.select("model", "fold", "n_train", "n_terms", (F.round("gradient", 5) + F.lit(0.0)).alias("gradient"))
 
 
@@ -101,8 +105,9 @@ def forest_roots(spark, folder):
 def model_predictions(spark, folder):
     """Holdout predictions of every model that the default study enables."""
     linear = replace(StudySettings(), models=(*MARKET.models, *ON_TEXT.models))
-    panel = keep_table(_panel(spark, folder))
-    found = evaluate_many(panel, linear, _terms(spark, folder), folds=False).test_predictions
+    panel, terms = _panel_and_terms(spark, folder)
+    panel = keep_table(panel)
+    found = evaluate_many(panel, linear, terms, folds=False).test_predictions
     forest = grow_trees(panel, FOREST, folds=False)[1].drop("fold")
     return rounded(dated(found.unionByName(forest).drop("group")))
 

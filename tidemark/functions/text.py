@@ -22,10 +22,11 @@ def clean_text(text: Column) -> Column:
     """Lower case, no links, only word characters and ``# @ . $ % + -``, single spaces.
 
     A null text becomes an empty one. Dropped characters and spaces are one class, so that a
-    single pass turns every run of them into one space.
+    single pass turns every run of them into one space. Links are sought only in texts that hold what each has.
     """
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    without_urls = F.regexp_replace(lowered, URL_PATTERN, " ")
+    linked = F.contains(lowered, F.lit("://")) | F.contains(lowered, F.lit("www."))
+    without_urls = F.when(linked, F.regexp_replace(lowered, URL_PATTERN, " ")).otherwise(lowered)
     return F.trim(F.regexp_replace(without_urls, GAP_PATTERN, " "))
 
 

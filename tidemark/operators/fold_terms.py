@@ -57,9 +57,12 @@ def span_vocabularies(
     above = Window.partitionBy("group", "span").orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_above", F.coalesce(F.sum("n").over(above), F.lit(0))).where(F.col("_above") < max_features)
     least = keep_table(sizes.groupBy("group", "span").agg(F.min("cf").alias("least")))
-    by_group = least.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("span", "least"))).alias("_least"))
-    wanted = F.filter(F.sequence(F.col("span"), F.col("end")), lambda i: F.col("cf") >= F.col("_least")[i])
-    found = grown.join(F.broadcast(by_group), "group").select("group", F.explode(wanted).alias("span"), "term", "df", "cf")
+    by_group = least.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("span", "least"))).alias("_map"), F.max("span").alias("_top"), F.min("least").alias("_lowest"))
+    # By place, as a map is searched from its start for every span of every term; most terms reach no span's least.
+    by_group = by_group.select("group", "_lowest", F.transform(F.sequence(F.lit(0), "_top"), lambda i: F.col("_map")[i]).alias("_least"))
+    wanted = F.filter(F.sequence(F.col("span"), F.col("end")), lambda i: F.col("cf") >= F.get("_least", i))
+    reach = grown.join(F.broadcast(by_group), "group").where(F.col("cf") >= F.col("_lowest"))
+    found = reach.select("group", F.explode(wanted).alias("span"), "term", "df", "cf")
     found = keep_table(found.withColumn("_less", -F.col("cf")))
     kept = first_rows(found, ["group", "span"], ["_less", "term"], max_features).drop("_less")
     idf = F.log((F.col("n_train") + 1.0) / (F.col("df") + 1.0)) + 1.0

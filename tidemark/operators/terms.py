@@ -186,12 +186,12 @@ def shared_terms(terms: DataFrame, min_df: int = 2, tasks: int | None = None) ->
 
     No part of the cells holds a term more often than all do, so a vocabulary of any part, such as
     a training block, loses nothing. The rows are shuffled once, by the term (into ``tasks``, else as many as the
-    session says). A term has one row per cell; a row looks ``min_df - 1`` rows back and ahead among those of its term,
+    session says). A term has one row per cell; the rows of a term are counted once for all of them,
     sorted by hash, as numbers compare faster. Terms stay together, so that counting by term needs no further shuffle.
     """
     placed = (terms.repartition(tasks, "term") if tasks else terms.repartition("term")).withColumn("_hash", F.xxhash64("term"))
-    near = Window.partitionBy("_hash", "term").orderBy("_hash").rowsBetween(1 - min_df, min_df - 1)
-    return placed.withColumn("_near", F.count("*").over(near)).where(F.col("_near") >= min_df).select(*terms.columns)
+    same = Window.partitionBy("_hash", "term")
+    return placed.withColumn("_cells", F.count("*").over(same)).where(F.col("_cells") >= min_df).select(*terms.columns)
 
 
 def vocabulary(
